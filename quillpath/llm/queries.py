@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpath.llm import chat, digests
+from quillpath.llm import chat, digests, packing, token_store
+from quillpath.llm.common import shared_dir
+
+
+def tokenizer(name: str) -> str:
+    """The file of a public tokenizer: in TOKENIZERS_DIR if that is set, else of the installed package."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark)}/token_stores/{uuid.uuid4().hex}"
+    token_store.write_store(docs, path, tokenizer("word_bpe_49k.json"), end_id=1)
+    return token_store.stored_digests(docs, path)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digests(table(spark, sf_dir, "documents"))
 
@@ -24,6 +44,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(rows.unionByName(more))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 2048, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
