@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpath.llm import chat, decontam, digests, packing, token_store
+from quillpath.llm import chat, decontam, digests, ngram_join, packing, token_store
 from quillpath.llm.common import shared_dir
 
 
@@ -41,6 +42,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"), 4, Fraction(85, 100))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -57,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.ORACLE_SQL}
+    return {"op1_decontamination": decontam.ORACLE_SQL, "op6_ngram_join": ngram_join.ORACLE_SQL}
