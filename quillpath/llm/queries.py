@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpath.llm import chat, decontam, digests, langid, ngram_join, packing, pii, quality, token_store
+from quillpath.llm import chat, decontam, digests, html, langid, ngram_join, packing, pii, quality, token_store
 from quillpath.llm.common import shared_dir
 
 
@@ -43,6 +43,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_digests(docs, path)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digests(table(spark, sf_dir, "documents"))
 
