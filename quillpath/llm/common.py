@@ -32,12 +32,12 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of df whose key is in ids. The ids are broadcast if there are at most broadcast_rows
-    of them (16 MB); beyond that both sides are shuffled on the key."""
+def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is in ids, or is not with how="left_anti". The ids are broadcast if there are
+    at most broadcast_rows of them (16 MB); beyond that both sides are shuffled on the key."""
     ids = ids.select(key).distinct()
     few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
 # ---- hashes of words and of word shingles, over whole Arrow columns ----------------------------
