@@ -10,6 +10,8 @@ from quillpath.plans.catalog import Catalog, Field
 # What each method takes as a path.
 RELATION_ONLY = frozenset({"select_related", "prefetch_related"})
 ATTRIBUTE_PATH = frozenset({"select_related", "prefetch_related", "only", "defer"})
+#: Methods whose paths may end in transforms.
+TRANSFORMING = frozenset({"order_by", "values", "annotate"})
 FILTERS = frozenset({"filter", "exclude", "get", "get_or_create", "update_or_create"})
 
 
@@ -86,14 +88,20 @@ def resolve(catalog: Catalog, label: str, path: str, method: str = "filter", vir
         if found is None:
             if not out.fields:
                 raise PathError("segment_not_found", path, s)
-            if method in FILTERS or method in ("order_by", "values", "annotate"):
-                last = out.target
-                kind = catalog.key_kind(last.target) if last.is_relation and not last.many and s not in lookups_of(last.kind) else last.kind
+            last = out.target
+            lost = PathError("segment_not_found", path, s) if last.is_relation else PathError("non_relation_intermediate", path, segments[i - 1])
+            if method not in FILTERS and method not in TRANSFORMING:
+                raise lost
+            kind = catalog.key_kind(last.target) if last.is_relation and not last.many and s not in lookups_of(last.kind) else last.kind
+            try:
                 out.transforms, out.lookup, out.kind, out.json_keys = operators(kind, segments[i:], path)
-                if out.lookup and method not in FILTERS:
-                    raise PathError("invalid_lookup_operator", path, out.lookup)
-                return out
-            raise PathError("segment_not_found" if out.target.is_relation else "non_relation_intermediate", path, s if out.target.is_relation else segments[i - 1])
+            except PathError:
+                if method in TRANSFORMING:
+                    raise lost from None
+                raise
+            if out.lookup and method in TRANSFORMING:
+                raise lost
+            return out
         out.fields.append(found)
         out.owners.append(model)
         model = found.target if found.is_relation else ""
