@@ -14,6 +14,7 @@ from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 from quillpath.llm.common import ASCII_SPACE, components, mixed, only_ids, written
 from quillpath.llm.decontam import sets_of
 
-#: Pieces beyond the largest difference. Linked sets agree on as many, so a piece without bits need
-#: only be used by sets that have as many such pieces.
-SPARE = 3
-#: Candidate pairs in buckets, for each row in them, up to which they are listed at once.
-PAIRS_A_ROW = 64
+#: Pieces beyond the largest difference. Linked sets agree on as many: a set that agrees with others on
+#: fewer has no links, and a piece without bits need only be used by sets that have as many such pieces.
+SPARE = 8
+#: Rows of a bucket up to which its pairs are joined; in larger ones whole sketches are compared first, in blocks.
+FEW, BLOCK = 48, 2048
+#: Bits of a whole sketch.
+BITS = 2048
 
 
 @lru_cache(maxsize=4)
@@ -47,8 +50,9 @@ def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mixed(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64)), np.uint64(0))
 
 
-def _pieces(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the pieces of the sketches that row r has for the join of band[r], with count[r] pieces, and their rows.
+def _pieces(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the pieces of the sketches that row r has for the join of band[r], with count[r] pieces,
+    their rows, and on how many of its named pieces each row must agree with a linked one.
 
     hashes ascend in each row, and a shingle's piece follows its upper bits, so pieces lie one after another.
     """
@@ -62,11 +66,11 @@ def _pieces(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, count: np.ndar
     value = np.bitwise_xor.reduceat(mixed(bit + np.uint64(1)), starts) if len(starts) else np.zeros(0, np.uint64)
     row, number = of[starts], piece[starts]
     empty = count - np.bincount(row, minlength=rows)
-    if (bare := np.flatnonzero((empty >= SPARE) & (np.diff(at) > 0))).size:
-        for r in bare:
-            none = np.setdiff1d(np.arange(count[r], dtype=np.uint64), number[row == r])
-            row, number, value = np.concatenate([row, np.full(len(none), r)]), np.concatenate([number, none]), np.concatenate([value, np.zeros(len(none), np.uint64)])
-    return mixed(value + mixed((band[row].astype(np.uint64) << np.uint64(32)) + number)), row
+    need = np.where(empty >= SPARE, 1, SPARE - empty)  # the other one may have up to SPARE - 1 pieces without bits, unnamed
+    for r in np.flatnonzero((empty >= SPARE) & (np.diff(at) > 0)):
+        none = np.setdiff1d(np.arange(count[r], dtype=np.uint64), number[row == r])
+        row, number, value = np.concatenate([row, np.full(len(none), r)]), np.concatenate([number, none]), np.concatenate([value, np.zeros(len(none), np.uint64)])
+    return mixed(value + mixed((band[row].astype(np.uint64) << np.uint64(32)) + number)), row, need
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
@@ -82,7 +86,7 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
 
 
 def _piece_rows(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """key, sid, pieces, own: the pieces of the sketch for a set's own band and of that for the next
+    """key, sid, size, need, own: the pieces of the sketch for a set's own band and of that for the next
     one, where larger partners are. A task gives a set once, however many copies it meets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +100,12 @@ def _piece_rows(documents: DataFrame, width: int, threshold: Fraction) -> DataFr
                 hashes = hashes[np.repeat(new, np.diff(at))]
                 at = np.concatenate([[0], np.cumsum(size)])
                 band = np.searchsorted(high, size)
-                total = np.where(size > 0, count[band] + count[band + 1], 0).astype(np.int32)
                 for own in (True, False):
-                    key, row = _pieces(hashes, at, band + (not own), count[band + (not own)])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid.view(np.int64)[row]), pa.array(total[row]), pa.array(np.full(len(row), own))], ["key", "sid", "pieces", "own"])
+                    key, row, need = _pieces(hashes, at, band + (not own), count[band + (not own)])
+                    columns = [key.view(np.int64), sid.view(np.int64)[row], size[row].astype(np.int32), need[row].astype(np.int8), np.full(len(row), own)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "sid", "size", "need", "own"])
 
-    return documents.select("text").mapInArrow(rows, "key long, sid long, pieces int, own boolean")
+    return documents.select("text").mapInArrow(rows, "key long, sid long, size int, need tinyint, own boolean")
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
@@ -117,23 +121,96 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (u, v) that reach the threshold, by their whole sets."""
-    a = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("sid").alias("v"), F.col("shingles").alias("b"))
+    pairs = written(pairs)
+    a = only_ids(sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a")), pairs, "u")
+    b = only_ids(sets.select(F.col("sid").alias("v"), F.col("shingles").alias("b")), pairs, "v")
     both = F.size(F.array_intersect("a", "b"))
     met = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("either"))
     return met.where(F.col("both").cast("long") * threshold.denominator >= F.col("either").cast("long") * threshold.numerator).select("u", "v")
 
 
+def _open(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of the buckets that have rows of several values of `by`, one of them in its own band."""
+    every = Window.partitionBy("key")
+    named = rows.withColumns({"low": F.min(by).over(every), "high": F.max(by).over(every), "owned": F.max("own").over(every)})
+    return named.where("low <> high and owned").drop("low", "high", "owned")
+
+
+def _agreeing(rows: DataFrame) -> DataFrame:
+    """Rows of the sets that agree with others on as many pieces of a band as they need to be linked."""
+    enough = rows.groupBy("sid", "own").agg(F.count("*").alias("n"), F.max("need").alias("least")).where("n >= least")
+    return rows.join(enough.select("sid", "own"), ["sid", "own"], "left_semi")
+
+
+def _near_sizes(threshold: Fraction, a: str, b: str) -> F.Column:
+    return F.least(a, b).cast("long") * threshold.denominator >= F.greatest(a, b).cast("long") * threshold.numerator
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """sid, sketch: BITS bits, each shingle flipping one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shingles in batch["shingles"]:
+                bits = (mixed(shingles.values.to_numpy().view(np.uint64)) >> np.uint64(40)) % np.uint64(BITS)
+                out.append(np.packbits(np.bincount(bits.astype(np.int64), minlength=BITS) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(out, pa.binary())], ["sid", "sketch"])
+
+    return sets.select("sid", "shingles").mapInArrow(rows, "sid long, sketch binary")
+
+
+def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (u, v) across components in small buckets of sizes that can be linked."""
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "need", "own", "label"))) for x in "ab")
+    across = a.join(b, "key").where("sid_a < sid_b and label_a <> label_b and (own_a or own_b)").where(_near_sizes(threshold, "size_a", "size_b"))
+    return across.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")).distinct()
+
+
+def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (u, v) across components in large buckets whose sketches are no further apart than the
+    largest difference of linked sets of their sizes. A bucket is dealt into blocks of rows, and each
+    two blocks meet in one group, so that a group is bounded whatever the bucket's size."""
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sketches, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("own_block", "other"), "up": F.greatest("own_block", "other")})
+    share = (1 - threshold) / (1 + threshold)
+    num, den, t_num, t_den = share.numerator, share.denominator, threshold.numerator, threshold.denominator
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        low, up = g["low"].iloc[0], g["up"].iloc[0]
+        sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        sid, size, own, label, block = (g[c].to_numpy() for c in ("sid", "size", "own", "label", "own_block"))
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == up)
+        u, v = [], []
+        for at in range(0, len(a), 32):
+            i = a[at : at + 32]
+            total = size[i][:, None].astype(np.int64) + size[b][None, :]
+            fit = np.minimum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_den >= np.maximum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_num
+            fit &= (label[i][:, None] != label[b][None, :]) & (own[i][:, None] | own[b][None, :]) & (sid[i][:, None] != sid[b][None, :])
+            if not fit.any():
+                continue
+            apart = np.bitwise_count(sketch[i][:, None, :] ^ sketch[b][None, :, :]).sum(axis=2, dtype=np.int64)
+            x, y = np.nonzero(fit & (apart * den <= total * num))
+            u.append(np.minimum(sid[i[x]], sid[b[y]]))
+            v.append(np.maximum(sid[i[x]], sid[b[y]]))
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
+
+    return dealt.groupBy("key", "low", "up").applyInPandas(compare, "u long, v long").distinct()
+
+
 def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id, component_size: classes of documents that links of at least
     `threshold` Jaccard similarity of their shingles of `width` words connect.
 
     Words are runs of anything but ASCII white space, with A-Z folded. A document of fewer words than
     width has one shingle of all; null and empty texts have none and are alone. Equal sets are one
-    vertex. In each bucket of equal pieces, all sets are first held against the one that agrees with
-    others on most of its pieces (the original of a group of near copies); where a bucket still has
-    sets of several components, its pairs across components are verified, so that no link that would
-    connect components is left out. Repeated rows each give a row; an empty table gives none.
+    vertex. Every set is first held against the one that agrees with others on most pieces (the original
+    of a group of near copies) among the sets that it shares buckets with. Where a bucket still has sets of
+    several components, all its pairs across components are verified, in large buckets those whose whole
+    sketches are near enough, so that no link that would connect components is left out. Repeated rows each give a row; an empty table gives none.
     """
     docs = documents.select("doc_id", "text")
     signed = written(signatures(docs, width))
@@ -143,39 +220,26 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
         _piece_rows(docs, width, threshold)
         .withColumns({"again": F.lag("sid").over(ordered).eqNullSafe(F.col("sid")), "low": F.min("sid").over(whole), "high": F.max("sid").over(whole), "owned": F.max("own").over(whole)})
         .where("low <> high and owned and not again")
-        .select("key", "sid", "pieces", "own")
+        .select("key", "sid", "size", "need", "own")
     )
-    shared = written(shared)
+    shared = written(_open(_agreeing(written(shared)), "sid"))
+    shared = written(_agreeing(shared))
     vertices = shared.select("sid").distinct()
     chosen = signed.join(vertices, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(_sets(only_ids(docs, chosen, "doc_id"), width).join(vertices, "sid", "left_semi").dropDuplicates(["sid"]))
+    sets = written(only_ids(_sets(only_ids(docs, chosen, "doc_id"), width), vertices, "sid").dropDuplicates(["sid"]))
 
-    agreeing = shared.groupBy("sid").agg((F.count("*") / F.max("pieces")).alias("score"))
+    # each set is held against the one that it meets most often as the best of its buckets
+    score = shared.groupBy("sid").agg((F.count("*") / F.max("size")).alias("score"))
     best = Window.partitionBy("key").orderBy(F.desc("score"), "sid")
-    stars = shared.join(agreeing, "sid").withColumn("v", F.first("sid").over(best)).select(F.col("sid").alias("u"), "v").where("u <> v").distinct()
+    met = shared.join(score, "sid").withColumns({"v": F.first("sid").over(best), "other": F.first("size").over(best)}).where("sid <> v")
+    stars = met.where(_near_sizes(threshold, "size", "other")).groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
+    stars = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     links = written(_linked(stars, sets, threshold))
     labels = written(components(links, "u", "v"))
-    while True:
-        now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        every = Window.partitionBy("key")
-        now = written(now.withColumns({"low": F.min("label").over(every), "high": F.max("label").over(every)}).where("low <> high").select("key", "sid", "label", "pieces", "own"))
-        rows, pairs = now.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-        if not rows:
-            break
-        last = pairs <= PAIRS_A_ROW * rows
-        if last:
-            a, b = now.alias("a"), now.alias("b")
-            across = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.own") | F.col("b.own"))
-            tried = a.join(b, across).select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct()
-        else:
-            order = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"))
-            picked = now.withColumns({"v": F.first("sid").over(order), "to": F.first("label").over(order)})
-            tried = picked.where("label <> to").select(F.col("sid").alias("u"), "v").distinct()
-            shared = written(picked.where("sid <> v").select("key", "sid", "pieces", "own"))
-        links = written(links.unionByName(_linked(tried, sets, threshold)))
-        labels = written(components(links, "u", "v"))
-        if last:
-            break
+    now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    now = written(_open(now, "label").withColumn("rows", F.count("*").over(Window.partitionBy("key"))))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), _sketches(sets), threshold))
+    labels = written(components(links.unionByName(_linked(tried.distinct(), sets, threshold)), "u", "v"))
 
     classed = signed.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     some = classed.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))

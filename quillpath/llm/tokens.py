@@ -12,6 +12,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,9 +23,18 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _KEPT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: For tokenizers that drop white space.
 _DROPPED = re.compile(f"[^{_SPACE}]+")
+#: A word of Latin letters, perhaps after a space, and ASCII signs after it (no apostrophe, which begins contractions).
+_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,./:;?|]*)")
 _REMEMBERED, _LONGEST = 600_000, 48
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """ids of texts as little-endian integers of 16 bits, or of 32 for a vocabulary over 65,536."""
 
@@ -41,12 +51,35 @@ class Encoder:
             raise ValueError(f"{path}: neither keeps spaces before words nor drops white space")
         self.pieces = _KEPT.findall if byte_level else _DROPPED.findall
         self.special = [t["content"] for t in about["added_tokens"]]
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.letters = _byte_letters()
+        self.lower = not byte_level
+        self.words = self.tokenizer.model
         self.memory: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str], found: dict[str, bytes]) -> None:
+        """Words that the tokenizer does not cut further go to its model at once, signs after them by themselves, all else to the tokenizer."""
+        match, tokenize, code, lower, letters = _PLAIN.fullmatch, self.words.tokenize, self.code, self.lower, self.letters
+        plain = [match(p) for p in pieces]
+        whole = [p for p, m in zip(pieces, plain, strict=True) if not m]
+        whole += {m[3] for m in plain if m} - found.keys() - {""}
+        found.update(zip(whole, self._encoded(whole), strict=True))
+        found[""] = b""
+        for p, m in zip(pieces, plain, strict=True):
+            if m:
+                space, word, signs = m.groups()
+                if lower:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(letters)
+                if space and not lower:
+                    word = letters[32] + word
+                found[p] = array(code, [t.id for t in tokenize(word)]).tobytes() + found[signs]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
         whole = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
@@ -54,12 +87,12 @@ class Encoder:
         memory = self.memory
         if len(memory) > _REMEMBERED:
             memory.clear()
-        new = {p for ps in cut for p in ps if p not in memory}
-        new = list(new)
-        found = dict(zip(new, self._encoded(new), strict=True))
-        memory.update((p, ids) for p, ids in found.items() if len(p) <= _LONGEST)
-        seen = memory if all(len(p) <= _LONGEST for p in new) else memory | found
-        out = [b"".join(map(seen.__getitem__, ps)) for ps in cut]
+        new = list(set().union(*cut) - memory.keys())
+        self._learn(new, memory)
+        out = [b"".join(map(memory.__getitem__, ps)) for ps in cut]
+        for p in new:
+            if len(p) > _LONGEST:
+                del memory[p]
         for i in whole:
             out[i] = self._encoded([texts[i]])[0]
         return out
