@@ -27,6 +27,8 @@ from quillpath.llm.decontam import sets_of
 SPARE = 8
 #: Rows of a bucket up to which its pairs are joined; in larger ones whole sketches are compared first, in blocks.
 FEW, BLOCK = 48, 2048
+#: Pairs to verify that may be broadcast (16 bytes each), so that the first sets of the pairs are moved once.
+BROADCAST_PAIRS = 1_000_000
 #: Bits of a whole sketch.
 BITS = 2048
 
@@ -122,10 +124,12 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (u, v) that reach the threshold, by their whole sets."""
     pairs = written(pairs)
-    a = only_ids(sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a")), pairs, "u")
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    a = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a"))
+    a = a.join(F.broadcast(pairs), "u") if few else only_ids(a, pairs, "u").join(pairs, "u")
     b = only_ids(sets.select(F.col("sid").alias("v"), F.col("shingles").alias("b")), pairs, "v")
     both = F.size(F.array_intersect("a", "b"))
-    met = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("either"))
+    met = a.join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("either"))
     return met.where(F.col("both").cast("long") * threshold.denominator >= F.col("either").cast("long") * threshold.numerator).select("u", "v")
 
 
