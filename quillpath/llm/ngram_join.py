@@ -121,12 +121,16 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
     return documents.select("text").mapInArrow(rows, "sid long, shingles array<long>")
 
 
+def _joined(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Rows of something kept by the first set of a pair, with their pairs: few pairs are broadcast, else both sides are shuffled."""
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    return rows.join(F.broadcast(pairs) if few else pairs.hint("merge"), key)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (u, v) that reach the threshold, by their whole sets."""
     pairs = written(pairs)
-    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    a = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a"))
-    a = a.join(F.broadcast(pairs), "u") if few else only_ids(a, pairs, "u").join(pairs, "u")
+    a = _joined(sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a")), pairs, "u")
     b = only_ids(sets.select(F.col("sid").alias("v"), F.col("shingles").alias("b")), pairs, "v")
     both = F.size(F.array_intersect("a", "b"))
     met = a.join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("either"))
@@ -164,11 +168,26 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "shingles").mapInArrow(rows, "sid long, sketch binary")
 
 
-def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (u, v) across components in small buckets of sizes that can be linked."""
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "need", "own", "label"))) for x in "ab")
+def _few_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (u, v) across components in small buckets, of sizes that can be linked, whose sketches are
+    no further apart than the largest difference of linked sets of their sizes."""
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "own", "label"))) for x in "ab")
     across = a.join(b, "key").where("sid_a < sid_b and label_a <> label_b and (own_a or own_b)").where(_near_sizes(threshold, "size_a", "size_b"))
-    return across.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")).distinct()
+    pairs = written(across.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"), (F.col("size_a") + F.col("size_b")).alias("total")).distinct())
+    num, den = (1 - threshold).numerator * (1 + threshold).denominator, (1 - threshold).denominator * (1 + threshold).numerator
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, y = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("x", "y"))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                keep = pa.array(apart * den <= part["total"].to_numpy().astype(np.int64) * num)
+                yield part.select(["u", "v"]).filter(keep)
+
+    x = _joined(sketches.select(F.col("sid").alias("u"), F.col("sketch").alias("x")), pairs, "u")
+    y = sketches.select(F.col("sid").alias("v"), F.col("sketch").alias("y"))
+    return x.join(y, "v").select("u", "v", "total", "x", "y").mapInArrow(near, "u long, v long")
 
 
 def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -213,8 +232,7 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     width has one shingle of all; null and empty texts have none and are alone. Equal sets are one
     vertex. Every set is first held against the one that agrees with others on most pieces (the original
     of a group of near copies) among the sets that it shares buckets with. Where a bucket still has sets of
-    several components, all its pairs across components are verified, in large buckets those whose whole
-    sketches are near enough, so that no link that would connect components is left out. Repeated rows each give a row; an empty table gives none.
+    several components, all its pairs across components whose whole sketches are near enough are verified, so that no link that would connect components is left out. Repeated rows each give a row; an empty table gives none.
     """
     docs = documents.select("doc_id", "text")
     signed = written(signatures(docs, width))
@@ -242,7 +260,8 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     labels = written(components(links, "u", "v"))
     now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     now = written(_open(now, "label").withColumn("rows", F.count("*").over(Window.partitionBy("key"))))
-    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), _sketches(sets), threshold))
+    sketches = written(_sketches(sets))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), sketches, threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches, threshold))
     labels = written(components(links.unionByName(_linked(tried.distinct(), sets, threshold)), "u", "v"))
 
     classed = signed.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
