@@ -29,7 +29,7 @@ SPARE = 8
 FEW, BLOCK = 48, 2048
 #: Pairs to verify that may be broadcast (16 bytes each), so that the first sets of the pairs are moved once.
 BROADCAST_PAIRS = 1_000_000
-#: Bits of a whole sketch.
+#: Bits of a whole sketch that is compared in blocks.
 BITS = 2048
 
 
@@ -154,40 +154,57 @@ def _near_sizes(threshold: Fraction, a: str, b: str) -> F.Column:
     return F.least(a, b).cast("long") * threshold.denominator >= F.greatest(a, b).cast("long") * threshold.numerator
 
 
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of 64-bit words as the shorter one that the same set has: the exclusive or of its halves, again and again."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def _sketches(sets: DataFrame) -> DataFrame:
-    """sid, sketch: BITS bits, each shingle flipping one."""
+    """sid, size, fine, sketch: each shingle flips one bit of fine, which has the power of two of bits from
+    the set's size on, BITS at least and 2**24 at most, so that large sets tell apart too; sketch is folded to BITS."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            fine, out, sizes = [], [], []
             for shingles in batch["shingles"]:
-                bits = (mixed(shingles.values.to_numpy().view(np.uint64)) >> np.uint64(40)) % np.uint64(BITS)
-                out.append(np.packbits(np.bincount(bits.astype(np.int64), minlength=BITS) & 1).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(out, pa.binary())], ["sid", "sketch"])
+                hashes = mixed(shingles.values.to_numpy().view(np.uint64)) >> np.uint64(40)
+                bits = min(2**24, max(BITS, 1 << (len(hashes) - 1).bit_length()))
+                packed = np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+                fine.append(packed.tobytes())
+                out.append(_folded(packed, BITS // 64).tobytes())
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sizes, pa.int32()), pa.array(fine, pa.binary()), pa.array(out, pa.binary())], ["sid", "size", "fine", "sketch"])
 
-    return sets.select("sid", "shingles").mapInArrow(rows, "sid long, sketch binary")
+    return sets.select("sid", "shingles").mapInArrow(rows, "sid long, size int, fine binary, sketch binary")
 
 
-def _few_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (u, v) across components in small buckets, of sizes that can be linked, whose sketches are
-    no further apart than the largest difference of linked sets of their sizes."""
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "own", "label"))) for x in "ab")
-    across = a.join(b, "key").where("sid_a < sid_b and label_a <> label_b and (own_a or own_b)").where(_near_sizes(threshold, "size_a", "size_b"))
-    pairs = written(across.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"), (F.col("size_a") + F.col("size_b")).alias("total")).distinct())
+def _near(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (u, v) whose fine sketches are no further apart than the largest difference of linked sets of their sizes."""
+    pairs = written(pairs)
     num, den = (1 - threshold).numerator * (1 + threshold).denominator, (1 - threshold).denominator * (1 + threshold).numerator
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                x, y = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("x", "y"))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                keep = pa.array(apart * den <= part["total"].to_numpy().astype(np.int64) * num)
-                yield part.select(["u", "v"]).filter(keep)
+            total, keep = batch["total"].to_pylist(), []
+            for x, y, n in zip(batch["x"], batch["y"], total, strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                words = min(len(x), len(y))
+                apart = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64))
+                keep.append(apart * den <= n * num)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    x = _joined(sketches.select(F.col("sid").alias("u"), F.col("size").alias("n"), F.col("fine").alias("x")), pairs, "u")
+    y = sketches.select(F.col("sid").alias("v"), F.col("size").alias("m"), F.col("fine").alias("y"))
+    return x.join(y, "v").select("u", "v", (F.col("n").cast("long") + F.col("m")).alias("total"), "x", "y").mapInArrow(near, "u long, v long")
 
-    x = _joined(sketches.select(F.col("sid").alias("u"), F.col("sketch").alias("x")), pairs, "u")
-    y = sketches.select(F.col("sid").alias("v"), F.col("sketch").alias("y"))
-    return x.join(y, "v").select("u", "v", "total", "x", "y").mapInArrow(near, "u long, v long")
+
+def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (u, v) across components in small buckets of sizes that can be linked."""
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "own", "label"))) for x in "ab")
+    across = a.join(b, "key").where("sid_a < sid_b and label_a <> label_b and (own_a or own_b)").where(_near_sizes(threshold, "size_a", "size_b"))
+    return across.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")).distinct()
 
 
 def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -250,19 +267,21 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     chosen = signed.join(vertices, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     sets = written(only_ids(_sets(only_ids(docs, chosen, "doc_id"), width), vertices, "sid").dropDuplicates(["sid"]))
 
+    sketches = written(_sketches(sets))
+
     # each set is held against the one that it meets most often as the best of its buckets
     score = shared.groupBy("sid").agg((F.count("*") / F.max("size")).alias("score"))
     best = Window.partitionBy("key").orderBy(F.desc("score"), "sid")
     met = shared.join(score, "sid").withColumns({"v": F.first("sid").over(best), "other": F.first("size").over(best)}).where("sid <> v")
     stars = met.where(_near_sizes(threshold, "size", "other")).groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
     stars = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    links = written(_linked(stars, sets, threshold))
+    links = written(_linked(_near(stars.select("u", "v"), sketches, threshold), sets, threshold))
     labels = written(components(links, "u", "v"))
     now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     now = written(_open(now, "label").withColumn("rows", F.count("*").over(Window.partitionBy("key"))))
-    sketches = written(_sketches(sets))
-    tried = _few_pairs(now.where(F.col("rows") <= FEW), sketches, threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches, threshold))
-    labels = written(components(links.unionByName(_linked(tried.distinct(), sets, threshold)), "u", "v"))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold))
+    tried = _near(tried.distinct(), sketches, threshold)
+    labels = written(components(links.unionByName(_linked(tried, sets, threshold)), "u", "v"))
 
     classed = signed.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     some = classed.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))
