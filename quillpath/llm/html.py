@@ -1,4 +1,4 @@
-"""Main text of web pages: marked articles, and differencing against the page with the nearest URL."""
+"""Main text of web pages: structure, and differencing against the page with the nearest URL."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ FURNITURE = frozenset(
     "breadcrumb breadcrumbs sidebar footer header masthead comment comments commentlist respond disqus share sharing social related recommended newsletter subscribe "
     "subscription signup popup modal overlay widget toolbar pagination pager skip".split()
 )
+#: Elements that hold lines together inside an article or main element.
+BOXES = frozenset("div section ul ol dl table aside details figure center article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -52,31 +54,33 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], bool]:
-    """Text lines (blocks) of the page without furniture, and whether they are those of a marked article.
+def blocks_of(page: str) -> list[tuple[str | None, str]]:
+    """Text lines (blocks) of the page without structural furniture, each with its box.
 
-    If the page has article elements, or else a main element, only what is in them is given.
+    The box is None outside of article and main elements. Inside, it is the innermost box element by its
+    name and attributes, so that boxes of one make are one; lines of the main element itself, and
+    of an article that is the only one of its make, have the empty box.
     """
-    blocks: list[tuple[str, str]] = []  # zone and text
-    stack: list[tuple[str, bool, str]] = []  # open elements: name, furniture, zone inside
-    open_ = Counter()
+    blocks: list[tuple[str | None, str]] = []
+    stack: list[tuple[str, bool, str, str | None]] = []  # open elements: name, furniture, zone and box inside
+    open_, made = Counter(), Counter()
     parts: list[str] = []
-    off, zone = 0, ""
+    off, zone, box = 0, "", None
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                blocks.append((zone, text))
+                blocks.append((box, text))
 
     def close(to: int) -> None:
-        nonlocal off, zone
+        nonlocal off, zone, box
         while len(stack) > to:
-            tag, bad, _ = stack.pop()
+            tag, bad, *_ = stack.pop()
             open_[tag] -= 1
             off -= bad
-        zone = stack[-1][2] if stack else ""
+        zone, box = stack[-1][2:] if stack else ("", None)
 
     at, n = 0, len(page)
     while at < n:
@@ -132,13 +136,19 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         open_[tag] += 1
         if not off and tag in ("article", "main"):
             zone = "article" if tag == "article" or zone == "article" else "main"
-        stack.append((tag, bad, zone))
+            box = box or ""
+        if not off and zone and tag in BOXES:
+            box = f"{tag} {' '.join(attributes.split())}"
+            made[box] += 1
+        stack.append((tag, bad, zone, box))
     flush()
-    for wanted in ("article", "main"):
-        if any(z == wanted for z, _ in blocks):
-            keep = {"article"} if wanted == "article" else {"article", "main"}
-            return [t for z, t in blocks if z in keep], True
-    return [t for _, t in blocks], False
+    return [("" if b and b.startswith("article ") and made[b] == 1 else b, t) for b, t in blocks]
+
+
+def lines_of(page: str) -> tuple[list[str], bool]:
+    """Text lines of the page without structural furniture, and whether any is in an article or main element."""
+    blocks = blocks_of(page)
+    return [t for _, t in blocks], any(b is not None for b, _ in blocks)
 
 
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
@@ -175,7 +185,26 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-_LINES = "page_id long, url string, lines array<string>, marked boolean, hashes array<long>"
+def main_lines(lines: list[str], boxes: list[str | None], own: list[int], other: list[int] | None) -> list[str]:
+    """The lines without what the other page has too, both given by hashes.
+
+    Shared lines outside of article and main elements go. Inside, sentences may be shared and true:
+    shared lines of a box go only if all lines of the boxes of its make are shared, and only if they
+    have less text than what remains; others stay. If all lines are shared, the pages are copies and the lines stay.
+    """
+    shared = shared_lines(own, other) if other else set()
+    if not shared or len(shared) == len(lines):
+        return lines
+    single = {b for i, b in enumerate(boxes) if i not in shared}
+    outside = {i for i in shared if boxes[i] is None}
+    inside = {i for i in shared if boxes[i] and boxes[i] not in single}
+    size = lambda at: sum(len(lines[i]) for i in at)
+    if 2 * size(inside) >= size(range(len(lines))) - size(outside):
+        inside = set()
+    return [t for i, t in enumerate(lines) if i not in outside and i not in inside]
+
+
+_LINES = "page_id long, url string, lines array<string>, boxes array<string>, hashes array<long>"
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -183,11 +212,12 @@ def _parsed(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = [lines_of(h or "") for h in part["html"].to_pylist()]
-                hashes = [[xxhash.xxh64_intdigest(t) - 2**63 for t in lines] for lines, _ in got]
+                got = [blocks_of(h or "") for h in part["html"].to_pylist()]
+                lines, boxes = ([[x[k] for x in g] for g in got] for k in (1, 0))
+                hashes = [[xxhash.xxh64_intdigest(t) - 2**63 for t in x] for x in lines]
                 yield pa.RecordBatch.from_arrays(
-                    [part["page_id"], part["url"], pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got]), pa.array(hashes, pa.list_(pa.int64()))],
-                    ["page_id", "url", "lines", "marked", "hashes"],
+                    [part["page_id"], part["url"], *(pa.array(x, pa.list_(pa.string())) for x in (lines, boxes)), pa.array(hashes, pa.list_(pa.int64()))],
+                    ["page_id", "url", "lines", "boxes", "hashes"],
                 )
 
     return pages.select("page_id", "url", "html").mapInArrow(parse, _LINES)
@@ -196,20 +226,20 @@ def _parsed(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Structural furniture goes first. Lines of a marked article stay whole. On a page without article
-    or main element, lines that the page of the nearest URL has too, aligned by longest common
-    subsequence, are furniture of the host and go. Nearest is, of the two neighbours in the order of
-    paths within the host, the one with the longer common beginning (the earlier, if equal). If all
-    lines of a page are shared, the pages are copies and the lines stay. Null and empty html give an
-    empty text; pages of null url have no neighbours; of repeated page_ids one stands for all as a
-    neighbour; an empty table gives no rows; other columns are ignored.
+    Structural furniture goes first. Then every page is aligned by longest common subsequence with the page
+    of the nearest URL, and the lines that both have are furniture of the host and go, but for those
+    that main_lines keeps in articles. Nearest is, of the two neighbours in the order of paths within
+    the host, the one with the longer common beginning (the earlier, if equal); one with the same
+    lines gives way to the other. If all lines of a page are shared, the pages are copies and the
+    lines stay. Null and empty html give an empty text; pages of null url have no neighbours; of repeated
+    page_ids one stands for all as a neighbour; an empty table gives no rows; other columns are ignored.
     """
     parsed = _parsed(pages)
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
     keys = parsed.where("url is not null").select("page_id", host.alias("host"), path.alias("path"), "hashes")
     order = Window.partitionBy("host").orderBy("path", "page_id")
-    near = keys.select("page_id", "path", *(f("path").over(order).alias(f"{n}_path") for f, n in ((F.lag, "before"), (F.lead, "after"))), *(f("hashes").over(order).alias(n) for f, n in ((F.lag, "before"), (F.lead, "after"))))
+    near = keys.select("page_id", "path", "hashes", *(f("path").over(order).alias(f"{n}_path") for f, n in ((F.lag, "before"), (F.lead, "after"))), *(f("hashes").over(order).alias(n) for f, n in ((F.lag, "before"), (F.lead, "after"))))
 
     def common(other: str) -> F.Column:
         """How long the beginning is that path has in common with other; -1 without one."""
@@ -217,16 +247,17 @@ def main_text(pages: DataFrame) -> DataFrame:
         differs = F.filter(F.sequence(F.lit(1), n), lambda i: F.substr("path", i, F.lit(1)) != F.substr(other, i, F.lit(1)))
         return F.when(F.col(other).isNull(), -1).when(n < 1, 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, n))
 
-    near = near.select("page_id", F.when(common("before_path") >= common("after_path"), F.col("before")).otherwise(F.col("after")).alias("near"))
+    earlier = common("before_path") >= common("after_path")
+    copy = lambda c: F.coalesce(F.col(c) == F.col("hashes"), F.lit(False))
+    earlier = F.when(earlier, ~copy("before") | F.col("after").isNull()).otherwise(copy("after") & F.col("before").isNotNull())
+    near = near.select("page_id", F.when(earlier, F.col("before")).otherwise(F.col("after")).alias("near"))
     near = near.groupBy("page_id").agg(F.first("near", ignorenulls=True).alias("near"))
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for lines, marked, own, other in zip(*(batch[c].to_pylist() for c in ("lines", "marked", "hashes", "near")), strict=True):
-                gone = set() if marked or not other else shared_lines(own, other)
-                kept = [t for i, t in enumerate(lines) if i not in gone] or lines
-                texts.append(" ".join(kept))
+            for row in zip(*(batch[c].to_pylist() for c in ("lines", "boxes", "hashes", "near")), strict=True):
+                texts.append(" ".join(main_lines(*row)))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return parsed.join(near, "page_id", "left").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
