@@ -22,12 +22,21 @@ BASE = {
 }
 #: What a text must contain for a base pattern to match it, as a cheap test.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Generators of further candidates, with their kind. Each is meant to miss nothing; most of what it gives is rejected.
+_AT = r" ?(?:@|\(at\)|\[at\]|\{at\}|(?<= )at(?= )) ?"
+_LOCAL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+"
+_NEEDS_AT = r"(?i)@|[(\[{]at[)\]}]| at "
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+#: Generators of further candidates, with their kind and a cheap test that every text with a match passes.
+#: Each is wide; most of what it gives is rejected. Where two of a kind give different spans, the likelier one counts.
 GENERATORS = (
-    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\{at\}|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|(?<= )dot(?= )) ?[A-Za-z0-9-]{1,63}){1,4}", r"(?i)[(\[{]at[)\]}]|[(\[{]dot[)\]}]| dot "),
+    ("email", _LOCAL + _AT + r"[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|(?<= )dot(?= )) ?[A-Za-z0-9-]{1,63}){1,4}", _NEEDS_AT),
+    ("email", _LOCAL + _AT + r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}", _NEEDS_AT),
     ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+    ("ip", rf"(?<![0-9A-Za-z:.])(?=(?:[0-9A-Fa-f]{{0,4}}:){{2,8}}[0-9A-Fa-f]{{0,4}}(?![0-9A-Za-z:]))(?:{_GROUPS})?::(?:{_GROUPS})?(?![0-9A-Za-z:])", "::"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ ./-]{0,2}+[0-9]){12,18}+(?![0-9A-Za-z])", "[0-9](?:[ ./-]{0,2}[0-9]){12}"),
     ("phone", r"(?<![0-9A-Za-z.+])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])", "[0-9]{2,4}[)]?[ ./-]{1,2}[0-9]{3,4}"),
+    ("phone", r"(?<![0-9A-Za-z.+])\([0-9]{2,4}\)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])", r"\([0-9]{2,4}\)[0-9]{3}"),
+    ("phone", r"(?<![0-9A-Za-z.+])(?:\([0-9]{2,4}\)[ ./-]{0,2}|[0-9]{2,4}[ ./-]{1,2})[0-9]{2}(?:[ ./-]{1,2}[0-9]{2}){2,4}(?![0-9A-Za-z])", "[0-9]{2}(?:[ ./-]{1,2}[0-9]{2}){2}"),
 )
 _SPAN = "array<struct<kind:string,start:int,end:int,text:string,before:string,after:string>>"
 #: Characters before and after a span that its features see.
@@ -102,7 +111,7 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """What the generators propose; spans of different generators may overlap."""
     empty = F.array().cast(_SPAN)
-    return F.concat(*(F.when(text.rlike(need), _located(text, pattern, kind)).otherwise(empty) for kind, pattern, need in GENERATORS))
+    return F.array_distinct(F.concat(*(F.when(text.rlike(need), _located(text, pattern, kind)).otherwise(empty) for kind, pattern, need in GENERATORS)))
 
 
 # ---- features, trees, thresholds -------------------------------------------------------------------
@@ -134,6 +143,9 @@ def features(c: Column) -> list[Column]:
         flag(before.rlike("[a-z0-9]$")),
         flag(after.rlike("^[0-9A-Za-z]")),
         flag(before.rlike(r"[0-9][ .,-]*$") | after.rlike(r"^[ .,-]*[0-9]")),
+        count("[:]"), flag(t.contains("::")), flag(t.contains("@")), flag(t.rlike("(?i) at ")), flag(t.contains(". ")),
+        flag(t.rlike(r"(?i)(?:\.|[(\[{]dot[)\]}] ?)[a-z]{2,6}$")),
+        flag(t.rlike(r"^0[1-9]([ ./-])[0-9]{2}(?:\1[0-9]{2}){3}$")),
     ]
 
 
@@ -164,7 +176,7 @@ def _examples(seed: int = 3) -> list[tuple[str, int]]:
         out.append((pick("order no ", "", "ref ", f"{name()} ") + grouped(checked(d(15), False)), 0))
         out.append((pick("id ", "", "token ") + checked(d(int(rng.integers(12, 17))), False), 0))
         out.append((f"isbn 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", 0))
-        out.append((pick("call ", "tel. ", "phone: ", "") + pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"), 1))
+        out.append((pick("call ", "tel. ", "phone: ", "") + pick(f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}){d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"), 1))
         out.append((pick("tel ", "fax ", "mobile: ") + f"0{d(3)} {d(3)} {d(4)}", 1))
         out.append((pick("", "date ", f"{name()} ") + f"{pick('19', '20')}{d(2)}-{d(4)} {d(4)}", 0))
         out.append((pick("", "order ", f"{name()} ") + f"{d(3)} {d(3)} {d(3)}", 0))
@@ -172,6 +184,19 @@ def _examples(seed: int = 3) -> list[tuple[str, int]]:
         out.append((pick("", "version ", "no ") + f"{d(2)}.{d(3)}.{d(3)}", 0))
         out.append((pick("ip ", "host ", "", "server ") + ":".join(f"{rng.integers(0x1000, 0xFFFF):x}" for _ in range(8)), 1))
         out.append((":".join(d(2) for _ in range(8)), 0))
+        some = lambda low, high: ":".join(f"{rng.integers(1, 0xFFFF):x}" for _ in range(rng.integers(low, high)))
+        out.append((pick("ip ", "host ", "", "server ", "address ") + pick(f"2001:db8::{some(1, 4)}", f"fe80::{some(2, 5)}", f"{some(2, 4)}::{some(1, 4)}"), 1))
+        out.append((pick("", f"{name()} ", "in ") + pick("add::face", "a::b", "::", "dead::beef", f"{pick(*'abcdef')}::{pick('add', 'bad', 'fed', 'dad')}", "::add"), 0))
+        place, word = pick("com", "org", "net", "de", "fr"), f"{name()} at {name()}"
+        out.append((f"{mail}{pick(name(), name() + '.' + name())}{pick(' @ ', ' @', '@ ')}{name()}.{place}", 1))
+        out.append((pick("mail: ", "contact ", "e-mail ", "write to ") + f"{word}.{place}", 1))
+        out.append((pick("we met ", "it was ", f"{name()}. ") + f"{word}.{pick(' ', '  ')}{name().capitalize()}", 0))
+        out.append((f"{word}. {name()}. {name().capitalize()}", 0))
+        out.append((pick("we met ", "", "it was ") + f"{name()}{pick('', '.', '. ')} at {name()}. {pick('La', 'De', 'The', 'It', name())}", 0))
+        between = pick(" ", ".", "-", " ")
+        out.append((pick("tel ", "call ", "", "mobile: ", "fax ") + between.join([f"0{rng.integers(1, 10)}", *(d(2) for _ in range(4))]), 1))
+        out.append((pick("", "order ", "no ", f"{name()} ") + between.join([f"{rng.integers(1, 10)}{d(1)}", *(d(2) for _ in range(rng.integers(3, 6)))]), 0))
+        out.append((" ".join([f"0{rng.integers(1, 10)}", *(d(2) for _ in range(rng.integers(5, 12)))]), 0))
     return [(f"{name()} {name()} {t} {name()}", y) for t, y in out]
 
 
@@ -271,14 +296,16 @@ def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
     # free of the base spans first, so that most documents have nothing left to score
     free = F.filter("_proposed", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
+    size = len(features(F.struct(*(F.lit("").alias(n) for n in ("kind", "text", "before", "after")))))
+
     def score(c: Column) -> Column:
-        x = F.transform(F.array(F.array(*features(c))), lambda v: model.expression([v[i] for i in range(24)]))[0]
+        x = F.transform(F.array(F.array(*features(c))), lambda v: model.expression([v[i] for i in range(size)]))[0]
         return F.struct(x.alias("p"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
 
     cut = lambda s: F.coalesce(*(F.when(s["kind"] == k, F.lit(v)) for k, v in cuts.items()))
     likely = F.filter(F.transform(free, score), lambda s: s["p"] >= cut(s))
     found = found.withColumn("_likely", likely)
-    beats = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
+    beats = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & ((a["kind"] < b["kind"]) | ((a["kind"] == b["kind"]) & (a["end"] > b["end"]))))))
     more = F.filter("_likely", lambda s: ~F.exists("_likely", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & beats(o, s)))
     slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(span)
     return found.withColumn("more", slim(more)).withColumn("base", slim(F.col("base"))).drop("_proposed", "_likely")
