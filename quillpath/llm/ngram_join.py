@@ -241,16 +241,8 @@ def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> Da
     return dealt.groupBy("key", "low", "up").applyInPandas(compare, "u long, v long").distinct()
 
 
-def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id, component_size: classes of documents that links of at least
-    `threshold` Jaccard similarity of their shingles of `width` words connect.
-
-    Words are runs of anything but ASCII white space, with A-Z folded. A document of fewer words than
-    width has one shingle of all; null and empty texts have none and are alone. Equal sets are one
-    vertex. Every set is first held against the one that agrees with others on most pieces (the original
-    of a group of near copies) among the sets that it shares buckets with. Where a bucket still has sets of
-    several components, all its pairs across components whose whole sketches are near enough are verified, so that no link that would connect components is left out. Repeated rows each give a row; an empty table gives none.
-    """
+def _prepared(documents: DataFrame, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the pieces of sets that may have links, the whole sets of these, and their sketches."""
     docs = documents.select("doc_id", "text")
     signed = written(signatures(docs, width))
     ordered = Window.partitionBy("key").orderBy("sid")
@@ -268,6 +260,20 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     sets = written(only_ids(_sets(only_ids(docs, chosen, "doc_id"), width), vertices, "sid").dropDuplicates(["sid"]))
 
     sketches = written(_sketches(sets))
+    return signed, shared, sets, sketches
+
+
+def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """doc_id, n_shingles, component_id, component_size: classes of documents that links of at least
+    `threshold` Jaccard similarity of their shingles of `width` words connect.
+
+    Words are runs of anything but ASCII white space, with A-Z folded. A document of fewer words than
+    width has one shingle of all; null and empty texts have none and are alone. Equal sets are one
+    vertex. Every set is first held against the one that agrees with others on most pieces (the original
+    of a group of near copies) among the sets that it shares buckets with. Where a bucket still has sets of
+    several components, all its pairs across components whose whole sketches are near enough are verified, so that no link that would connect components is left out. Repeated rows each give a row; an empty table gives none.
+    """
+    signed, shared, sets, sketches = _prepared(documents, width, threshold)
 
     # each set is held against the one that it meets most often as the best of its buckets
     score = shared.groupBy("sid").agg((F.count("*") / F.max("size")).alias("score"))
@@ -290,6 +296,40 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     return full.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).cast("long").alias("component_size"))
 
 
+def _class_links(documents: DataFrame, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and all links (u, v) between different sets, those inside components too."""
+    signed, shared, sets, sketches = _prepared(documents, width, threshold)
+    sizes = shared.groupBy("key").agg(F.count("*").alias("rows"))
+    now = written(shared.withColumn("label", F.col("sid")).join(sizes, "key"))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold))
+    return signed, written(_linked(_near(tried.distinct(), sketches, threshold), sets, threshold))
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    return signed.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+def links(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """a, b, a_copies, b_copies: every link between different sets that reaches the threshold, each by the
+    smallest doc_id of its set, with the number of rows that have the set. Words and shingles are as in
+    similar. As many rows as links: they grow with the square of a group of near copies."""
+    signed, pairs = _class_links(documents, width, threshold)
+    classes = _classes(signed)
+    u, v = (classes.select(F.col("sid").alias(k), F.struct("doc_id", "copies").alias(f"_{k}")) for k in "uv")
+    low, high = F.least("_u", "_v"), F.greatest("_u", "_v")
+    return pairs.join(u, "u").join(v, "v").select(low["doc_id"].alias("a"), high["doc_id"].alias("b"), low["copies"].alias("a_copies"), high["copies"].alias("b_copies"))
+
+
+def link_counts(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """doc_id, n_links of every row: how many other rows are linked to it, copies of its own set among them."""
+    signed, pairs = _class_links(documents, width, threshold)
+    classes = written(_classes(signed))
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.join(classes.select(F.col("sid").alias("v"), "copies"), "v").groupBy(F.col("u").alias("sid")).agg(F.sum("copies").alias("n"))
+    each = classes.select("sid", "copies").join(near, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return signed.join(each, "sid", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 #: op6 in SQL over all pairs that share a shingle.
 ORACLE_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
