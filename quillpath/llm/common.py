@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,26 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, about, where the session says nothing: Spark's own 64 MB are held several times over by JVM and Python.
+BATCH_BYTES = "4MB"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES in this session from now on, unless spark.sql.execution.arrow.maxBytesPerBatch is set."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches that are bounded in bytes, however long texts are."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is in ids, or is not with how="left_anti". The ids are broadcast if there are
     at most broadcast_rows of them (16 MB); beyond that both sides are shuffled on the key."""
-    ids = ids.select(key).distinct()
+    ids = written(ids.select(key).distinct())
     few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
@@ -47,7 +63,7 @@ _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = _RNG.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,11 +135,25 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> t
     return mixed((sums[ends] - before) * inverse[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
-def row_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about a megabyte each; a longer row is alone."""
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of ascending ranges, by the same polynomial, for about 256 kB at once."""
+    out, a = np.zeros(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _SLICE, "right")))
+        base, length = int(starts[a]), (ends[a:b] - starts[a:b]).astype(np.uint64)
+        power, inverse = _powers(int(ends[b - 1]) - base)
+        sums = np.zeros(len(power) + 1, np.uint64)
+        np.cumsum(_BYTE[data[base : ends[b - 1]]] * power, out=sums[1:])
+        out[a:b] = mixed((sums[ends[a:b] - base] - sums[starts[a:b] - base]) * inverse[starts[a:b] - base] + length)
+        a = b
+    return out
+
+
+def row_slices(offsets: np.ndarray, size: int = _SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about size bytes each; a longer row is alone."""
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _SLICE, "right")) - 1)
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, min(to, rows)
         row = min(to, rows)
 
@@ -155,6 +185,17 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int, short: boo
     return hashes, of
 
 
+def run_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of `width` words within a row, and the row of each, as shingle_hashes names a row of so few words."""
+    span = max(len(words) - width + 1, 0)
+    out = np.full(span, np.uint64(width) * _PLACE[15])
+    for j in range(width):
+        out += words[j : j + span] * _PLACE[j]
+    row = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
+    keep = row[:span] == row[width - 1 :][:span]
+    return mixed(out[keep]), row[:span][keep]
+
+
 def row_sets(hashes: np.ndarray, of: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each row, ascending, and the offsets of the rows in them."""
     order = np.lexsort((hashes, of))

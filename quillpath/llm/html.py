@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillpath.llm.common import map_arrow, written
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -220,7 +222,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                     ["page_id", "url", "lines", "boxes", "hashes"],
                 )
 
-    return pages.select("page_id", "url", "html").mapInArrow(parse, _LINES)
+    return map_arrow(pages.select("page_id", "url", "html"), parse, _LINES)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import row_slices, utf8
+from quillpath.llm.common import map_arrow, row_slices, utf8
 
 #: Bytes that the network reads at once, from both ends, beginning with an empty state.
 SEGMENT = 64
@@ -176,7 +176,7 @@ def trained(documents: DataFrame) -> tuple[Network | None, list[str]]:
             lang = batch["lang"].take(pa.array(of[take]))
             yield pa.RecordBatch.from_arrays([lang, pa.array([segments[i, : lengths[i]].tobytes() for i in take], pa.binary())], ["lang", "segment"])
 
-    rows = sorted((r["lang"], bytes(r["segment"])) for r in chosen.mapInArrow(pieces, "lang string, segment binary").collect())
+    rows = sorted((r["lang"], bytes(r["segment"])) for r in map_arrow(chosen, pieces, "lang string, segment binary").collect())
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None, []
@@ -213,4 +213,4 @@ def identified(documents: DataFrame) -> DataFrame:
 
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(known, F.col("text")).alias("text"), known.alias("known"))
-    return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, label, "doc_id long, held_out boolean, lang_pred string, score double")

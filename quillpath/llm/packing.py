@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import written
-from quillpath.llm.tokens import crc32_of, encoder
+from quillpath.llm.common import map_arrow, written
+from quillpath.llm.tokens import crc32s, encoder
 
 #: Rows of one length are numbered in this many parts, so that no length lies in one task.
 PARTS = 64
@@ -25,23 +25,22 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, kee
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows: list[tuple] = []
-                for doc, data in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist()), strict=True):
-                    ids = np.frombuffer(data + end, enc.dtype)
-                    first = len(ids) % capacity or capacity
-                    bounds = [0, *range(first, len(ids) + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        rows.append((doc, k, a, b - a, crc32_of(ids[a:b])) + ((ids[a:b].tobytes(),) if keep_ids else ()))
-                columns = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names[: len(columns)])
-
-    return documents.select("doc_id", "text").mapInArrow(cut, schema)
+            for row, ids, at in enc.rows(batch["text"], end_id):
+                size = np.diff(at)
+                n = -(-size // capacity)
+                of = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                first = size - (n - 1) * capacity
+                start = np.where(piece == 0, 0, first[of] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[of], capacity)
+                bounds = np.concatenate([[0], np.cumsum(length)])
+                columns = [batch["doc_id"].take(pa.array(row + of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc32s(ids, bounds))]
+                if keep_ids:
+                    columns.append(pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+
+    return map_arrow(documents.select("doc_id", "text"), cut, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

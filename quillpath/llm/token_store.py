@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import mixed
-from quillpath.llm.tokens import crc32_of, encoder
+from quillpath.llm.common import map_arrow, mixed
+from quillpath.llm.tokens import crc32s, encoder
 
 SHARD_IDS = 1 << 20
 #: Keys of a bucket of the index, about.
@@ -93,35 +93,30 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int) ->
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         context = TaskContext.get()
-        part, seq = context.partitionId() if context else 0, 0
-        docs: list[int] = []
-        payloads: list[bytes] = []
-        held = 0
+        part, seq, held = context.partitionId() if context else 0, 0, 0
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def shard() -> pa.RecordBatch:
-            sizes = np.array([len(p) // enc.dtype.itemsize for p in payloads], "<u4")
-            row = [part, seq, len(docs), int(sizes.sum()), enc.dtype.itemsize, np.array(docs, "<i8").tobytes(), sizes.tobytes(), b"".join(payloads)]
+            docs, sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row = [part, seq, len(docs), len(ids), enc.dtype.itemsize, docs.tobytes(), sizes.tobytes(), ids.tobytes()]
             types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [c.split()[0] for c in _SHARDS.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc, ids in zip(piece["doc_id"].to_pylist(), enc.encode(piece["text"].to_pylist()), strict=True):
-                    docs.append(NULL_KEY if doc is None else doc)
-                    payloads.append(ids + end)
-                    held += len(payloads[-1]) // enc.dtype.itemsize
-                    if held >= SHARD_IDS:
-                        yield shard()
-                        docs, payloads, held, seq = [], [], 0, seq + 1
-        if docs:
+            docs = batch["doc_id"].fill_null(NULL_KEY).to_numpy().astype("<i8")
+            for row, ids, at in enc.rows(batch["text"], end_id):
+                parts.append((docs[row : row + len(at) - 1], np.diff(at).astype("<u4"), ids))
+                held += len(ids)
+                if held >= SHARD_IDS:
+                    yield shard()
+                    parts, held, seq = [], 0, seq + 1
+        if parts:
             yield shard()
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents.select("doc_id", "text").repartitionByRange(ranges, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    ordered.mapInArrow(shards, _SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
+    map_arrow(ordered, shards, _SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
     _write_index(spark, path)
 
 
@@ -143,7 +138,7 @@ def _write_index(spark: SparkSession, path: str) -> None:
                 columns = [docs, np.full(n, row["part"], np.int32), np.full(n, row["seq"], np.int32), at, sizes, at + row["start"]]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "part", "seq", "offset", "n_tokens", "start"])
 
-    keys = placed.select("part", "seq", "docs", "sizes", "start").mapInArrow(entries, f"{_PLACES}, start long")
+    keys = map_arrow(placed.select("part", "seq", "docs", "sizes", "start"), entries, f"{_PLACES}, start long")
     buckets = max(1, int(totals["docs"].sum()) // BUCKET_KEYS)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -199,17 +194,16 @@ def read_slices(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
             for row in batch.to_pylist():
                 ids, sizes = np.frombuffer(row["ids"], f"<u{row['width']}"), np.frombuffer(row["sizes"], "<u4").astype(np.int64)
                 ends = np.cumsum(sizes)
-                cuts = [ids[b - n : b] for b, n in zip(ends, sizes, strict=True)]
-                n = len(sizes)
-                columns = [np.full(n, row["part"], np.int32), np.full(n, row["seq"], np.int32), ends - sizes, sizes, np.array([crc32_of(c) for c in cuts], np.int64)]
+                n, bounds = len(sizes), np.concatenate([[0], ends])
+                columns = [np.full(n, row["part"], np.int32), np.full(n, row["seq"], np.int32), ends - sizes, sizes, crc32s(ids, bounds)]
                 names = ["part", "seq", "offset", "n_tokens", "ids_crc32"]
                 arrays = list(map(pa.array, columns))
                 if with_ids:
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return shards.mapInArrow(read, "part int, seq int, offset long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return map_arrow(shards, read, "part int, seq int, offset long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
@@ -226,7 +220,7 @@ def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                 parts = [(s["doc_id"], ids[s["offset"] : s["offset"] + s["n_tokens"]].astype(np.int32)) for s in row["slices"]]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([v for _, v in parts], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return shards.join(slices, ["part", "seq"]).mapInArrow(cut, "doc_id long, ids array<int>")
+    return map_arrow(shards.join(slices, ["part", "seq"]), cut, "doc_id long, ids array<int>")
 
 
 def stored_digests(documents: DataFrame, path: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Token ids of whole texts by public tokenizers, with a memory of the pieces met before.
 
-A tokenizer that never joins text across white space gives the same ids for a text as for its
-space-delimited pieces one after another. Most pieces repeat, so each is encoded once per task and
-looked up afterwards. A text with the string of a special token is encoded whole, as such a string
-cuts a text before the pieces are made.
+A tokenizer that never joins text across a cut gives the same ids for a text as for its pieces one
+after another. Cuts lie before runs of white space, and between an ASCII letter and an ASCII sign
+(no apostrophe, which begins contractions). Pieces are found and named by 64-bit hashes of their bytes
+with array operations; each name is looked up once for a slice of rows, and only pieces not met
+before go to the tokenizer. Two different pieces of a worker's memory share a name with a chance of
+about its size squared over 2**65: under 1e-8. A text with the string of a special token is one piece.
 """
 
 from __future__ import annotations
@@ -13,19 +15,27 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space as Unicode has it, which differs from that of Python's re.
-_SPACE = "\t-\r \x85\xa0  -     　"
-#: For tokenizers that keep spaces: a word with a space before it, or a run of spaces up to the last one before a word.
-_KEPT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: For tokenizers that drop white space.
-_DROPPED = re.compile(f"[^{_SPACE}]+")
-#: A word of Latin letters, perhaps after a space, and ASCII signs after it (no apostrophe, which begins contractions).
-_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,./:;?|]*)")
-_REMEMBERED, _LONGEST = 600_000, 48
+from quillpath.llm.common import ASCII_SPACE, range_hashes, row_slices, utf8
+
+_SPACE = ~ASCII_SPACE
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
+#: White space outside ASCII, as Unicode has it, by its bytes as a number.
+_WIDE_SPACE = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+#: A word of Latin letters, perhaps after a space: the tokenizers here do not cut it further.
+_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+#: Pieces that a worker remembers (about 200 bytes each), and the longest of them in bytes.
+_REMEMBERED, _LONGEST = 400_000, 48
+#: Bytes of text that are looked up at once.
+_SLICE = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,56 +56,114 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
         byte_level = about["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        lower = any(x.get("type") == "Replace" for x in (about.get("normalizer") or {}).get("normalizers", []))
-        if not byte_level and not lower:
+        self.lower = any(x.get("type") == "Replace" for x in (about.get("normalizer") or {}).get("normalizers", []))
+        if not byte_level and not self.lower:
             raise ValueError(f"{path}: neither keeps spaces before words nor drops white space")
-        self.pieces = _KEPT.findall if byte_level else _DROPPED.findall
         self.special = [t["content"] for t in about["added_tokens"]]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.letters = _byte_letters()
-        self.lower = not byte_level
         self.words = self.tokenizer.model
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[int, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], found: dict[str, bytes]) -> None:
-        """Words that the tokenizer does not cut further go to its model at once, signs after them by themselves, all else to the tokenizer."""
+    def _learned(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Plain words go to the tokenizer's model at once, all else to the tokenizer."""
         match, tokenize, code, lower, letters = _PLAIN.fullmatch, self.words.tokenize, self.code, self.lower, self.letters
-        plain = [match(p) for p in pieces]
-        whole = [p for p, m in zip(pieces, plain, strict=True) if not m]
-        whole += {m[3] for m in plain if m} - found.keys() - {""}
-        found.update(zip(whole, self._encoded(whole), strict=True))
-        found[""] = b""
-        for p, m in zip(pieces, plain, strict=True):
-            if m:
-                space, word, signs = m.groups()
-                if lower:
-                    word = word.lower()
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(letters)
-                if space and not lower:
-                    word = letters[32] + word
-                found[p] = array(code, [t.id for t in tokenize(word)]).tobytes() + found[signs]
+        out: list[bytes] = []
+        other: list[int] = []
+        for p in pieces:
+            m = match(p)
+            if not m:
+                other.append(len(out))
+                out.append(b"")
+                continue
+            space, word = m.groups()
+            if lower:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            if space and not lower:
+                word = letters[32] + word
+            out.append(array(code, [t.id for t in tokenize(word)]).tobytes())
+        for k, ids in zip(other, self._encoded([pieces[k] for k in other]), strict=True):
+            out[k] = ids
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; a null text is empty."""
-        whole = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        cut = [self.pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        memory = self.memory
+    def _bounds(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces start and end. Rows of whole are not cut."""
+        space = _SPACE[data]
+        cut = np.zeros(len(data) + 1, bool)
+        runs = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        wide = runs[data[runs - 1] >= 128]
+        if len(wide):  # a run that goes on from wider white space is no start
+            one, two, three = (data[np.maximum(wide - k, 0)].astype(np.int64) for k in (1, 2, 3))
+            pair = two << 8 | one
+            runs = np.setdiff1d(runs, wide[np.isin(pair, _WIDE_SPACE) | np.isin(three << 16 | pair, _WIDE_SPACE)], assume_unique=True)
+        cut[runs] = True
+        cut[1:-1] |= _SIGN[data[1:]] & _LETTER[data[:-1]]
+        for r in np.flatnonzero(whole):
+            cut[offsets[r] : offsets[r + 1]] = False
+        cut[offsets] = True
+        cut[-1] = False
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        if self.lower:  # white space has no ids
+            inner = np.flatnonzero(~space)
+            at = np.searchsorted(inner, starts)
+            starts = np.minimum(np.append(inner, len(data))[at], ends)
+            keep = starts < ends
+            starts, ends = starts[keep], ends[keep]
+        return starts, ends
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
+        starts, ends = self._bounds(data, offsets, whole)
+        codes, names = pd.factorize(range_hashes(data, starts, ends))
+        first = np.zeros(len(names), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        memory, names = self.memory, names.tolist()
         if len(memory) > _REMEMBERED:
             memory.clear()
-        new = list(set().union(*cut) - memory.keys())
-        self._learn(new, memory)
-        out = [b"".join(map(memory.__getitem__, ps)) for ps in cut]
-        for p in new:
-            if len(p) > _LONGEST:
-                del memory[p]
-        for i in whole:
-            out[i] = self._encoded([texts[i]])[0]
-        return out
+        new = [k for k, name in enumerate(names) if name not in memory]
+        text, at = data.tobytes(), first[new]
+        low, high = starts[at].tolist(), ends[at].tolist()
+        memory.update(zip([names[k] for k in new], self._learned([text[a:b].decode() for a, b in zip(low, high, strict=True)]), strict=True))
+        found = [memory[name] for name in names]
+        for k, a, b in zip(new, low, high, strict=True):
+            if b - a > _LONGEST:
+                del memory[names[k]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        each = size[codes]
+        before = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - before[:-1], each) + np.arange(before[-1])]
+        return ids, before[np.searchsorted(starts, offsets)]
+
+    def rows(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For slices of the rows (a null text is empty): the first row, the ids of all rows end to end,
+        and the rows' offsets in them. With end_id, it follows the ids of each row."""
+        whole = np.zeros(len(column), bool)
+        for s in self.special:
+            whole |= pc.match_substring(column, s).fill_null(False).to_numpy(zero_copy_only=False)
+        data, offsets = utf8(column)
+        for a, b in row_slices(offsets, _SLICE):
+            ids, bounds = self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], whole[a:b])
+            if end_id is not None:
+                inner = np.ones(len(ids) + b - a, bool)
+                bounds = bounds + np.arange(b - a + 1)
+                inner[bounds[1:] - 1] = False
+                out = np.full(len(inner), end_id, self.dtype)
+                out[inner] = ids
+                ids = out
+            yield a, ids, bounds
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        return [ids[x:y].tobytes() for _, ids, at in self.rows(pa.array(texts, pa.string())) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -104,6 +172,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def crc32_of(ids: np.ndarray) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned integers of 32 bits."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def crc32s(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Unsigned crc32 of the ids from each offset of at to the next, as little-endian unsigned integers of 32 bits."""
+    data = memoryview(ids.astype("<u4").view(np.uint8))
+    at = (4 * at).tolist()
+    return np.array([zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
