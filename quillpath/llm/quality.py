@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import ASCII_SPACE, row_slices, utf8, word_hashes
+from quillpath.llm.common import ASCII_SPACE, map_arrow, row_slices, small_batches, utf8, word_hashes
 
 #: Hashed byte trigrams.
 TRIGRAMS = 4096
@@ -22,7 +22,7 @@ DIMENSIONS = 48
 SAMPLE = 4096
 NEIGHBOURS = 15
 #: Rows whose products with all neighbours are computed at once.
-BLOCK = 512
+BLOCK = 128
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -57,18 +57,20 @@ def _counted(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Inverse document frequencies, the leading right singular vectors by randomised iteration, and the labelled rows' vectors."""
-    found = (counts > 0).sum(axis=0, dtype=np.float64)
+    """Inverse document frequencies, the leading right singular vectors by randomised iteration, and the labelled rows'
+    vectors. counts are half floats, which are widened by blocks of rows."""
+    blocks = [counts[a : a + BLOCK] for a in range(0, len(counts), BLOCK)]
+    found = sum((b > 0).sum(axis=0, dtype=np.float64) for b in blocks)
     idf = np.log((1 + len(counts)) / (1 + found)).astype(np.float32)
-    rows = weighted(counts, idf)
     rng = np.random.Generator(np.random.PCG64(7))
     basis = rng.standard_normal((FEATURES, DIMENSIONS + 16)).astype(np.float32)
     for _ in range(4):
-        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
-    _, _, right = np.linalg.svd(rows @ basis, full_matrices=False)
+        rows = (weighted(b.astype(np.float32), idf) for b in blocks)
+        basis, _ = np.linalg.qr(sum(r.T @ (r @ basis) for r in rows))
+    _, _, right = np.linalg.svd(np.concatenate([weighted(b.astype(np.float32), idf) @ basis for b in blocks]), full_matrices=False)
     axes = (basis @ right.T[:, :DIMENSIONS]).astype(np.float32)
     model = {"idf": idf, "axes": axes, "labels": labels.astype(np.float32), "prior": np.float32(labels.mean() if len(labels) else 0.5)}
-    return model | {"vectors": vectors(counts, model)}
+    return model | {"vectors": np.concatenate([vectors(b.astype(np.float32), model) for b in blocks])}
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def held_out(doc_id: Column) -> Column:
 
 def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """The model from at most `sample` labelled documents that are not held out: those of the least
-    hash of doc_id. Their texts are counted where they lie; the driver gets FEATURES counts of each."""
+    hash of doc_id; of rows that share one the least text. They are counted in tasks; the driver gets FEATURES counts of each."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -114,13 +116,12 @@ def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> di
                 half = [row.astype(np.float16).tobytes() for row in counts]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(half)), batch["quality"].slice(a, len(half)), pa.array(half, pa.binary())], ["doc_id", "quality", "counts"])
 
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
-    rows = rows.mapInArrow(count, "doc_id long, quality int, counts binary").collect()
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["counts"]), reverse=True)}.values())[::-1]
-    counts = np.stack([np.frombuffer(r["counts"], np.float16).astype(np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
-    if not rows:
+    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = map_arrow(rows, count, "doc_id long, quality int, counts binary").toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
         return {"idf": np.zeros(FEATURES, np.float32), "axes": np.zeros((FEATURES, DIMENSIONS), np.float32), "labels": np.zeros(0, np.float32), "prior": np.float32(0.5), "vectors": np.zeros((0, DIMENSIONS), np.float32)}
-    return fit(counts, np.array([r["quality"] for r in rows]))
+    counts = np.stack([np.frombuffer(r.as_buffer(), np.float16) for r in rows["counts"]])
+    return fit(counts, rows["quality"].to_numpy())
 
 
 def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -132,15 +133,13 @@ def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, samp
     texts if there are no labels, have the share of label 1 (0.5 without labels). Equal texts have
     equal scores; repeated rows stay; columns named score or predicted are replaced.
     """
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(trained(documents, labels, sample))
-    documents = documents.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", score double"
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for batch in batches:
-            scores = [vote(vectors(counts, model), model) for _, counts in _counted(batch["text"])]
-            out = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.astype(np.float64))], [*batch.schema.names, "score"])
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        scores = [vote(vectors(counts, held.value), held.value) for _, counts in _counted(text)]
+        return pa.array(np.concatenate(scores).astype(np.float64) if scores else np.zeros(0))
 
-    return documents.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    # only texts go to Python and only scores come back; the other columns wait in Spark
+    return documents.drop("score", "predicted").withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
