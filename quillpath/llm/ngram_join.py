@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import ASCII_SPACE, components, mixed, only_ids, written
+from quillpath.llm.common import ASCII_SPACE, components, map_arrow, mixed, only_ids, written
 from quillpath.llm.decontam import sets_of
 
-#: Pieces beyond the largest difference. Linked sets agree on as many: a set that agrees with others on
-#: fewer has no links, and a piece without bits need only be used by sets that have as many such pieces.
+#: Pieces beyond the largest difference, at least. Linked sets agree on as many as there are beyond it: a set that
+#: agrees with others on fewer has no links.
 SPARE = 8
 #: Rows of a bucket up to which its pairs are joined; in larger ones whole sketches are compared first, in blocks.
 FEW, BLOCK = 48, 2048
@@ -31,18 +31,31 @@ FEW, BLOCK = 48, 2048
 BROADCAST_PAIRS = 1_000_000
 #: Bits of a whole sketch that is compared in blocks.
 BITS = 2048
+#: Sets of one key in a batch from which on most of them are dealt into PARTS parts.
+CROWD, PARTS = 8, 1024
 
 
 @lru_cache(maxsize=4)
-def bands(threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Upper bounds of the size bands and the pieces of each. Linked sets are in one band or in neighbours."""
+def bands(threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper bounds of the size bands, the pieces of each, and how many of them linked sets agree on.
+    Linked sets are in one band or in neighbours.
+
+    Sets agree by chance on pieces without bits only, so these are not used, but count among those agreed on. In
+    proportion to the largest difference there are therefore more pieces than the smallest sets of the
+    band before are likely to leave without bits. (For thresholds under about 0.7 no number is enough; see _pieces.)
+    """
     high, low = [], 1
     while low < 2**31:
         high.append(int(low / threshold))
         low = high[-1] + 1
     # difference <= (1 - t) * union and union = (a + b + difference) / 2
     share = (1 - threshold) / (1 + threshold)
-    return np.array(high), np.array([int(share * 2 * h) + SPARE for h in high])
+    full, more = float(threshold**2 / (2 * share)), 0.0
+    for _ in range(50):
+        more = min(0.25, 1.25 * (1 + more) * float(np.exp(-full / (1 + more))))
+    differ = [int(share * 2 * h) for h in high]
+    spare = [SPARE + int(more * d) for d in differ]
+    return np.array(high), np.array([d + s for d, s in zip(differ, spare, strict=True)]), np.array(spare)
 
 
 def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -52,11 +65,12 @@ def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mixed(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64)), np.uint64(0))
 
 
-def _pieces(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, count: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of the pieces of the sketches that row r has for the join of band[r], with count[r] pieces,
     their rows, and on how many of its named pieces each row must agree with a linked one.
 
     hashes ascend in each row, and a shingle's piece follows its upper bits, so pieces lie one after another.
+    Linked sets agree on spare[r] pieces, some of which may have no bits. Those are named only in rows that have spare[r] or more of them.
     """
     rows = len(at) - 1
     of = np.repeat(np.arange(rows), np.diff(at))
@@ -68,8 +82,8 @@ def _pieces(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, count: np.ndar
     value = np.bitwise_xor.reduceat(mixed(bit + np.uint64(1)), starts) if len(starts) else np.zeros(0, np.uint64)
     row, number = of[starts], piece[starts]
     empty = count - np.bincount(row, minlength=rows)
-    need = np.where(empty >= SPARE, 1, SPARE - empty)  # the other one may have up to SPARE - 1 pieces without bits, unnamed
-    for r in np.flatnonzero((empty >= SPARE) & (np.diff(at) > 0)):
+    need = np.where(empty >= spare, 1, spare - empty)  # the other one may have up to spare - 1 pieces without bits, unnamed
+    for r in np.flatnonzero((empty >= spare) & (np.diff(at) > 0)):
         none = np.setdiff1d(np.arange(count[r], dtype=np.uint64), number[row == r])
         row, number, value = np.concatenate([row, np.full(len(none), r)]), np.concatenate([number, none]), np.concatenate([value, np.zeros(len(none), np.uint64)])
     return mixed(value + mixed((band[row].astype(np.uint64) << np.uint64(32)) + number)), row, need
@@ -84,17 +98,23 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                 rows = len(at) - 1
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, rows), pa.array(np.diff(at)), pa.array(set_ids(hashes, at).view(np.int64))], ["doc_id", "n_shingles", "sid"])
 
-    return documents.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, sid long")
+    return map_arrow(documents.select("doc_id", "text"), sign, "doc_id long, n_shingles long, sid long")
 
 
 def _piece_rows(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """key, sid, size, need, own: the pieces of the sketch for a set's own band and of that for the next
-    one, where larger partners are. A task gives a set once, however many copies it meets."""
+    """key, sid, size, need, own, part: the pieces of the sketch for a set's own band and of that for the next
+    one, where larger partners are. A task gives a set once, however many copies it meets.
+
+    Where a batch has a key for more than CROWD sets, and so knows that they meet, two of them (one in its own
+    band) stand for all under part 0, and the others get parts above it by their sid. So a key
+    that a large share of all sets has never lies in one task.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high, count = bands(threshold)
+        high, count, spare = bands(threshold)
         seen: set[int] = set()
         for batch in batches:
+            made: list[list[np.ndarray]] = []
             for _, hashes, at in sets_of(batch["text"], width, ASCII_SPACE, True):
                 sid = set_ids(hashes, at)
                 new = np.array([not (s in seen or seen.add(s)) for s in sid.tolist()], bool)
@@ -103,11 +123,21 @@ def _piece_rows(documents: DataFrame, width: int, threshold: Fraction) -> DataFr
                 at = np.concatenate([[0], np.cumsum(size)])
                 band = np.searchsorted(high, size)
                 for own in (True, False):
-                    key, row, need = _pieces(hashes, at, band + (not own), count[band + (not own)])
-                    columns = [key.view(np.int64), sid.view(np.int64)[row], size[row].astype(np.int32), need[row].astype(np.int8), np.full(len(row), own)]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "sid", "size", "need", "own"])
+                    key, row, need = _pieces(hashes, at, band + (not own), count[band + (not own)], spare[band + (not own)])
+                    made.append([key, sid[row], size[row].astype(np.int32), need[row].astype(np.int32), np.full(len(row), own)])
+            if not made:
+                continue
+            key, sid, size, need, own = (np.concatenate(x) for x in zip(*made, strict=True))
+            part = np.zeros(len(key), np.int16)
+            codes, _ = pd.factorize(key)
+            crowded = np.flatnonzero(np.bincount(codes)[codes] > CROWD)
+            crowded = crowded[np.lexsort((~own[crowded], codes[crowded]))]
+            place = np.arange(len(crowded)) - np.searchsorted(codes[crowded], codes[crowded])
+            sure = own[crowded[np.searchsorted(codes[crowded], codes[crowded])]] & (place >= 2)
+            part[crowded[sure]] = 1 + (sid[crowded[sure]] % np.uint64(PARTS)).astype(np.int16)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (key.view(np.int64), sid.view(np.int64), size, need, own, part))), ["key", "sid", "size", "need", "own", "part"])
 
-    return documents.select("text").mapInArrow(rows, "key long, sid long, size int, need tinyint, own boolean")
+    return map_arrow(documents.select("text"), rows, "key long, sid long, size int, need int, own boolean, part short")
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
@@ -118,7 +148,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
             for _, hashes, at in sets_of(batch["text"], width, ASCII_SPACE, True):
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(hashes, at).view(np.int64)), pa.LargeListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))).cast(pa.list_(pa.int64()))], ["sid", "shingles"])
 
-    return documents.select("text").mapInArrow(rows, "sid long, shingles array<long>")
+    return map_arrow(documents.select("text"), rows, "sid long, shingles array<long>")
 
 
 def _joined(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -139,9 +169,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame
 
 def _open(rows: DataFrame, by: str) -> DataFrame:
     """Rows of the buckets that have rows of several values of `by`, one of them in its own band."""
-    every = Window.partitionBy("key")
-    named = rows.withColumns({"low": F.min(by).over(every), "high": F.max(by).over(every), "owned": F.max("own").over(every)})
-    return named.where("low <> high and owned").drop("low", "high", "owned")
+    keys = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.max("own").alias("owned")).where("low <> high and owned")
+    return rows.join(written(keys.select("key")), "key", "left_semi")
 
 
 def _agreeing(rows: DataFrame) -> DataFrame:
@@ -177,7 +206,7 @@ def _sketches(sets: DataFrame) -> DataFrame:
                 sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sizes, pa.int32()), pa.array(fine, pa.binary()), pa.array(out, pa.binary())], ["sid", "size", "fine", "sketch"])
 
-    return sets.select("sid", "shingles").mapInArrow(rows, "sid long, size int, fine binary, sketch binary")
+    return map_arrow(sets.select("sid", "shingles"), rows, "sid long, size int, fine binary, sketch binary")
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -197,7 +226,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFra
 
     x = _joined(sketches.select(F.col("sid").alias("u"), F.col("size").alias("n"), F.col("fine").alias("x")), pairs, "u")
     y = sketches.select(F.col("sid").alias("v"), F.col("size").alias("m"), F.col("fine").alias("y"))
-    return x.join(y, "v").select("u", "v", (F.col("n").cast("long") + F.col("m")).alias("total"), "x", "y").mapInArrow(near, "u long, v long")
+    return map_arrow(x.join(y, "v").select("u", "v", (F.col("n").cast("long") + F.col("m")).alias("total"), "x", "y"), near, "u long, v long")
 
 
 def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
@@ -209,48 +238,51 @@ def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
 
 def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (u, v) across components in large buckets whose sketches are no further apart than the
-    largest difference of linked sets of their sizes. A bucket is dealt into blocks of rows, and each
-    two blocks meet in one group, so that a group is bounded whatever the bucket's size."""
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sketches, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("own_block", "other"), "up": F.greatest("own_block", "other")})
+    largest difference of linked sets of their sizes. The sets outside of a bucket's largest component
+    (strays) are dealt into blocks, all sets of the bucket into chunks, and each block meets each
+    chunk in one group, so that a group is bounded whatever the bucket's size, and few strays cost little."""
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
+    deals = by_label.select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("chunks"), F.greatest(F.ceil((F.col("all") - F.col("most")) / BLOCK), F.lit(1)).cast("int").alias("blocks"))
+    dealt = written(rows.select("key", "sid", "size", "own", "label").join(written(deals), "key")).join(sketches, "sid")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "chunk", "block", "stray", "sid", "size", "own", "label", "sketch"]
+    every = dealt.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).withColumn("block", each("blocks")).withColumn("stray", F.lit(False))
+    strays = dealt.where("label <> main").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", each("chunks")).withColumn("stray", F.lit(True))
     share = (1 - threshold) / (1 + threshold)
     num, den, t_num, t_den = share.numerator, share.denominator, threshold.numerator, threshold.denominator
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        low, up = g["low"].iloc[0], g["up"].iloc[0]
         sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-        sid, size, own, label, block = (g[c].to_numpy() for c in ("sid", "size", "own", "label", "own_block"))
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == up)
+        sid, size, own, label, stray = (g[c].to_numpy() for c in ("sid", "size", "own", "label", "stray"))
+        a, b = np.flatnonzero(stray), np.flatnonzero(~stray)
         u, v = [], []
         for at in range(0, len(a), 32):
             i = a[at : at + 32]
             total = size[i][:, None].astype(np.int64) + size[b][None, :]
             fit = np.minimum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_den >= np.maximum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_num
             fit &= (label[i][:, None] != label[b][None, :]) & (own[i][:, None] | own[b][None, :]) & (sid[i][:, None] != sid[b][None, :])
-            if not fit.any():
-                continue
-            apart = np.bitwise_count(sketch[i][:, None, :] ^ sketch[b][None, :, :]).sum(axis=2, dtype=np.int64)
-            x, y = np.nonzero(fit & (apart * den <= total * num))
-            u.append(np.minimum(sid[i[x]], sid[b[y]]))
-            v.append(np.maximum(sid[i[x]], sid[b[y]]))
+            x, y = np.nonzero(fit)
+            apart = np.bitwise_count(sketch[i[x]] ^ sketch[b[y]]).sum(axis=1, dtype=np.int64)
+            near = apart * den <= total[x, y] * num
+            x, y = i[x[near]], b[y[near]]
+            u.append(np.minimum(sid[x], sid[y]))
+            v.append(np.maximum(sid[x], sid[y]))
         none = np.zeros(0, np.int64)
         return pd.DataFrame({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
 
-    return dealt.groupBy("key", "low", "up").applyInPandas(compare, "u long, v long").distinct()
+    return every.select(*columns).unionByName(strays.select(*columns)).groupBy("key", "chunk", "block").applyInPandas(compare, "u long, v long").distinct()
 
 
 def _prepared(documents: DataFrame, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows, the pieces of sets that may have links, the whole sets of these, and their sketches."""
     docs = documents.select("doc_id", "text")
     signed = written(signatures(docs, width))
-    ordered = Window.partitionBy("key").orderBy("sid")
+    ordered = Window.partitionBy("key", "part").orderBy("sid")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shared = (
         _piece_rows(docs, width, threshold)
         .withColumns({"again": F.lag("sid").over(ordered).eqNullSafe(F.col("sid")), "low": F.min("sid").over(whole), "high": F.max("sid").over(whole), "owned": F.max("own").over(whole)})
-        .where("low <> high and owned and not again")
+        .where("(part > 0 or (low <> high and owned)) and not again")
         .select("key", "sid", "size", "need", "own")
     )
     shared = written(_open(_agreeing(written(shared)), "sid"))
@@ -277,21 +309,22 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
 
     # each set is held against the one that it meets most often as the best of its buckets
     score = shared.groupBy("sid").agg((F.count("*") / F.max("size")).alias("score"))
-    best = Window.partitionBy("key").orderBy(F.desc("score"), "sid")
-    met = shared.join(score, "sid").withColumns({"v": F.first("sid").over(best), "other": F.first("size").over(best)}).where("sid <> v")
+    best = shared.join(score, "sid").groupBy("key").agg(F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.struct("score", -F.col("sid"))).alias("b"))
+    met = shared.join(written(best.select("key", "b.*")), "key").where("sid <> v")
     stars = met.where(_near_sizes(threshold, "size", "other")).groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
     stars = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     links = written(_linked(_near(stars.select("u", "v"), sketches, threshold), sets, threshold))
     labels = written(components(links, "u", "v"))
     now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    now = written(_open(now, "label").withColumn("rows", F.count("*").over(Window.partitionBy("key"))))
+    now = written(_open(written(now), "label"))
+    now = now.join(written(now.groupBy("key").agg(F.count("*").alias("rows"))), "key")
     tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold))
     tried = _near(tried.distinct(), sketches, threshold)
     labels = written(components(links.unionByName(_linked(tried, sets, threshold)), "u", "v"))
 
     classed = signed.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     some = classed.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))
-    many = some.where("component_size > 1")
+    many = written(some.where("component_size > 1"))  # so that a hot label's side of the join can be split
     full = classed.join(many, (classed["label"] == many["label"]) & (classed["n_shingles"] > 0), "left")
     return full.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).cast("long").alias("component_size"))
 
@@ -300,7 +333,7 @@ def _class_links(documents: DataFrame, width: int, threshold: Fraction) -> tuple
     """Signatures of all rows, and all links (u, v) between different sets, those inside components too."""
     signed, shared, sets, sketches = _prepared(documents, width, threshold)
     sizes = shared.groupBy("key").agg(F.count("*").alias("rows"))
-    now = written(shared.withColumn("label", F.col("sid")).join(sizes, "key"))
+    now = shared.withColumn("label", F.col("sid")).join(written(sizes), "key")
     tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold))
     return signed, written(_linked(_near(tried.distinct(), sketches, threshold), sets, threshold))
 
