@@ -214,7 +214,10 @@ class QuerySet:
             found = inner.df.select(*keys, F.col(value).alias(out)).groupBy(*names).agg(F.array_sort(F.collect_list(out)).alias(out))
         else:
             order = [inner.order(k) for k in inner.sort] or [F.col(value).asc_nulls_last()]
-            first = inner.df.withColumn("+n", F.row_number().over(SparkWindow.partitionBy(*own).orderBy(*order))).where(F.col("+n") == 1)
+            if own:
+                first = inner.df.withColumn("+n", F.row_number().over(SparkWindow.partitionBy(*own).orderBy(*order))).where(F.col("+n") == 1)
+            else:  # the same row for all: a top-1 of the table needs no window
+                first = inner.df.orderBy(*order).limit(1)
             found = first.select(*keys, F.col(value).alias(out))
         on = F.lit(True)
         for k, o in zip(names, outer, strict=True):
@@ -628,6 +631,8 @@ class QuerySet:
             direct(self.source.catalog, self.label, name)
         whole, new = self._whole(), self._rows(rows)
         keys = keys or [self.model.pk]
+        if new.groupBy(*keys).count().where("count > 1").limit(1).count():
+            raise ValueError("several new rows have one key")
         new = new.select(*keys, *(F.col(c).alias(f"+{c}") for c in fields), F.lit(True).alias("+hit"))
         return whole.join(new, keys, "left").select(*(F.when(F.col("+hit"), F.col(f"+{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in whole.columns))
 
@@ -638,14 +643,27 @@ class QuerySet:
         hit = self.df.select(F.col(self.model.pk).alias("+hit")).distinct()
         return self._whole().join(hit, F.col(self.model.pk) == F.col("+hit"), "left_anti")
 
+    def _matches(self, lookups: dict[str, Any]) -> int:
+        """0 or 1 rows that lookups find; several are an error, as for get."""
+        n = self.filter(**lookups).df.limit(2).count()
+        if n > 1:
+            raise ValueError(f"several rows of {self.label} match")
+        return n
+
+    def save(self, *_: Any, **__: Any) -> None:
+        """There is no row to save to: tables change by bulk_create, update and delete, which return the new table."""
+        raise NotImplementedError("rows are not saved one by one; use bulk_create, bulk_update, update or delete")
+
+    refresh_from_db = save
+
     def get_or_create(self, defaults: dict[str, Any] | None = None, **lookups: Any) -> tuple[DataFrame, bool]:
         """The table, and whether a row was added to it."""
-        if self.filter(**lookups).exists():
+        if self._matches(lookups):
             return self._whole(), False
         return self.create(**{k: v for k, v in lookups.items() if "__" not in k}, **(defaults or {})), True
 
     def update_or_create(self, defaults: dict[str, Any] | None = None, create_defaults: dict[str, Any] | None = None, **lookups: Any) -> tuple[DataFrame, bool]:
-        if self.filter(**lookups).exists():
+        if self._matches(lookups):
             return self.filter(**lookups).update(**(defaults or {})), False
         return self.create(**{k: v for k, v in lookups.items() if "__" not in k}, **(create_defaults or defaults or {})), True
 
@@ -679,5 +697,5 @@ def _asynchronous(name: str) -> Callable[..., Any]:
     return run
 
 
-for _name in ("iterator", "count", "exists", "first", "last", "get", "create", "get_or_create", "update_or_create", "bulk_create", "bulk_update", "update", "delete", "latest", "earliest", "in_bulk", "contains", "aggregate", "clean", "full_clean"):
+for _name in ("iterator", "count", "exists", "first", "last", "get", "create", "get_or_create", "update_or_create", "bulk_create", "bulk_update", "update", "delete", "latest", "earliest", "in_bulk", "contains", "aggregate", "clean", "full_clean", "save", "refresh_from_db"):
     setattr(QuerySet, f"a{_name}", _asynchronous(_name))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from quillpath.plans import metadata, search, surface, telemetry
 from quillpath.plans.catalog import shop
-from quillpath.plans.paths import resolve_all
 from quillpath.plans.relational import plain
-from quillpath.sources import source_files
+from quillpath.sources import source_files, usages
 from quillpath.sources.modules import read_modules
+from quillpath.streaming import incremental
 
 PROJECT = {
     "farm/__init__.py": "from .api import *\nfrom .base import Stamped as Dated\n",
@@ -114,7 +114,7 @@ query("G03_export_origin", lambda s, d: project(s).exports.where("symbol = 'Hors
 query("G04_models", lambda s, d: project(s).models.select("label", "module", "is_abstract"), _values("label, module, is_abstract", ("farm.Stamped", "farm.base", True), ("farm.Ranked", "farm.base", True), ("farm.Stable", "farm.animals", False), ("farm.Horse", "farm.animals", False), ("farm.Foal", "farm.animals", False), ("farm.Pass", "farm.animals", False), ("store.Shoe", "store.models", False)))
 query("G05_inherited_fields", lambda s, d: project(s).fields.where("model = 'farm.Foal' and direction is distinct from 'reverse'").select("name", "kind", "provenance", "target"),
       _values("name, kind, provenance, target", ("weight", "FloatField", "declared", None), ("made_at", "DateTimeField", "inherited", None), ("label", "CharField", "inherited", None), ("rank", "IntegerField", "inherited", None), ("home", "ForeignKey", "inherited", "farm.Stable"), ("dam", "ForeignKey", "inherited", "farm.Horse"), ("shoes", "ManyToManyField", "inherited", "store.Shoe")))
-query("G06_reverse_relations", lambda s, d: project(s).fields.where("direction = 'reverse' and target <> 'farm.Foal'").select("model", "name", "kind", "target", "provenance"),
+query("G06_reverse_relations", lambda s, d: project(s).fields.where("direction = 'reverse' and model <> 'farm.Foal'").select("model", "name", "kind", "target", "provenance"),
       _values("model, name, kind, target, provenance", ("farm.Stable", "horses", "reverse_ForeignKey", "farm.Horse", "reverse"), ("farm.Horse", "foals", "reverse_ForeignKey", "farm.Horse", "reverse"), ("farm.Horse", "pass", "reverse_OneToOneField", "farm.Pass", "reverse"), ("farm.Horse", "shoe_set", "reverse_ForeignKey", "store.Shoe", "reverse"), ("farm.Horse", "worn", "reverse_ForeignKey", "store.Shoe", "related_query_alias")))
 query("A18_statistics", lambda s, d: metadata.statistics(read_modules(project_files(s)), project(s).models), _values("files, packages, with_all, star_imports, imports, errors, models, abstract_models", (9, 2, 1, 3, 16, 1, 7, 2)))
 query("D09_health", lambda s, d: telemetry.health(metadata.statistics(read_modules(project_files(s)), project(s).models)).select("files", "errors", "phase"), _values("files, errors, phase", (9, 1, "degraded")))
@@ -176,7 +176,7 @@ def _usages(s: SparkSession) -> DataFrame:
 
 
 query("R09_validate_paths", lambda s, d: search.validated(_usages(s), _fields(s)).select("id", "reason", "missing", "target"), _values("id, reason, missing, target", *[(i, r, x, t) for i, (*_, r, x, t) in enumerate(PATHS)]))
-query("R01_resolve_paths", lambda s, d: s.createDataFrame([(i, r["reason"]) for i, r in enumerate(resolve_all(_CATALOG, [(m, p, k) for m, k, p, *_ in PATHS]))], "id int, reason string"), _values("id, reason", *[(i, r) for i, (*_, r, _x, _t) in enumerate(PATHS)]))
+query("R01_resolve_paths", lambda s, d: search.validated(_usages(s), _fields(s)).select("id", "reason"), _values("id, reason", *[(i, r) for i, (*_, r, _x, _t) in enumerate(PATHS)]))
 query("D04_diagnostics", lambda s, d: search.diagnostics(search.validated(_usages(s), _fields(s))).groupBy("severity").agg(F.count("*").alias("n")), _values("severity, n", ("error", sum(1 for p in PATHS if p[3]))))
 query("D05_unfinished", lambda s, d: search.without_unfinished(search.validated(_usages(s), _fields(s)), s.createDataFrame([(12, "zzz__exactly")], "id int, name string")).select("id"), _values("id", *[(i,) for i, p in enumerate(PATHS) if p[3] and i != 12]))
 
@@ -185,3 +185,67 @@ query("D05_unfinished", lambda s, d: search.without_unfinished(search.validated(
 query("A19_usage", lambda s, d: telemetry.usage(_table(s, d, "events"), "user_id", 500), "SELECT user_id AS name, count(*) AS uses FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500")
 query("A20_latency", lambda s, d: telemetry.latency(_table(s, d, "events"), "event_type", "value").drop("mean"), "SELECT event_type, count(value) AS count, list_sort(list(value))[CAST(floor(count(value) * 0.5) AS INT) + 1] AS p50, list_sort(list(value))[CAST(floor(count(value) * 0.95) AS INT) + 1] AS p95, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 query("A21_gauges", lambda s, d: telemetry.gauges(_table(s, d, "events"), "event_type", "ts", "event_id").drop("last"), "SELECT event_type, count(*) AS total FROM events GROUP BY 1")
+
+# ---- what source names ------------------------------------------------------------------------------------------
+
+USES = {
+    "farm/views.py": "from django.db.models import Count, F, Prefetch, Q\nfrom . import Horse, Stable\nqs = Horse.objects.filter(home__name__startswith='A', **{'dam__rank__gt': 2}).exclude(Q(rank=1) | Q(foals__weight__lt=3))\nfor horse in qs.order_by('-rank', 'home__name'):\n    horse.foals.values('weigth')\n    horse.home.horses.update(rank=F('rank'))\nHorse.objects.select_related('home').prefetch_related(Prefetch('foals'))\ndef count(stable: Stable):\n    return stable.horses.annotate(n=Count('foals')).values_list('label', flat=True)\nHorse.objects.create(rank=3, home=None)\nHorse.objects.bulk_update([], ['rank', 'nope'])\n",
+    "farm/more.py": "from django.db import models\nclass Tag(models.Model):\n    text = models.TextField()\n    on = models.ForeignKey('farm.Horse', on_delete=models.CASCADE)\n    class Meta:\n        ordering = ['-text']\n        constraints = [models.UniqueConstraint(fields=['on', 'text'], name='u', condition=models.Q(on__rank__gt=0))]\n",
+}
+_USED: dict[str, DataFrame] = {}
+
+
+def _uses(s: SparkSession) -> DataFrame:
+    return usages.read_usages(s.createDataFrame(list(USES.items()), "path string, text string"))
+
+
+def _used(s: SparkSession) -> DataFrame:
+    """The usages of USES with their models, over the project and the module that they declare."""
+    key = s.sparkContext.applicationId
+    if key not in _USED:
+        files = project_files(s).select("path", "text").unionByName(s.createDataFrame([(p, USES[p]) for p in ("farm/more.py",)], "path string, text string"))
+        made = metadata.build(read_modules(files).unionByName(read_modules(s.createDataFrame([("farm/views.py", USES["farm/views.py"])], "path string, text string"))))
+        _USED[key] = metadata.stored(usages.located(_uses(s), made, surface.members(made.models, made.fields)))
+    return _USED[key]
+
+
+query("D01_lookup_usages", lambda s, d: _uses(s).where("context = 'lookup'").select("path", "line", "method", "value"), _values("path, line, method, value",
+      *[("farm/views.py", n, m, v) for n, m, v in ((3, "filter", "home__name__startswith"), (3, "filter", "dam__rank__gt"), (3, "filter", "rank"), (3, "filter", "foals__weight__lt"), (4, "order_by", "-rank"), (4, "order_by", "home__name"), (5, "values", "weigth"), (6, "values", "rank"), (9, "values", "foals"), (9, "values_list", "label"))], ("farm/more.py", 7, "filter", "on__rank__gt")))
+query("D02_direct_usages", lambda s, d: _uses(s).where("context in ('direct', 'schema')").select("path", "line", "method", "value"), _values("path, line, method, value",
+      ("farm/views.py", 6, "update", "rank"), ("farm/views.py", 10, "create", "rank"), ("farm/views.py", 10, "create", "home"), ("farm/views.py", 11, "bulk_update", "rank"), ("farm/views.py", 11, "bulk_update", "nope"), ("farm/more.py", 6, "ordering", "-text"), ("farm/more.py", 7, "UniqueConstraint", "on"), ("farm/more.py", 7, "UniqueConstraint", "text")))
+query("D03_relation_usages", lambda s, d: _uses(s).where("context in ('relation', 'relation_target')").select("path", "line", "context", "value"), _values("path, line, context, value", ("farm/views.py", 7, "relation", "home"), ("farm/views.py", 7, "relation", "foals"), ("farm/more.py", 4, "relation_target", "farm.Horse")))
+query("D06_receivers", lambda s, d: _uses(s).where("path = 'farm/views.py'").select("line", "value", "ref", "receiver", F.array_join("names", ".").alias("names")).where("line in (3, 5, 6, 9)").distinct(), _values("line, value, ref, receiver, names",
+      (3, "home__name__startswith", "Horse", "model_class", "objects"), (3, "dam__rank__gt", "Horse", "model_class", "objects"), (3, "rank", "Horse", "model_class", "objects.filter"), (3, "foals__weight__lt", "Horse", "model_class", "objects.filter"), (5, "weigth", "Horse", "model_class", "objects.filter.exclude.order_by.first.foals"), (6, "rank", "Horse", "model_class", "objects.filter.exclude.order_by.first.home.horses"), (9, "foals", "Stable", "instance", "horses"), (9, "label", "Stable", "instance", "horses.annotate")))
+query("Z28_receiver_models", lambda s, d: _used(s).select("path", "line", "value", "model").where("line in (3, 5, 6, 7, 9)").distinct(), _values("path, line, value, model",
+      *[("farm/views.py", n, v, "farm.Horse") for n, v in ((3, "home__name__startswith"), (3, "dam__rank__gt"), (3, "rank"), (3, "foals__weight__lt"), (5, "weigth"), (6, "rank"), (7, "home"), (7, "foals"), (9, "foals"), (9, "label"))], ("farm/more.py", 6, "-text", "farm.Tag"), ("farm/more.py", 7, "on", "farm.Tag"), ("farm/more.py", 7, "text", "farm.Tag"), ("farm/more.py", 7, "on__rank__gt", "farm.Tag")))
+
+# ---- more of the graph, and of the index ---------------------------------------------------------------------------
+
+query("G07_inherited_reverse", lambda s, d: project(s).fields.where("model = 'farm.Foal' and direction = 'reverse'").select("name", "target", "provenance"), _values("name, target, provenance", ("foals", "farm.Horse", "inherited"), ("pass", "farm.Pass", "inherited"), ("shoe_set", "store.Shoe", "inherited"), ("worn", "store.Shoe", "related_query_alias")))
+query("G11_long_chain", lambda s, d: metadata.reachable(s.range(60).select(F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("n"), F.col("id") + 1).alias("target"), F.lit("forward").alias("direction")), "n0"), "SELECT 'n' || i AS node, i AS level FROM range(61) t(i)")
+query("J14_importers", lambda s, d: metadata.importers(read_modules(project_files(s))).where("source like 'farm%'").select("source", "symbol", F.array_join("importers", ",").alias("importers")), _values("source, symbol, importers", ("farm.api", "*", "farm"), ("farm.base", "Stamped", "farm,farm.animals"), ("farm.animals", "Horse", "farm.api"), ("farm.animals", "Stable", "farm.api"), ("farm", "base", "farm.api"), ("farm.base", "Ranked", "farm.animals"), ("farm.base", "Key", "farm.animals"), ("farm.base", "", "farm.animals"), ("farm", "Horse", "store.models")))
+_RUNTIME = "label string, module string, name string"
+_LIVE = [("stud.Horse", "farm.animals", "Horse"), ("farm.Pass", "elsewhere", "Pass")]
+query("J15_label_map", lambda s, d: metadata.label_map(project(s).models, s.createDataFrame(_LIVE, _RUNTIME)), _values("label, runtime_label", ("farm.Horse", "stud.Horse"), ("farm.Pass", "farm.Pass"), *[(x, None) for x in ("farm.Stamped", "farm.Ranked", "farm.Stable", "farm.Foal", "store.Shoe")]))
+query("Z08_relabelled", lambda s, d: metadata.relabelled(project(s).fields, metadata.label_map(project(s).models, s.createDataFrame(_LIVE, _RUNTIME))).where("model = 'stud.Horse' and direction = 'forward' or target = 'stud.Horse' and direction = 'forward'").select("model", "name", "target", "declared_on"), _values("model, name, target, declared_on", ("stud.Horse", "home", "farm.Stable", "stud.Horse"), ("stud.Horse", "dam", "stud.Horse", "stud.Horse"), ("stud.Horse", "shoes", "store.Shoe", "stud.Horse"), ("farm.Foal", "dam", "stud.Horse", "stud.Horse"), ("farm.Pass", "horse", "stud.Horse", "farm.Pass"), ("store.Shoe", "worn_by", "stud.Horse", "store.Shoe")))
+query("C03_virtual_completions", lambda s, d: search.virtual_completions(s.createDataFrame([("total", "DecimalField"), ("tot_name", "CharField"), ("n", "IntegerField")], "name string, kind string"), "tot").select("name", "group").unionByName(search.virtual_completions(s.createDataFrame([("n", "IntegerField")], "name string, kind string"), "n__g").select("name", "group")), _values('name, "group"', ("total", 0), ("tot_name", 0), *[(f"n__{x}", 2) for x in search.LOOKUPS["IntegerField"] if x.startswith("g")]))
+query("C10_without_aliases", lambda s, d: search.without_aliases(project(s).fields).where("model = 'farm.Horse' and direction = 'reverse'").select("name"), _values("name", ("foals",), ("pass",), ("shoe_set",)))
+query("P12_target_previews", lambda s, d: search.target_previews(metadata.nodes(_fields(s))).select("model", "n_field_names", F.size("field_names").alias("shown")), f"WITH {_FIELDS_SQL}, p AS (SELECT model, count(DISTINCT name) FILTER (target IS NULL) AS n FROM fields GROUP BY 1) SELECT model, n AS n_field_names, least(n, 8) AS shown FROM p")
+query("S05_settings_choice", lambda s, d: source_files.settings_choice(s.createDataFrame([("manage.py",), ("tools/manage.py",), ("site/settings.py",), ("site/urls.py",)], "path string")), _values("entry, settings, n_candidates", ("manage.py", "site.settings", 1)))
+query("G19_last_resort", lambda s, d: metadata.last_resort(project(s).fields.where("model <> 'farm.Foal'"), project(s).models, project(s).modules).select("model", "name"), _values("model, name", *[("farm.Foal", n) for n in ("home", "dam", "shoes", "made_at", "label", "rank", "foals", "pass", "shoe_set", "worn")]))
+_MANAGED = "from django.db import models\nclass BaseSet(models.QuerySet):\n    def recent(self) -> 'QuerySet':\n        return self\nclass NoteSet(BaseSet):\n    def mine(self):\n        return 1\nMade = models.Manager.from_queryset(NoteSet)\nclass Note(models.Model):\n    text = models.TextField()\n    kept = NoteSet.as_manager()\nclass Memo(Note):\n    pass\n"
+query("Z10_managers", lambda s, d: (lambda m: surface.manager_methods(m.modules, m.models, m.bases))(metadata.build(read_modules(s.createDataFrame([("pad/models.py", _MANAGED)], "path string, text string")))), _values("model, receiver, name, return_kind", *[(m, r, n, k) for m in ("pad.Note", "pad.Memo") for r, n, k in (("model_class", "kept", "manager"), ("manager", "recent", "queryset"), ("queryset", "recent", "queryset"), ("manager", "mine", "unknown"), ("queryset", "mine", "unknown"))]))
+query("K37_lookup_kinds", lambda s, d: search.lookup_table(s).groupBy("kind").agg(F.count("*").alias("n")), f"SELECT kind, count(*) AS n FROM ({_values('kind, lookup', *[(k, n) for k, ns in search.LOOKUPS.items() for n in ns])}) GROUP BY 1")
+query("J13_bound_imports", lambda s, d: project(s).exports.where("size(via) > 0").groupBy("origin_module").agg(F.count("*").alias("n")), _values("origin_module, n", ("farm.animals", 5), ("farm.base", 4), ("store.loop_b", 1)))
+query("G12_package_wins", lambda s, d: read_modules(s.createDataFrame([("k/m.py", "class A: pass"), ("k/m/__init__.py", "class B: pass")], "path string, text string")).select("path", "module"), _values("path, module", ("k/m/__init__.py", "k.m")))
+query("G13_type_checking", lambda s, d: read_modules(s.createDataFrame([("a/b.py", "if TYPE_CHECKING:\n    from .x import Y\nif True:\n    from .z import W\n")], "path string, text string")).select(F.explode("imports").alias("i")).select("i.source", "i.symbol"), _values("source, symbol", ("a.x", "Y")))
+_EDITS = [("store/models.py", PROJECT["store/models.py"].replace("size", "width"), False, 1), ("store/loop_a.py", None, True, 1), ("farm/base.py", "class broken(:", False, 1)]
+query("I01_reindexed", lambda s, d: incremental.applied(read_modules(project_files(s)), s.createDataFrame(_EDITS, incremental.CHANGE)).select("path", F.array_join(F.transform("fields", lambda f: f["name"]), ",").alias("fields")), _values("path, fields", ("farm/__init__.py", ""), ("farm/api.py", ""), ("farm/base.py", "made_at,label,rank,label"), ("farm/animals.py", "name,home,dam,shoes,weight,horse"), ("farm/broken.py", ""), ("store/__init__.py", ""), ("store/models.py", "width,worn_by"), ("store/loop_b.py", "")))
+query("I02_model_parts", lambda s, d: source_files.changes(incremental.model_part(read_modules(project_files(s))), incremental.model_part(incremental.applied(read_modules(project_files(s)), s.createDataFrame([*_EDITS, ("farm/animals.py", PROJECT["farm/animals.py"].replace("return 3", "return 4"), False, 1)], incremental.CHANGE)))), _values("path, change", ("store/models.py", "changed"), ("store/loop_a.py", "removed")))
+query("I03_affected", lambda s, d: incremental.affected(s.createDataFrame([("farm.Ranked",)], "label string"), project(s).bases, metadata.edges(project(s).fields)), _values("label", *[(f"farm.{x}",) for x in ("Ranked", "Horse", "Foal", "Pass", "Stable")], ("store.Shoe",)))
+query("I04_partial_rebuild", lambda s, d: incremental.replaced(s.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "model string, v int"), s.createDataFrame([("b", 2), ("d", 2)], "model string, v int"), s.createDataFrame([("b",), ("c",), ("d",)], "label string")), _values("model, v", ("a", 1), ("b", 2), ("d", 2)))
+query("O06_completion_order", lambda s, d: search.completions(_fields(s), "shop.Order", "customer__na", "filter").limit(3).select("name", "is_relation"), _values("name, is_relation", ("nation", True), ("name", False), ("nation_id", False)))
+query("R05_alias_visibility", lambda s, d: search.visible(project(s).fields, "only").where("model = 'farm.Horse' and direction = 'reverse'").select("name"), _values("name", ("foals",), ("pass",), ("shoe_set",)))
+query("R09_long_paths", lambda s, d: search.validated(s.createDataFrame([(1, "shop.LineItem", "filter", "order__customer__nation__customers__orders__lines__order__customer__nation__customers__name__startswith"), (2, "shop.Order", "filter", "customer__orders__" * 12 + "nope")], "id int, model string, method string, path string"), _fields(s)).select("id", "reason", "missing", "target"), _values("id, reason, missing, target", (1, "", "", "name"), (2, "invalid_lookup_operator", "nope", "orders")))
+query("Z20_same_app_targets", lambda s, d: project(s).fields.where("direction = 'forward' and provenance = 'declared'").select("model", "name", "target"), _values("model, name, target", ("farm.Horse", "home", "farm.Stable"), ("farm.Horse", "dam", "farm.Horse"), ("farm.Horse", "shoes", "store.Shoe"), ("farm.Pass", "horse", "farm.Horse"), ("store.Shoe", "worn_by", "farm.Horse")))
+query("D08_surface_fingerprints", lambda s, d: surface.fingerprints(surface.members(_models(s), _fields(s))).select("model", F.length("fingerprint").alias("n")), _values("model, n", *[(label, 64) for label in _CATALOG.models]))

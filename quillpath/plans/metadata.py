@@ -1,16 +1,17 @@
 """Model metadata as tables: exports, models, fields, reverse relations, the relation graph.
 
-Everything recursive is a loop of joins that stops when nothing new is found or after a number of
-rounds; each round is checkpointed to the shared folder, so plans stay short and survive lost executors.
+Everything recursive is a loop of joins that stops when nothing new is found. What each round finds is
+written to the shared folder by one job, so plans stay short and survive lost executors.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillpath.functions.lookups import LOOKUPS
@@ -19,26 +20,42 @@ from quillpath.plans.catalog import RELATIONS, Catalog
 # Further field classes, and endings of base names that mark a model.
 FIELD_KINDS = (*LOOKUPS, "IPAddressField", "ParentalKey", "ParentalManyToManyField", "GeneratedField", "CompositePrimaryKey", "CommaSeparatedIntegerField")
 MODEL_ENDINGS = ("Model", "Orderable")
-ROUNDS = 24
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir, or of our own where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillpath-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or in local mode one of our own where that is unset."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="quillpath-")
+        sc.setCheckpointDir(at)
+    return at
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """start and all that step finds from what was new, each combination of keys once and first found first."""
-    found = new = checkpointed(start.dropDuplicates(keys))
-    for _ in range(rounds):
-        new = checkpointed(step(new).dropDuplicates(keys).join(found.select(*keys), keys, "left_anti"))
-        if new.isEmpty():
-            break
-        found = checkpointed(found.unionByName(new))
-    return found
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of the shared folder, which cuts its lineage."""
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str, int]:
+    """df as a table, its path, and its number of rows, all by one job."""
+    path, rows = f"{shared_folder(df.sparkSession)}/metadata/{uuid.uuid4().hex}", Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, rows.get["n"]
+
+
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """start and all that step finds from what was new, each combination of keys once and first found first.
+    It ends when a round finds nothing, so step must give finitely many combinations."""
+    new, path, n = _stored(start.dropDuplicates(keys))
+    paths = [path]
+    while n:
+        found = start.sparkSession.read.schema(new.schema).parquet(*paths)
+        new, path, n = _stored(step(new).select(*new.columns).dropDuplicates(keys).join(found.select(*keys), keys, "left_anti").select(*new.columns))
+        paths.append(path)
+    return start.sparkSession.read.schema(new.schema).parquet(*paths)
 
 
 # ---- exports -------------------------------------------------------------------------------------------
@@ -101,10 +118,10 @@ def models_of(modules: DataFrame, exported: DataFrame) -> tuple[DataFrame, DataF
     """Models, and their bases that are models. A class is a model if a base's name looks like one, or if a base is one through imports."""
     classes = modules.select("module", F.explode("classes").alias("c")).select("module", "c.*")
     app = F.coalesce("app_label", F.substring_index("module", ".", 1))
-    labelled = checkpointed(classes.withColumn("app", app).withColumn("label", F.concat_ws(".", "app", "name")))
+    labelled = stored(classes.withColumn("app", app).withColumn("label", F.concat_ws(".", "app", "name")))
     refs = labelled.select("module", F.col("label").alias("model"), F.posexplode("bases").alias("ordinal", "ref"))
     origin = labelled.select(F.col("module").alias("origin_module"), F.col("name").alias("origin_symbol"), F.col("label").alias("base"))
-    linked = checkpointed(_reference(refs, modules, exported).join(origin, ["origin_module", "origin_symbol"], "left").select("model", "base", "ordinal", "ref"))
+    linked = stored(_reference(refs, modules, exported).join(origin, ["origin_module", "origin_symbol"], "left").select("model", "base", "ordinal", "ref"))
     tail = F.substring_index("ref", ".", -1)
     looks = tail.endswith(MODEL_ENDINGS[0])
     for ending in MODEL_ENDINGS[1:]:
@@ -130,7 +147,7 @@ def _kinds(modules: DataFrame, exported: DataFrame) -> DataFrame:
         to = _reference(here, modules, exported).join(onward, ["origin_module", "origin_symbol"])
         return to.select(F.col("_own").alias("module"), "call", F.col("origin_module").alias("at"), F.col("next").alias("ref"))
 
-    walked = fixpoint(start, step, ["module", "call", "at", "ref"], 8)
+    walked = fixpoint(start, step, ["module", "call", "at", "ref"])
     local = classes.select(F.col("module").alias("at"), F.col("symbol").alias("ref"), F.lit(True).alias("own"))
     ends = walked.join(local, ["at", "ref"], "left").where(known & F.col("own").isNull())
     return ends.groupBy("module", "call").agg(F.min(F.substring_index("ref", ".", -1)).alias("kind"))
@@ -138,17 +155,18 @@ def _kinds(modules: DataFrame, exported: DataFrame) -> DataFrame:
 
 def build(modules: DataFrame) -> Metadata:
     """All tables from parsed modules (see sources.modules)."""
-    modules = checkpointed(modules.where("error is null"))
-    exported = checkpointed(exports(modules))
-    models, bases = (checkpointed(x) for x in models_of(modules, exported))
+    modules = stored(modules.where("error is null"))
+    exported = stored(exports(modules))
+    models, bases = (stored(x) for x in models_of(modules, exported))
     declared = modules.select("module", F.explode("fields").alias("f")).select("module", "f.*").join(_kinds(modules, exported), ["module", "call"])
     owner = models.select("module", F.col("name").alias("class"), F.col("label").alias("model"), "app")
-    declared = checkpointed(declared.join(owner, ["module", "class"]).withColumn("is_relation", F.col("kind").isin(*RELATIONS)))
+    declared = stored(declared.join(owner, ["module", "class"]).withColumn("is_relation", F.col("kind").isin(*RELATIONS)))
     forward = declared.drop("target").join(_targets(declared.where("is_relation"), modules, exported, models), ["model", "name"], "left")
     forward = forward.select("model", "name", "kind", "is_relation", F.when(F.col("is_relation"), "forward").alias("direction"), "target", F.col("model").alias("declared_on"), "related_name", "related_query_name", F.lit("declared").alias("provenance"), "ordinal")
-    forward = checkpointed(inherited(forward, bases))
+    forward = stored(inherited(forward, bases))
     concrete = models.where("not is_abstract").select(F.col("label").alias("model"))
-    return Metadata(modules, exported, models, bases, checkpointed(forward.drop("ordinal").unionByName(reverse_relations(forward.join(concrete, "model", "left_semi")))))
+    back = inherited_reverse(stored(reverse_relations(forward.join(concrete, "model", "left_semi"))), forward, bases)
+    return Metadata(modules, exported, models, bases, stored(forward.drop("ordinal").unionByName(back)))
 
 
 def _targets(relations: DataFrame, modules: DataFrame, exported: DataFrame, models: DataFrame) -> DataFrame:
@@ -185,6 +203,54 @@ def inherited(fields: DataFrame, bases: DataFrame) -> DataFrame:
     return both.withColumn("_n", first).where("_n = 1").drop("_n", "way")
 
 
+def inherited_reverse(reverse: DataFrame, forward: DataFrame, bases: DataFrame) -> DataFrame:
+    """reverse with the reverse fields of all ancestors; names that a model has already, forward or reverse, stay its own."""
+    up = ancestors(bases).select("model", F.col("ancestor").alias("_from"), "way")
+    taken = forward.select("model", "name").unionByName(reverse.select("model", "name")).distinct()
+    more = up.join(reverse.withColumnRenamed("model", "_from"), "_from").join(taken, ["model", "name"], "left_anti")
+    nearest = F.row_number().over(Window.partitionBy("model", "name").orderBy("way", "target"))
+    more = more.withColumn("_n", nearest).where("_n = 1").withColumn("provenance", F.when(F.col("provenance") == "reverse", "inherited").otherwise(F.col("provenance")))
+    return reverse.unionByName(more.select(*reverse.columns))
+
+
+def last_resort(fields: DataFrame, models: DataFrame, modules: DataFrame) -> DataFrame:
+    """Fields for models that have none: those of the classes that their bases name, found by bare name where only one model has it."""
+    bare = models.join(fields.select(F.col("model").alias("label")).distinct(), "label", "left_anti")
+    named = modules.select("module", F.explode("classes").alias("c")).select("module", F.col("c.name").alias("name"), F.posexplode("c.bases").alias("_place", "_base"))
+    unique = object_names(models).where("label is not null").select(F.col("name").alias("_short"), F.col("label").alias("_from"))
+    refs = bare.select("label", "module", "name").join(named, ["module", "name"]).withColumn("_short", F.substring_index("_base", ".", -1)).join(unique, "_short").where("_from <> label")
+    got = refs.select(F.col("label").alias("model"), "_from", "_place").join(fields.withColumnRenamed("model", "_from"), "_from")
+    first = F.row_number().over(Window.partitionBy("model", "name").orderBy("_place", "_from"))
+    return got.withColumn("_n", first).where("_n = 1").withColumn("provenance", F.lit("inherited")).select(*fields.columns)
+
+
+def importers(modules: DataFrame) -> DataFrame:
+    """source, symbol, importers: the modules that import a symbol of source ("" the module itself, "*" all), sorted."""
+    i = modules.select("module", F.explode("imports").alias("i"))
+    return i.groupBy(F.col("i.source").alias("source"), F.when(F.col("i.is_star"), "*").otherwise(F.col("i.symbol")).alias("symbol")).agg(F.array_sort(F.collect_set("module")).alias("importers"))
+
+
+def label_map(models: DataFrame, runtime: DataFrame) -> DataFrame:
+    """label, runtime_label: models of a running project (label, module, name) by module and object name, or by label; null without one."""
+    by_name = runtime.select("module", "name", F.col("label").alias("_by_name")).dropDuplicates(["module", "name"])
+    by_label = runtime.select("label", F.col("label").alias("_by_label")).dropDuplicates(["label"])
+    return models.select("label", "module", "name").join(by_name, ["module", "name"], "left").join(by_label, "label", "left").select("label", F.coalesce("_by_name", "_by_label").alias("runtime_label"))
+
+
+def relabelled(fields: DataFrame, labels: DataFrame) -> DataFrame:
+    """fields with model, target and declared_on by their runtime labels where labels (label, runtime_label) has one."""
+    for c in ("model", "target", "declared_on"):
+        to = labels.where("runtime_label is not null").select(F.col("label").alias(c), F.col("runtime_label").alias("_new"))
+        fields = fields.join(to, c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+    return fields
+
+
+def refreshed(made: Metadata, modules: DataFrame) -> Metadata:
+    """made with modules and exports of new parsed modules; models, fields and the graph stay as they were."""
+    modules = stored(modules.where("error is null"))
+    return Metadata(modules, stored(exports(modules)), made.models, made.bases, made.fields)
+
+
 def reverse_relations(forward: DataFrame) -> DataFrame:
     """Fields that relations put on their targets, and their aliases for queries. Names with + are hidden."""
     short = F.lower(F.substring_index("model", ".", -1))
@@ -197,7 +263,10 @@ def reverse_relations(forward: DataFrame) -> DataFrame:
         return r.select(F.col("target").alias("model"), F.col(label).alias("name"), F.concat(F.lit("reverse_"), "kind").alias("kind"), F.lit(True).alias("is_relation"), F.lit("reverse").alias("direction"), F.col("model").alias("target"), "declared_on", "related_name", "related_query_name", F.lit(provenance).alias("provenance"))
 
     aliases = made("_asked", "related_query_alias").join(r.select(F.col("target").alias("model"), F.col("_name").alias("name")).distinct(), ["model", "name"], "left_anti")
-    return made("_name", "reverse").unionByName(aliases.select(*made("_name", "").columns)).dropDuplicates(["model", "name", "target"]).select("model", "name", *columns, "provenance")
+    both = made("_name", "reverse").unionByName(aliases.select(*made("_name", "").columns))
+    # of one name the relation of the model that declares it, not that of a model that inherits it
+    first = F.row_number().over(Window.partitionBy("model", "name").orderBy(F.col("target") != F.col("declared_on"), F.desc("provenance"), "target"))
+    return both.withColumn("_n", first).where("_n = 1").select("model", "name", *columns, "provenance")
 
 
 # ---- graph --------------------------------------------------------------------------------------------------
@@ -211,7 +280,7 @@ def edges(fields: DataFrame) -> DataFrame:
 
 def reachable(links: DataFrame, start: str, with_reverse: bool = True) -> DataFrame:
     """node, level: models that edges lead to from start, nearest first."""
-    links = checkpointed((links if with_reverse else links.where("direction = 'forward'")).select("source", "target").distinct())
+    links = stored((links if with_reverse else links.where("direction = 'forward'")).select("source", "target").distinct())
     first = links.select(F.lit(start).alias("node"), F.lit(0).alias("level")).limit(1)
     return fixpoint(first, lambda new: new.join(links, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("level") + 1).alias("level")), ["node"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillpath.functions.lookups import DEFAULT_LOOKUPS, LOOKUPS, TRANSFORMS
+from quillpath.plans.metadata import stored
 from quillpath.plans.paths import ATTRIBUTE_PATH, FILTERS, RELATION_ONLY
 
 #: Names listed for a class, at most.
@@ -87,6 +88,32 @@ def relation_targets(models: DataFrame, prefix: str) -> DataFrame:
     return models.where(hit).orderBy(F.lower("label"))
 
 
+def virtual_completions(names: DataFrame, prefix: str) -> DataFrame:
+    """name, group, kind of annotations (name, kind) that begin with prefix, and after a whole name and __ its lookups."""
+    head, mark, tail = prefix.partition("__")
+    own = names.where(F.col("name").startswith(prefix)).select("name", F.lit(0).alias("group"), "kind")
+    if not mark:
+        return own.orderBy("group", "name")
+    looked = names.where(F.col("name") == head).join(F.broadcast(lookup_table(names.sparkSession)), "kind").where(F.col("lookup").startswith(tail))
+    return own.unionByName(looked.select(F.concat_ws("__", "name", "lookup").alias("name"), F.lit(2).alias("group"), F.lit("lookup_operator").alias("kind"))).orderBy("group", "name")
+
+
+def without_aliases(fields: DataFrame) -> DataFrame:
+    """fields without the query aliases of a reverse relation that its model also offers under another name to the same target."""
+    other = fields.where("direction = 'reverse' and provenance <> 'related_query_alias'").select("model", "target", F.col("declared_on").alias("_on"))
+    return fields.where("provenance <> 'related_query_alias'").unionByName(fields.where("provenance = 'related_query_alias'").join(other, (fields["model"] == other["model"]) & (fields["target"] == other["target"]), "left_anti"))
+
+
+#: Names that a preview of a relation target lists of each kind.
+PREVIEW = 8
+
+
+def target_previews(nodes: DataFrame) -> DataFrame:
+    """nodes with the first PREVIEW names of each array, and how many there are."""
+    arrays = ("field_names", "relation_names", "reverse_names")
+    return nodes.select("model", *(F.slice(c, 1, PREVIEW).alias(c) for c in arrays), *(F.size(c).alias(f"n_{c}") for c in arrays))
+
+
 def resolved_targets(refs: DataFrame, models: DataFrame) -> DataFrame:
     """id, ref, target, reason of references (id, ref, context): a label, an import path, a unique object name; `self` is the context."""
     by_label = models.select(F.col("label").alias("ref"), F.col("label").alias("_a"))
@@ -110,21 +137,18 @@ def first_wins(*lists: DataFrame, key: str) -> DataFrame:
 
 # ---- validation -----------------------------------------------------------------------------------------
 
-#: Segments of a path that validation follows.
-DEEPEST = 8
-
-
-def validated(usages: DataFrame, fields: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+def validated(usages: DataFrame, fields: DataFrame) -> DataFrame:
     """id, path, resolved, reason, missing, target of usages (id, model, method, path), by one join to
     fields for each level, all usages together. fields is the metadata of a project and may be large,
-    so nothing forces its broadcast. A path of more levels is reported as too_deep.
+    so nothing forces its broadcast. There are as many levels as the longest path has segments.
     """
     norm = F.when(F.col("method") == "order_by", F.regexp_replace(F.trim("path"), "^-", "")).otherwise(F.trim("path"))
     at = usages.select("id", "model", "method", "path").withColumn("segments", F.filter(F.split(norm, "__"), lambda s: s != ""))
     at = at.withColumns({"at": F.col("model"), "used": F.lit(0), "kind": F.lit(None).cast("string"), "target": F.lit(None).cast("string"), "relation": F.lit(False), "open": F.lit(True)})
     table = visible(fields, "filter").select(F.col("model").alias("_m"), F.col("name").alias("_n"), F.col("kind").alias("_k"), F.col("target").alias("_t"), F.col("is_relation").alias("_r"), (F.col("provenance") == "related_query_alias").alias("_alias"))
     attribute = F.col("method").isin(*ATTRIBUTE_PATH)
-    for i in range(deepest):
+    for i in range(at.agg(F.coalesce(F.max(F.size("segments")), F.lit(0))).first()[0]):
+        at = stored(at) if i % 8 == 7 else at  # short plans for long paths
         name = F.get("segments", F.lit(i))
         j = at.join(table, (F.col("at") == F.col("_m")) & (name == F.col("_n")) & F.col("open") & ~(attribute & F.col("_alias")), "left")
         hit = F.col("_n").isNotNull()
@@ -152,7 +176,7 @@ def validated(usages: DataFrame, fields: DataFrame, deepest: int = DEEPEST) -> D
     filters = F.col("method").isin(*FILTERS)
     missing = F.get("segments", F.col("used"))
     reason = (
-        F.when(n == 0, "empty").when(n > deepest, "too_deep").when(F.col("used") == 0, "segment_not_found")
+        F.when(n == 0, "empty").when(F.col("used") == 0, "segment_not_found")
         .when((F.col("used") < n) & filters, F.when(end["bad"].isNotNull(), "invalid_lookup_operator"))
         .when(F.col("used") < n, F.when(F.col("relation"), "segment_not_found").otherwise("non_relation_intermediate"))
         .when(F.col("method").isin(*RELATION_ONLY) & ~F.col("relation"), "relation_required")

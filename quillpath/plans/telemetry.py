@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillpath.plans.metadata import stored
+
 
 def usage(events: DataFrame, name: str, most: int = 500) -> DataFrame:
     """name, uses of the most used names."""
@@ -14,19 +16,28 @@ def usage(events: DataFrame, name: str, most: int = 500) -> DataFrame:
 def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
     """count, mean, p50, p95, low, high of each group; a percentile is the value of rank floor(n * p) from 0, without interpolation.
 
-    Values are counted first, so a group's row holds its different values only, and their running
-    counts find the ranks.
+    Different values are counted, dealt into ranges of (group, value) and counted on within a range; the rows
+    before a range come from one row for each range and group. So a group of many values lies in many tasks.
     """
     counts = samples.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    grouped = counts.groupBy(group).agg(F.sum("_n").alias("count"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_all"))
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(counts.repartitionByRange(parts, group, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(group, "_part").agg(F.sum("_n").alias("_rows"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored(sums.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))))
+    whole = sums.groupBy(F.col(group).alias("_g")).agg(F.sum("_rows").alias("count"), (F.sum("_sum") / F.sum("_rows")).alias("mean"), F.min("_low").alias("low"), F.max("_high").alias("high"))
+    key = F.col("_g").eqNullSafe(F.col(group))
+    seen = F.sum("_n").over(Window.partitionBy(group, "_part").orderBy("_v"))
+    offsets = sums.select(F.col(group).alias("_o"), F.col("_part").alias("_p"), "_before").join(whole, F.col("_g").eqNullSafe(F.col("_o"))).drop("_g")
+    placed = ranged.withColumn("_seen", seen).join(offsets, F.col("_o").eqNullSafe(F.col(group)) & (F.col("_part") == F.col("_p")))
+    last = F.col("_before") + F.col("_seen")
 
     def ranked(p: float) -> F.Column:
         at = F.least(F.floor(F.col("count") * p), F.col("count") - 1)
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("found"))
-        step = lambda a, x: F.struct((a["seen"] + x["_n"]).alias("seen"), F.coalesce(a["found"], F.when(a["seen"] + x["_n"] > at, x["_v"].cast("double"))).alias("found"))
-        return F.aggregate("_all", start, step, lambda a: a["found"])
+        return F.max(F.when((last > at) & (last - F.col("_n") <= at), F.col("_v").cast("double")))
 
-    return grouped.select(group, "count", (F.col("_sum") / F.col("count")).alias("mean"), ranked(0.5).alias("p50"), ranked(0.95).alias("p95"), "low", "high")
+    found = placed.groupBy(F.col(group).alias("_f")).agg(ranked(0.5).alias("p50"), ranked(0.95).alias("p95"))
+    return whole.join(found, F.col("_g").eqNullSafe(F.col("_f"))).select(F.col("_g").alias(group), "count", "mean", "p50", "p95", "low", "high")
 
 
 def gauges(events: DataFrame, name: str, time: str, value: str) -> DataFrame:

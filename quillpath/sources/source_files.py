@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,33 @@ SKIPPED = ("__pycache__", "node_modules", "venv", "env", "site-packages", "build
 def _under(path: Column, root: str) -> Column:
     """path below root, with slashes and no scheme."""
     plain = F.regexp_replace(path, "^[a-z]+:/*", "/")
-    return F.substr(plain, F.lit(len(root.rstrip("/")) + 2))
+    return F.substr(plain, F.lit(len(re.sub("^[a-z]+:/*", "/", root).rstrip("/")) + 2))
 
 
 def read_sources(spark: SparkSession, *roots: str, content: bool = True) -> DataFrame:
-    """path, size, mtime_us (and text) of all Python files below roots, hidden and skipped directories left out, each path once."""
-    out = None
+    """root, path (below root), size, mtime_us (and text) of all Python files below roots, hidden and skipped
+    directories left out. A file below several roots is one of the first of them; equal paths below different roots are different files."""
+    out, before = None, []
     for root in roots:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
-        rows = files.select(_under(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), *([F.decode("content", "utf-8").alias("text")] if content else []))
+        plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
+        for other in before:
+            files = files.where(~plain.startswith(other))
+        before.append(re.sub("^[a-z]+:/*", "/", root).rstrip("/") + "/")
+        rows = files.select(F.lit(root).alias("root"), _under(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), *([F.decode("content", "utf-8").alias("text")] if content else []))
         out = rows if out is None else out.unionByName(rows)
     folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    kept = out.where(~F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED)))
-    return kept.dropDuplicates(["path"])
+    return out.where(~F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED)))
+
+
+def settings_choice(files: DataFrame) -> DataFrame:
+    """entry, settings, n_candidates (one row): the entry script nearest to the root, and the settings module if there is exactly one candidate."""
+    name = F.substring_index("path", "/", -1)
+    depth = F.size(F.split("path", "/"))
+    scripts = files.where(name == "manage.py").agg(F.min_by("path", F.struct(depth, "path")).alias("entry"))
+    candidate = (name == "settings.py") | F.substring_index("path", "/", -2).rlike("^settings/[^_/][^/]*[.]py$")
+    found = files.where(candidate).agg(F.count("*").alias("n_candidates"), F.min("path").alias("_only"))
+    return scripts.crossJoin(found).select("entry", F.when(F.col("n_candidates") == 1, F.replace(F.regexp_replace("_only", "[.]py$", ""), F.lit("/"), F.lit("."))).alias("settings"), "n_candidates")
 
 
 def fingerprinted(files: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillpath.plans import metadata
-from quillpath.sources.modules import read_modules
+from quillpath.sources.modules import SCHEMA, read_modules
+from quillpath.sources.source_files import changes as changes_of
 
 CHANGE = "path string, text string, deleted boolean, version long"
 
@@ -19,14 +20,19 @@ def latest(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max_by(F.struct("text", "deleted"), "version").alias("c"), F.max("version").alias("version")).select("path", "c.text", "c.deleted", "version")
 
 
-def applied(modules: DataFrame, changes: DataFrame) -> DataFrame:
-    """modules after changes: deleted files go, parsed ones replace, and where a new text is no Python the old module stays."""
+def _differences(modules: DataFrame, changes: DataFrame) -> DataFrame:
+    """SCHEMA and gone: what changes do to modules. A text that is no Python leaves the module as it was, unless its path is new."""
     last = latest(changes)
     parsed = read_modules(last.where("not deleted"))
-    good = parsed.where("error is null")
-    first_seen = parsed.where("error is not null").join(modules, "path", "left_anti")
-    gone = last.where("deleted").select("path").unionByName(good.select("path"))
-    return modules.join(gone, "path", "left_anti").unionByName(good).unionByName(first_seen)
+    good = parsed.where("error is null").unionByName(parsed.where("error is not null").join(modules.select("path"), "path", "left_anti"))
+    gone = last.where("deleted").select("path").join(good.select("path"), "path", "left_anti")
+    return good.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+
+
+def applied(modules: DataFrame, changes: DataFrame) -> DataFrame:
+    """modules after changes: deleted files go, parsed ones replace, and where a new text is no Python the old module stays."""
+    new = _differences(modules, changes)
+    return modules.join(new.select("path"), "path", "left_anti").unionByName(new.where("not gone").drop("gone"))
 
 
 def model_part(modules: DataFrame) -> DataFrame:
@@ -50,28 +56,65 @@ def replaced(old: DataFrame, new: DataFrame, labels: DataFrame, key: str = "mode
     return old.join(names, key, "left_anti").unionByName(new.join(names, key, "left_semi"))
 
 
+#: Batches after which an index writes its whole table; between, only what changed.
+WHOLE_EVERY = 16
+
+
 class Index:
-    """Versions of the module table under a folder. A version is written whole before it counts, and a batch that was already applied is passed over."""
+    """Versions of the module table under a folder: version=N has what batch N changed, whole=N the table after it.
+
+    A version counts once Spark's committer has marked its folder complete. A new Index of the same
+    folder goes on from the newest of them, and a batch that was already applied is passed over.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.batch, self.path = -1, ""
+        self.whole, self.deltas = self._found("whole"), self._found("version")
+        self.batch = max([*self.whole, *self.deltas], default=-1)
 
-    def modules(self) -> DataFrame:
-        from quillpath.sources.modules import SCHEMA
+    def _found(self, kind: str) -> list[int]:
+        """Complete versions of a kind, ascending."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
+        status = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in status)
 
-        return self.spark.read.parquet(self.path) if self.path else self.spark.createDataFrame([], SCHEMA)
+    def modules(self) -> DataFrame:
+        last = self.whole[-1] if self.whole else -1
+        rows = self.spark.createDataFrame([], f"{SCHEMA}, gone boolean, version int")
+        if self.whole:
+            rows = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/whole={last}").withColumn("gone", F.lit(False)).withColumn("version", F.lit(last))
+        for n in (n for n in self.deltas if n > last):
+            rows = rows.unionByName(self.spark.read.schema(f"{SCHEMA}, gone boolean").parquet(f"{self.folder}/version={n}").withColumn("version", F.lit(n)))
+        newest = rows.groupBy("path").agg(F.max("version").alias("version"))
+        return rows.join(newest, ["path", "version"], "left_semi").where("not gone").drop("gone", "version")
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         if batch <= self.batch:
             return
-        path = f"{self.folder}/version={batch}"
-        applied(self.modules(), changes).write.mode("overwrite").parquet(path)
-        self.batch, self.path = batch, path
+        _differences(self.modules(), changes).write.mode("overwrite").parquet(f"{self.folder}/version={batch}")
+        self.deltas.append(batch)
+        self.batch = batch
+        if len([n for n in self.deltas if not self.whole or n > self.whole[-1]]) >= WHOLE_EVERY:
+            self.modules().write.mode("overwrite").parquet(f"{self.folder}/whole={batch}")
+            self.whole.append(batch)
 
     def build(self) -> metadata.Metadata:
         return metadata.build(self.modules())
 
+    def updated(self, old: metadata.Metadata, before: DataFrame) -> metadata.Metadata:
+        """The tables after changes to the modules `before`: where no model part changed, only modules and exports are new;
+        else new models and fields replace those of the affected labels, and the others stay."""
+        now = self.modules()
+        paths = changes_of(model_part(before), model_part(now), "path").select("path")
+        if paths.isEmpty():
+            return metadata.refreshed(old, now)
+        new = metadata.build(now)
+        touched = before.join(paths, "path", "left_semi").select("module").unionByName(now.join(paths, "path", "left_semi").select("module")).distinct()
+        changed = old.models.unionByName(new.models).join(touched, "module", "left_semi").select("label").distinct()
+        labels = metadata.stored(affected(changed, old.bases.unionByName(new.bases), metadata.edges(old.fields).unionByName(metadata.edges(new.fields))))
+        return metadata.Metadata(new.modules, new.exports, metadata.stored(replaced(old.models, new.models, labels, "label")), new.bases, metadata.stored(replaced(old.fields, new.fields, labels)))
+
 
 def follow(changes: DataFrame, index: Index, checkpoint: str, after: Callable[[Index], None] | None = None) -> StreamingQuery:
     """Applies every micro-batch of a stream of CHANGE rows to index, and calls after."""
