@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpath.llm.common import map_arrow, written
@@ -29,37 +29,42 @@ FURNITURE = frozenset(
     "breadcrumb breadcrumbs sidebar footer header masthead comment comments commentlist respond disqus share sharing social related recommended newsletter subscribe "
     "subscription signup popup modal overlay widget toolbar pagination pager skip".split()
 )
+#: Words beside those in names of furniture. A name that has other words too, as share-price, only suggests furniture.
+NEUTRAL = frozenset("box bar main top bottom left right wrapper wrap container list item items block area link links button buttons inner outer section content global site page post posts article articles stories icon icons form widget widgets js".split())
 #: Elements that hold lines together inside an article or main element.
 BOXES = frozenset("div section ul ol dl table aside details figure center article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is page furniture by its name or by its class, id or role."""
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """How surely an element is page furniture by its name or by its class, id or role: 2 if it is, 1 if it may be
+    and differencing decides, 0 if nothing says so."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return 0
+    sure = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true" and tag not in INLINE):
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return 2
         if name == "role" and value in ROLES:
-            return True
+            return 2
         if name in ("class", "id") and tag in NAMED:
-            words = set(_WORD.findall(value)) & FURNITURE
-            if words - ({"header"} if in_article else set()):
-                return True
-    return False
+            for one in value.split():
+                words = set(_WORD.findall(one))
+                if words & FURNITURE - ({"header"} if in_article else set()):
+                    sure = max(sure, 1 if words - FURNITURE - NEUTRAL else 2)
+    return sure
 
 
 def blocks_of(page: str) -> list[tuple[str | None, str]]:
     """Text lines (blocks) of the page without structural furniture, each with its box.
 
-    The box is None outside of article and main elements. Inside, it is the innermost box element by its
+    The box is None outside of article and main elements, and in elements that may be furniture by a part of their name. Inside, it is the innermost box element by its
     name and attributes, so that boxes of one make are one; lines of the main element itself, and
     of an article that is the only one of its make, have the empty box.
     """
@@ -134,7 +139,7 @@ def blocks_of(page: str) -> list[tuple[str | None, str]]:
                     close(k)
                 k -= 1
         bad = _furniture(tag, attributes, zone == "article")
-        off += bad
+        off += bad == 2
         open_[tag] += 1
         if not off and tag in ("article", "main"):
             zone = "article" if tag == "article" or zone == "article" else "main"
@@ -142,7 +147,9 @@ def blocks_of(page: str) -> list[tuple[str | None, str]]:
         if not off and zone and tag in BOXES:
             box = f"{tag} {' '.join(attributes.split())}"
             made[box] += 1
-        stack.append((tag, bad, zone, box))
+        if not off and bad == 1:
+            box = None
+        stack.append((tag, bad == 2, zone, box))
     flush()
     return [("" if b and b.startswith("article ") and made[b] == 1 else b, t) for b, t in blocks]
 
@@ -225,10 +232,41 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return map_arrow(pages.select("page_id", "url", "html"), parse, _LINES)
 
 
+def _common(path: str, other: str) -> Column:
+    """How long the beginning is that two columns have in common (found by halving, so up to 2**21 characters); -1 without other."""
+    n = F.least(F.length(path), F.length(other))
+    longer = lambda p, s: F.when((p + s <= n) & (F.substr(path, F.lit(1), p + s) == F.substr(other, F.lit(1), p + s)), p + s).otherwise(p)
+    return F.when(F.col(other).isNull(), -1).otherwise(F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), longer))
+
+
+def _nearest(keys: DataFrame) -> DataFrame:
+    """page_id, near_id: of the neighbours of a page (page_id, host, path, mark) in the order of host, path and
+    page_id the one of its host with the longer common beginning of the path (the earlier, if equal); one of equal mark gives way.
+
+    Pages are dealt into ranges of that order, and each range gets copies of the pages next to it, so a
+    host of any size lies in many tasks. The driver has two rows for each range.
+    """
+    spark = keys.sparkSession
+    order = ["host", "path", "page_id", "mark"]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(keys.select(*order).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).withColumn("_copy", F.lit(False)))
+    ends = sorted(ranged.groupBy("_range").agg(F.min(F.struct(*order)), F.max(F.struct(*order))).collect())
+    copies = [(*ends[i - 1][2], ends[i][0], True) for i in range(1, len(ends))] + [(*ends[i + 1][1], ends[i][0], True) for i in range(len(ends) - 1)]
+    both = ranged.unionByName(spark.createDataFrame(copies, ranged.schema))
+    w = Window.partitionBy("_range").orderBy(*order)
+    same = lambda f, c: F.when(f("host").over(w) == F.col("host"), f(c).over(w))
+    near = both.select("page_id", "path", "mark", "_copy", *(same(f, c).alias(f"{n}_{c}") for f, n in ((F.lag, "before"), (F.lead, "after")) for c in ("path", "page_id", "mark"))).where("not _copy")
+    copy = lambda n: F.coalesce(F.col(f"{n}_mark") == F.col("mark"), F.lit(False))
+    earlier = _common("path", "before_path") >= _common("path", "after_path")
+    earlier = F.when(earlier, ~copy("before") | F.col("after_page_id").isNull()).otherwise(copy("after") & F.col("before_page_id").isNotNull())
+    near = near.select("page_id", F.when(earlier, F.col("before_page_id")).otherwise(F.col("after_page_id")).alias("near_id"))
+    return near.groupBy("page_id").agg(F.min("near_id").alias("near_id")).where("near_id is not null")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Structural furniture goes first. Then every page is aligned by longest common subsequence with the page
+    What structure says for sure goes first (see _furniture). Then every page is aligned by longest common subsequence with the page
     of the nearest URL, and the lines that both have are furniture of the host and go, but for those
     that main_lines keeps in articles. Nearest is, of the two neighbours in the order of paths within
     the host, the one with the longer common beginning (the earlier, if equal); one with the same
@@ -236,24 +274,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     lines stay. Null and empty html give an empty text; pages of null url have no neighbours; of repeated
     page_ids one stands for all as a neighbour; an empty table gives no rows; other columns are ignored.
     """
-    parsed = _parsed(pages)
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
-    keys = parsed.where("url is not null").select("page_id", host.alias("host"), path.alias("path"), "hashes")
-    order = Window.partitionBy("host").orderBy("path", "page_id")
-    near = keys.select("page_id", "path", "hashes", *(f("path").over(order).alias(f"{n}_path") for f, n in ((F.lag, "before"), (F.lead, "after"))), *(f("hashes").over(order).alias(n) for f, n in ((F.lag, "before"), (F.lead, "after"))))
-
-    def common(other: str) -> F.Column:
-        """How long the beginning is that path has in common with other; -1 without one."""
-        n = F.least(F.length("path"), F.length(other))
-        differs = F.filter(F.sequence(F.lit(1), n), lambda i: F.substr("path", i, F.lit(1)) != F.substr(other, i, F.lit(1)))
-        return F.when(F.col(other).isNull(), -1).when(n < 1, 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, n))
-
-    earlier = common("before_path") >= common("after_path")
-    copy = lambda c: F.coalesce(F.col(c) == F.col("hashes"), F.lit(False))
-    earlier = F.when(earlier, ~copy("before") | F.col("after").isNull()).otherwise(copy("after") & F.col("before").isNotNull())
-    near = near.select("page_id", F.when(earlier, F.col("before")).otherwise(F.col("after")).alias("near"))
-    near = near.groupBy("page_id").agg(F.first("near", ignorenulls=True).alias("near"))
+    # the hashes alone are kept: lines of text are made again where they are joined, which moves them once and stores them never
+    keys = written(_parsed(pages).where("url is not null and page_id is not null").select("page_id", host.alias("host"), path.alias("path"), F.xxhash64("hashes").alias("mark"), "hashes"))
+    chosen = written(_nearest(keys.drop("hashes")))
+    hashes = keys.select(F.col("page_id").alias("near_id"), F.col("hashes").alias("near")).dropDuplicates(["near_id"])
+    near = chosen.join(hashes, "near_id").select("page_id", "near")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,4 +289,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(" ".join(main_lines(*row)))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return parsed.join(near, "page_id", "left").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    return map_arrow(_parsed(pages).join(near, "page_id", "left"), difference, "page_id long, url string, text string, n_chars long")
