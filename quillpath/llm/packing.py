@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from quillpath.llm.common import map_arrow, written
 from quillpath.llm.tokens import crc32s, encoder
 
-#: Rows of one length are numbered in this many parts, so that no length lies in one task.
-PARTS = 64
+#: Pieces of one length are numbered in parts of about so many, so that no length lies in one task.
+PART = 20_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
@@ -43,79 +42,104 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, kee
     return map_arrow(documents.select("doc_id", "text"), cut, schema)
 
 
+class _Sums:
+    """Lengths that are left, and hash indexes of the sums of two and of three of them.
+
+    The pairs of a sum lie together, the longest first part first. Availability only falls, so a pair that cannot be
+    had is never looked at again, and finding all combinations takes about as long as there are pairs.
+    """
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left, self.capacity = left, capacity
+        there = np.flatnonzero(left)
+        first, second = (x.ravel() for x in np.meshgrid(there, there, indexing="ij"))
+        keep = (first >= second) & (first + second <= capacity) & ((first > second) | (left[first] > 1))
+        first, second = first[keep], second[keep]
+        order = np.lexsort((-first, first + second))
+        self.first, self.second = first[order], second[order]
+        bounds = np.searchsorted(self.first + self.second, np.arange(capacity + 2))
+        self.pairs = {s: [int(bounds[s]), int(bounds[s + 1])] for s in range(capacity + 1) if bounds[s] < bounds[s + 1]}
+        self.singles = there[::-1].tolist()
+
+    def has(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, most: int, *others: int) -> tuple[int, int] | None:
+        """Two lengths of the sum total, neither longer than most, that are left beside others."""
+        span = self.pairs.get(total)
+        if not span:
+            return None
+        while span[0] < span[1] and not (self.left[self.first[span[0]]] and self.left[self.second[span[0]]]):
+            span[0] += 1
+        for k in range(*span):
+            a, b = int(self.first[k]), int(self.second[k])
+            if a <= most and self.has(*others, a, b):
+                return a, b
+        return None
+
+    def exact(self, length: int) -> tuple[int, ...] | None:
+        """length with nothing, one, two or three others that fill a sequence with it."""
+        gap = self.capacity - length
+        if gap == 0 or self.has(length, gap):
+            return (length, gap) if gap else (length,)
+        if found := self.pair(gap, gap, length):
+            return length, *found
+        for c in self.singles:
+            if c < gap and self.left[c] and 3 * c >= gap and (found := self.pair(gap - c, c, length, c)):
+                return length, c, *found
+        return None
+
+
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with their numbers, by best fit in falling length: each piece goes to the fullest sequence that has room
+    for it. Pieces of one length and sequences of one pattern are moved together: once a sequence is the fullest that fits,
+    it stays so until no other piece of the length fits, so it takes as many as it has room for."""
+    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for x in sorted(left, reverse=True):
+        n = left[x]
+        for room in sorted(r for r in rooms if r >= x):
+            each = room // x
+            groups = rooms.pop(room)
+            while groups and n:
+                pattern, times = groups.pop()
+                taken = min(times, n // each)
+                if taken:
+                    rooms.setdefault(room - each * x, []).append((pattern + (x,) * each, taken))
+                    n, times = n - taken * each, times - taken
+                if times and n:  # fewer than each are left
+                    rooms.setdefault(room - n * x, []).append((pattern + (x,) * n, 1))
+                    n, times = 0, times - 1
+                if times:
+                    groups.append((pattern, times))
+            if groups:
+                rooms.setdefault(room, []).extend(groups)
+        each = capacity // x
+        for size, times in ((each, n // each), (n % each, 1)):
+            if size and times:
+                rooms.setdefault(capacity - size * x, []).append(((x,) * size, times))
+    return [g for groups in rooms.values() for g in groups]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with the number of sequences filled by each.
 
-    From the longest length down: where a single length, a pair or a triple fits its gap exactly, the
-    combination is consumed as often as all its lengths last. What no combination fills is packed
-    best fit: each sequence takes the longest length left that fits, again and again. The work
-    depends on the number of different lengths, not on that of pieces.
+    From the longest length down: where nothing, a single length, a pair or a triple fills its gap exactly,
+    the combination is consumed as often as all its lengths last. What no combination fills is packed best
+    fit. The work depends on the number of different lengths, not on that of pieces.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(lengths: tuple[int, ...]) -> None:
-        uses: dict[int, int] = {}
-        for x in lengths:
-            uses[x] = uses.get(x, 0) + 1
-        times = min(int(left[x]) // k for x, k in uses.items())
-        for x, k in uses.items():
-            left[x] -= k * times
-        out.append((lengths, times))
-
-    def has(*lengths: int) -> bool:
-        return all(left[x] >= lengths.count(x) for x in lengths)
-
-    def exact(length: int) -> tuple[int, ...] | None:
-        gap = capacity - length
-        if gap == 0:
-            return (length,)
-        if left[gap] and has(length, gap):
-            return length, gap
-        there = np.flatnonzero(left[1 : gap]) + 1  # the single sums below the gap
-        # pairs: a and gap - a both there; the longest a first
-        pair = there[(left[gap - there] > 0) & (2 * there >= gap)][::-1]
-        for a in map(int, pair):
-            if has(length, a, gap - a):
-                return length, a, gap - a
-        # triples: a single and a pair sum of what is left
-        for a in map(int, there[::-1]):
-            rest = gap - a
-            small = there[there < rest]
-            small = small[(left[rest - small] > 0) & (2 * small >= rest) & (small <= a)]
-            for b in map(int, small[::-1]):
-                if has(length, a, b, rest - b):
-                    return length, a, b, rest - b
-        return None
-
-    unfilled: dict[int, int] = {}
+    sums, out = _Sums(left, capacity), []
     for length in range(capacity, 0, -1):
-        while left[length]:
-            found = exact(length)
-            if not found:
-                unfilled[length] = int(left[length])
-                break
-            take(found)
+        while left[length] and (found := sums.exact(length)):
+            uses = {x: found.count(x) for x in found}
+            times = min(int(left[x]) // k for x, k in uses.items())
+            for x, k in uses.items():
+                left[x] -= k * times
+            out.append((found, times))
         # what cannot be filled now cannot later: availability only falls
-    there = [x for x in range(1, capacity + 1) if left[x]]
-    while there:
-        room, pattern, uses = capacity, [], {}
-        at = len(there)
-        while True:
-            at = min(at, bisect.bisect_right(there, room))
-            while at and uses.get(there[at - 1], 0) >= left[there[at - 1]]:
-                at -= 1
-            if not at:
-                break
-            x = there[at - 1]
-            pattern.append(x)
-            uses[x] = uses.get(x, 0) + 1
-            room -= x
-        take(tuple(pattern))
-        there = [x for x in there if left[x]]
-    return out
+    return out + best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity)
 
 
 def pack(pieces_: DataFrame, capacity: int) -> DataFrame:
@@ -123,35 +147,37 @@ def pack(pieces_: DataFrame, capacity: int) -> DataFrame:
     the histogram of lengths finds, gapless from 0.
 
     The histogram has at most capacity rows, and the plan a few thousand, whatever the corpus. Every
-    piece finds its place by its number among the pieces of its length, counted in PARTS parts of
-    each length by hash of (doc_id, piece). Repeated rows are pieces of their own; an empty table
-    gives no rows.
+    piece finds its place by its number among the pieces of its length. They are counted in parts by hash of
+    (doc_id, piece), of about PART pieces each, and the driver has one number for each part. Repeated rows
+    are pieces of their own; an empty table gives no rows; columns named as the results are replaced.
     """
     spark = pieces_.sparkSession
-    keyed = pieces_.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    counts = keyed.groupBy("length", "_part").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_part"])
-    if counts.empty:
+    pieces_ = pieces_.drop("sequence_id", "offset")
+    total = {r["length"]: r["n"] for r in pieces_.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    if not total:
         return pieces_.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long"))
-    counts["before"] = counts.groupby("length")["n"].cumsum() - counts["n"]
     rows, first, given = [], 0, {}
-    for lengths, times in plan(counts.groupby("length")["n"].sum().to_dict(), capacity):
+    for lengths, times in plan(total, capacity):
         at = 0
         for x in lengths:
             low = given.get(x, 0)
-            rows.append((x, low, low + times, first - low, at))
+            rows.append((x, low, first - low, at))
             given[x] = low + times
             at += x
         first += times
-    slots = pd.DataFrame(rows, columns=["length", "low", "high", "shift", "offset"])
+    # each length's slots as sorted arrays; they follow one another without gaps, and a piece's slot is the last that begins at or before its number
+    slots = pd.DataFrame(rows, columns=["length", "low", "shift", "offsets"]).sort_values("low").groupby("length").agg(list).reset_index()
+    parts = {x: -(-n // PART) for x, n in total.items()}
+    table = spark.createDataFrame([(int(r.length), int(parts[r.length]), [int(v) for v in r.low], [int(v) for v in r.shift], [int(v) for v in r.offsets]) for r in slots.itertuples()], "length long, _parts long, low array<long>, shift array<long>, offsets array<long>")
+    keyed = pieces_.join(F.broadcast(table.select("length", "_parts")), "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts"))).drop("_parts")
+    counts = keyed.groupBy("length", "_part").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_part"])
+    counts["before"] = counts.groupby("length")["n"].cumsum() - counts["n"]
+    before = F.broadcast(spark.createDataFrame(counts[["length", "_part", "before"]], "length long, _part long, before long"))
     place = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1
-    before = spark.createDataFrame(counts[["length", "_part", "before"]])
-    numbered = keyed.join(F.broadcast(before), ["length", "_part"]).withColumn("_rank", F.col("before") + place).drop("before", "_part")
-    # each length's slots as sorted arrays; a piece's slot is the last that begins at or before its rank
-    by_length = slots.sort_values("low").groupby("length").agg(list).reset_index()
-    table = F.broadcast(spark.createDataFrame([(int(r.length), [int(v) for v in r.low], [int(v) for v in r.shift], [int(v) for v in r.offset]) for r in by_length.itertuples()], "length long, low array<long>, shift array<long>, offsets array<long>"))
-    # slots of a length follow one another without gaps, so their number is that of the bounds at or below the rank
-    slot = F.size(F.filter("low", lambda b: b <= F.col("_rank"))) - 1
-    found = numbered.join(table, "length").withColumn("_slot", slot)
+    numbered = keyed.withColumn("_place", place).join(before, ["length", "_part"]).withColumn("_rank", F.col("before") + F.col("_place")).drop("before", "_part", "_place")
+    halves = F.array(*(F.lit(1 << k) for k in range(max(map(len, slots["low"])).bit_length(), -1, -1)))
+    slot = F.aggregate(halves, F.lit(0), lambda p, s: F.when((p + s <= F.size("low")) & (F.get("low", p + s - 1) <= F.col("_rank")), p + s).otherwise(p)) - 1
+    found = numbered.join(F.broadcast(table.drop("_parts")), "length").withColumn("_slot", slot)
     return found.withColumn("sequence_id", F.get("shift", F.col("_slot")) + F.col("_rank")).withColumn("offset", F.get("offsets", F.col("_slot"))).drop("_slot", "_rank", "low", "shift", "offsets")
 
 

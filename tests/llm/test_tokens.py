@@ -104,3 +104,56 @@ def test_plan_fills_exactly():
                 back[x] = back.get(x, 0) + n
         assert back == lengths
     assert sum(n for _, n in packing.plan({1: 2, 2: 2, 3: 2, 4: 2}, 10)) == 2
+
+
+def fitted(lengths, capacity):
+    """Best fit in falling length, piece by piece: how many sequences."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fit = [r for r in rooms if r >= x]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else capacity) - x)
+    return len(rooms)
+
+
+def least(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    best = len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            put(i + 1, [r - lengths[i] * (j == k) for j, r in enumerate(rooms)])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plan_against_brute_force():
+    r = random.Random(8)
+    more = 0
+    for _ in range(300):
+        lengths = [r.randint(1, 20) for _ in range(r.randint(1, 9))]
+        made = packing.plan({x: lengths.count(x) for x in lengths}, 20)
+        assert sorted(x for p, n in made for x in p * n) == sorted(lengths) and all(sum(p) <= 20 for p, _ in made)
+        more += sum(n for _, n in made) - least(sorted(lengths, reverse=True), 20)
+        many = [r.randint(1, 20) for _ in range(200)]
+        assert sum(n for _, n in packing.best_fit({x: many.count(x) for x in many}, 20)) == fitted(many, 20)
+    assert more <= 12
+
+
+def test_packing_deals_out_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    rows = [(i, 0, 0, x, 0, "clash") for i, x in enumerate([5] * 60 + [3] * 40 + [7] * 9)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, offset string"), 10).collect()
+    made = {}
+    for x in out:
+        made.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert len(out) == 109 and all(sum(n for o, n in sorted(v)[:k]) == sorted(v)[k][0] for v in made.values() for k in range(len(v))) and max(sum(n for _, n in v) for v in made.values()) <= 10
