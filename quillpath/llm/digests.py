@@ -91,7 +91,8 @@ def digests(documents: DataFrame) -> DataFrame:
         )
     )
     rows = written(rows)
-    buckets = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1")
+    # written, so that the join below has plain shuffles on both sides and a hot fingerprint can be split
+    buckets = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1"))
     texts = docs.select("doc_id", canonical(F.col("text")).alias("text")).withColumn("fingerprint", wide_hash(F.col("text")))
     mixed = only_ids(texts, buckets, "fingerprint").groupBy("fingerprint").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("fingerprint")
     mixed = written(mixed)

@@ -41,13 +41,22 @@ GENERATORS = (
 _SPAN = "array<struct<kind:string,start:int,end:int,text:string,before:string,after:string>>"
 #: Characters before and after a span that its features see.
 CONTEXT = 24
+#: Matches of a text that are placed together.
+BLOCK = 64
 
 
 def _located(text: Column, pattern: str, kind: str) -> Column:
-    """All leftmost non-overlapping matches with their places in code points: what lies between them gives the places."""
+    """All leftmost non-overlapping matches with their places in code points: what lies between them gives the places.
+
+    Places add up in blocks of BLOCK matches, so that no long array is copied for each match.
+    """
     cut = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
     def places(s: Column) -> Column:
+        n = F.size(s["found"])
+        length = lambda i: F.length(F.get(s["between"], i)) + F.length(F.get(s["found"], i))
+        numbers = lambda b: F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, n) - 1)
+
         def step(a: Column, i: Column) -> Column:
             start = a["at"] + F.length(F.get(s["between"], i))
             m = F.get(s["found"], i)
@@ -57,9 +66,12 @@ def _located(text: Column, pattern: str, kind: str) -> Column:
             )
             return F.struct((start + F.length(m)).alias("at"), F.array_append(a["spans"], span).alias("spans"))
 
-        n = F.size(s["found"])
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-        return F.when(n == 0, none["spans"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), none, step)["spans"])
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(n / BLOCK).cast("int") - 1, F.lit(0)))
+        sums = F.transform(blocks, lambda b: F.aggregate(numbers(b), F.lit(0), lambda x, i: x + length(i)))
+        first = F.aggregate(sums, F.array(F.lit(0)), lambda x, v: F.array_append(x, F.element_at(x, -1) + v))
+        none = F.array().cast(_SPAN)
+        each = F.transform(F.array(first), lambda at: F.flatten(F.transform(blocks, lambda b: F.aggregate(numbers(b), F.struct(F.get(at, b).alias("at"), none.alias("spans")), step, lambda x: x["spans"]))))[0]
+        return F.when(n == 0, none).otherwise(each)
 
     return F.transform(F.array(cut), places)[0]
 
@@ -293,7 +305,10 @@ def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
     span = "array<struct<kind:string,start:int,end:int>>"
     t = F.coalesce(F.col(text), F.lit(""))
     found = documents.withColumn("base", base_spans(t)).withColumn("_proposed", candidates(t))
-    # free of the base spans first, so that most documents have nothing left to score
+    # free of the base spans first, so that most documents have nothing left to score; what is a base span itself goes by hash
+    slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(span)
+    other = F.transform(F.array(F.array_except(slim(F.col("_proposed")), slim(F.col("base")))), lambda o: F.filter("_proposed", lambda c: F.array_contains(o, F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))[0]
+    found = found.withColumn("_proposed", F.when(F.size("_proposed") > 16, other).otherwise(F.col("_proposed")))
     free = F.filter("_proposed", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
     size = len(features(F.struct(*(F.lit("").alias(n) for n in ("kind", "text", "before", "after")))))
@@ -307,7 +322,6 @@ def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("_likely", likely)
     beats = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & ((a["kind"] < b["kind"]) | ((a["kind"] == b["kind"]) & (a["end"] > b["end"]))))))
     more = F.filter("_likely", lambda s: ~F.exists("_likely", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & beats(o, s)))
-    slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(span)
     return found.withColumn("more", slim(more)).withColumn("base", slim(F.col("base"))).drop("_proposed", "_likely")
 
 

@@ -31,3 +31,18 @@ def test_common_forms(spark):
     assert out == ["call [PHONE] now", "tel [PHONE] ok", "server [IP] is down", "mail: [EMAIL]. Then", "write to [EMAIL] today", *texts[5:]]
     spans = pii.span_digests(df).where("doc_id = 3").first().spans.split(",")
     assert len(spans) == 1
+
+
+def test_many_spans(spark):
+    """A text of thousands of addresses: places are those of Python's re, and no other span is made of them."""
+    import re
+    import time
+
+    text = "".join(f"é{i} a{i}@b{i % 7}.org, +1 555 {i % 900 + 100} {i % 9000 + 1000}; " for i in range(4000))
+    began = time.time()
+    got = pii.with_spans(spark.createDataFrame([(1, text), (2, None), (3, "x@y.zz")], "doc_id long, text string")).select("doc_id", "base", "more").collect()
+    spans = {r.doc_id: r for r in got}
+    emails = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    assert [(s.start, s.end) for s in spans[1].base if s.kind == "email"] == emails
+    assert len([s for s in spans[1].base if s.kind == "phone"]) == 4000 and spans[2].base == [] and len(spans[3].base) == 1
+    assert time.time() - began < 120
