@@ -37,8 +37,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """
     turn = F.struct(
         F.col("turn").alias("turn"),
-        escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
+        F.coalesce(F.col("role"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
         (F.col("role") == "assistant").alias("loss"),
     )
     parts = (
@@ -47,6 +47,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
     )
     whole = parts.groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "turns"))), lambda c: c["turns"])).alias("turns"))
+    # ties of a turn are ordered by their plain role and text, so that escapes come after the sort
+    whole = whole.withColumn("turns", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), t["loss"].alias("loss"))))
 
     def pieces(t: Column, i: Column) -> Column:
         before, after = F.get("turns", i - 1)["role"], F.get("turns", i + 1)["role"]
