@@ -32,8 +32,8 @@ _SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in ra
 _WIDE_SPACE = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 #: A word of Latin letters, perhaps after a space: the tokenizers here do not cut it further.
 _PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
-#: Pieces that a worker remembers newly (about 200 bytes each; as many older ones beside them), and the longest of them in bytes.
-_REMEMBERED, _LONGEST = 200_000, 48
+#: Pieces that a worker remembers (about 200 bytes each), and the longest of them in bytes.
+_REMEMBERED, _LONGEST = 400_000, 48
 #: Bytes of text that are looked up at once.
 _SLICE = 1 << 20
 
@@ -65,7 +65,6 @@ class Encoder:
         self.letters = _byte_letters()
         self.words = self.tokenizer.model
         self.memory: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -127,16 +126,9 @@ class Encoder:
         first = np.zeros(len(names), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         memory, names = self.memory, names.tolist()
-        if len(memory) > _REMEMBERED:  # what is met again comes back from the older ones, the rest goes next time
-            self.older, self.memory = memory, {}
-            memory = self.memory
-        new, older = [], self.older
-        for k in [k for k, name in enumerate(names) if name not in memory]:
-            known = older.get(names[k])
-            if known is None:
-                new.append(k)
-            else:
-                memory[names[k]] = known
+        if len(memory) > _REMEMBERED:
+            memory.clear()
+        new = [k for k, name in enumerate(names) if name not in memory]
         text, at = data.tobytes(), first[new]
         low, high = starts[at].tolist(), ends[at].tolist()
         memory.update(zip([names[k] for k in new], self._learned([text[a:b].decode() for a, b in zip(low, high, strict=True)]), strict=True))
