@@ -63,13 +63,16 @@ class QuerySet:
     sort: tuple[Any, ...] = ()
     outer: tuple[tuple[str, str], ...] = ()  # own column, path of the query around
     deferred: frozenset[str] = frozenset()
+    local: tuple[Any, ...] = ()  # a DataFrame, and the conditions on single rows of the table that alone made it
 
     # ---- beginnings -----------------------------------------------------------------------------
 
     @classmethod
     def of(cls, source: Source, label: str, alias: str = "default") -> QuerySet:
         out = cls(source, label, None, alias)
-        out.df = out.get_queryset(out._table(label, ""))
+        table = out._table(label, "")
+        out.df = out.get_queryset(table)
+        out.local = (table,)
         return out
 
     def get_queryset(self, df: DataFrame) -> DataFrame:
@@ -252,8 +255,23 @@ class QuerySet:
     def filter(self, *conditions: Any, **lookups: Any) -> QuerySet:
         """Rows that match all; a path over several rows keeps a row for each match."""
         out, total = self._filtered(conditions, lookups)
-        out.df = out.df.where(total)
-        return out
+        return out._where(total)
+
+    def _where(self, condition: Column) -> QuerySet:
+        """Keeps rows of condition, and remembers it while nothing but conditions on the table's own rows made df."""
+        whole = bool(self.local) and self.local[0] is self.df
+        self.df = self.df.where(condition)
+        self.local = (self.df, *self.local[1:], condition) if whole else ()
+        return self
+
+    def _own_rows(self) -> Column | None:
+        """The condition that tells this query's rows from the others of its table; None where other rows or tables have a say."""
+        if not self.local or self.local[0] is not self.df:
+            return None
+        total = F.lit(True)
+        for c in self.local[1:]:
+            total = total & c
+        return F.coalesce(total, F.lit(False))
 
     def _many(self, conditions: tuple[Any, ...], lookups: dict[str, Any]) -> bool:
         paths = [*lookups, *(p for c in conditions if isinstance(c, E.Q) for p in c.paths())]
@@ -266,8 +284,7 @@ class QuerySet:
             hit = found.df.where(total).select(F.col(self.model.pk).alias("+hit")).distinct()
             return self._copy(df=self.df.join(hit, F.col(self.model.pk) == F.col("+hit"), "left_anti"))
         out, total = self._filtered(conditions, lookups)
-        out.df = out.df.where(~F.coalesce(total, F.lit(False)))
-        return out
+        return out._where(~F.coalesce(total, F.lit(False)))
 
     def extra(self, select: dict[str, str] | None = None, where: list[str] | None = None, order_by: list[str] | None = None) -> QuerySet:
         """SQL text over the query's columns."""
@@ -614,16 +631,18 @@ class QuerySet:
         return whole.unionByName(new.join(whole, keys, "left_anti") if ignore_conflicts else new)
 
     def update(self, **values: Any) -> DataFrame:
-        """The table with values in the rows of this query."""
-        if not self.model.pk:
-            out = self._copy()
-            raise ValueError(f"{out.label} has no key to update by")
+        """The table with values in the rows of this query: one pass where conditions are on the row itself, else by a join on the key."""
         for name in values:
             direct(self.source.catalog, self.label, name)
-        hit = self.df.select(F.col(self.model.pk).alias("+hit")).distinct()
         q = QuerySet.of(self.source, self.label, self.alias_)
-        q.df = q.df.join(hit, F.col(self.model.pk) == F.col("+hit"), "left")
-        new = {n: F.when(F.col("+hit").isNotNull(), v.build(q) if isinstance(v, E.Expr) else F.lit(v)).otherwise(F.col(n)) for n, v in values.items()}
+        hit = self._own_rows()
+        if hit is None:
+            if not self.model.pk:
+                raise ValueError(f"{self.label} has no key to update by")
+            found = self.df.select(F.col(self.model.pk).alias("+hit")).distinct()
+            q.df = q.df.join(found, F.col(self.model.pk) == F.col("+hit"), "left")
+            hit = F.col("+hit").isNotNull()
+        new = {n: F.when(hit, v.build(q) if isinstance(v, E.Expr) else F.lit(v)).otherwise(F.col(n)) for n, v in values.items()}
         return q.df.select(*(new.get(c, F.col(c)).alias(c) for c in self._whole().columns))
 
     def bulk_update(self, rows: list[dict[str, Any]] | DataFrame, fields: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -637,7 +656,10 @@ class QuerySet:
         return whole.join(new, keys, "left").select(*(F.when(F.col("+hit"), F.col(f"+{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in whole.columns))
 
     def delete(self) -> DataFrame:
-        """The table without the rows of this query; related tables are not touched."""
+        """The table without the rows of this query, as update finds them; related tables are not touched."""
+        own = self._own_rows()
+        if own is not None:
+            return self._whole().where(~own)
         if not self.model.pk:
             raise ValueError(f"{self.label} has no key to delete by")
         hit = self.df.select(F.col(self.model.pk).alias("+hit")).distinct()

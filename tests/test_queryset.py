@@ -115,3 +115,20 @@ def test_empty_tables(spark):
     assert objects("Pet").aggregates(n=Count("*"), s=Sum("age")).collect()[0] == (0, None)
     assert objects("Pet").first() is None
     assert objects("Pet").dataframe().agg(F.count("*")).first()[0] == 0
+
+
+def test_writes_by_the_row_itself_need_no_join(spark):
+    orders = Source(spark, shop(), {"default": "/root/testdata/sf0.001"}).objects
+    joins = lambda df: "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+    customers = orders("Customer")
+    own = customers.filter(acctbal__lt=0).exclude(mktsegment="BUILDING")
+    far = customers.filter(acctbal__lt=0, nation__name__startswith="A")
+    assert not joins(own.update(mktsegment="X")) and not joins(own.delete())
+    assert joins(far.update(mktsegment="X")) and joins(far.delete())
+    whole = customers.count()
+    assert own.delete().count() == whole - own.count() and far.delete().count() == whole - far.count()
+    assert own.update(mktsegment="X").where("mktsegment = 'X'").count() == own.count()
+    assert customers.delete().isEmpty() and customers.none().delete().count() == whole
+    first = customers.order_by("custkey")[:5]
+    assert first.delete().count() == whole - 5
+    assert customers.annotate(low=F_("acctbal") * 2).filter(low__lt=0).delete().count() == customers.filter(acctbal__gte=0).count()
