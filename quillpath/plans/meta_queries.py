@@ -249,3 +249,48 @@ query("R05_alias_visibility", lambda s, d: search.visible(project(s).fields, "on
 query("R09_long_paths", lambda s, d: search.validated(s.createDataFrame([(1, "shop.LineItem", "filter", "order__customer__nation__customers__orders__lines__order__customer__nation__customers__name__startswith"), (2, "shop.Order", "filter", "customer__orders__" * 12 + "nope")], "id int, model string, method string, path string"), _fields(s)).select("id", "reason", "missing", "target"), _values("id, reason, missing, target", (1, "", "", "name"), (2, "invalid_lookup_operator", "nope", "orders")))
 query("Z20_same_app_targets", lambda s, d: project(s).fields.where("direction = 'forward' and provenance = 'declared'").select("model", "name", "target"), _values("model, name, target", ("farm.Horse", "home", "farm.Stable"), ("farm.Horse", "dam", "farm.Horse"), ("farm.Horse", "shoes", "store.Shoe"), ("farm.Pass", "horse", "farm.Horse"), ("store.Shoe", "worn_by", "farm.Horse")))
 query("D08_surface_fingerprints", lambda s, d: surface.fingerprints(surface.members(_models(s), _fields(s))).select("model", F.length("fingerprint").alias("n")), _values("model, n", *[(label, 64) for label in _CATALOG.models]))
+
+# ---- a project of many models, by rules that SQL can state ------------------------------------------------------------
+
+#: Models of the project; chains of DEEP of them inherit from each other.
+MANY, DEEP = 300, 5
+
+
+def _many_files(s: SparkSession) -> DataFrame:
+    """Model i is Node{i} of app{i}, below Node{i-1} unless i is a multiple of DEEP, and links to Node{7 i mod MANY}."""
+    i, t = F.col("id").cast("string"), ((F.col("id") * 7) % MANY).cast("string")
+    top = F.col("id") % DEEP == 0
+    up = (F.col("id") - 1).cast("string")
+    text = F.concat(
+        F.lit("from django.db import models\n"), F.when(top, "").otherwise(F.concat(F.lit("from app"), up, F.lit(".models import Node"), up, F.lit("\n"))),
+        F.lit("class Node"), i, F.lit("("), F.when(top, "models.Model").otherwise(F.concat(F.lit("Node"), up)), F.lit("):\n    f"), i, F.lit(" = models.IntegerField()\n    link"), i,
+        F.lit(" = models.ForeignKey('app"), t, F.lit(".Node"), t, F.lit("', related_name='from"), i, F.lit("', on_delete=models.CASCADE)\n"),
+    )
+    return s.range(MANY).select(F.concat(F.lit("app"), i, F.lit("/models.py")).alias("path"), text.alias("text"))
+
+
+def _many(s: SparkSession) -> metadata.Metadata:
+    key = f"{s.sparkContext.applicationId} many"
+    if key not in _BUILT:
+        _BUILT[key] = metadata.build(read_modules(_many_files(s)))
+    return _BUILT[key]
+
+
+#: Pairs of a model i and one j that it is or inherits from.
+_UP_SQL = f"n AS (SELECT i FROM range({MANY}) t(i)), up AS (SELECT a.i AS i, b.i AS j FROM n a JOIN n b ON a.i // {DEEP} = b.i // {DEEP} AND b.i <= a.i)"
+_LABEL_SQL = "'app' || {0} || '.Node' || {0}"
+query("G08_many_bases", lambda s, d: metadata.ancestors(_many(s).bases).select("model", "ancestor", "depth"), f"WITH {_UP_SQL} SELECT {_LABEL_SQL.format('i')} AS model, {_LABEL_SQL.format('j')} AS ancestor, i - j AS depth FROM up WHERE j < i")
+query("G10_many_fields", lambda s, d: _many(s).fields.select("model", "name", "kind", "direction", "target", "provenance"),
+      f"WITH {_UP_SQL} SELECT {_LABEL_SQL.format('i')} AS model, 'f' || j AS name, 'IntegerField' AS kind, NULL AS direction, NULL AS target, CASE WHEN i = j THEN 'declared' ELSE 'inherited' END AS provenance FROM up "
+      f"UNION ALL SELECT {_LABEL_SQL.format('i')}, 'link' || j, 'ForeignKey', 'forward', {_LABEL_SQL.format(f'(j * 7 % {MANY})')}, CASE WHEN i = j THEN 'declared' ELSE 'inherited' END FROM up "
+      f"UNION ALL SELECT {_LABEL_SQL.format('up.i')}, 'from' || n.i, 'reverse_ForeignKey', 'reverse', {_LABEL_SQL.format('n.i')}, CASE WHEN up.i = up.j THEN 'reverse' ELSE 'inherited' END FROM up JOIN n ON n.i * 7 % {MANY} = up.j")
+query("G11_many_reachable", lambda s, d: metadata.reachable(metadata.edges(_many(s).fields), "app1.Node1", False), f"WITH RECURSIVE {_UP_SQL}, r(i, level) AS (SELECT 1, 0 UNION SELECT up.j * 7 % {MANY}, r.level + 1 FROM r JOIN up ON up.i = r.i WHERE r.level < 30) SELECT {_LABEL_SQL.format('i')} AS node, min(level) AS level FROM r GROUP BY i")
+_LEAF_SQL = f"{{0}} * 7 % {MANY} - {{0}} % 3"  # the model whose field a path of the i-th one asks for
+query("R07_many_reasons", lambda s, d: search.validated(s.range(MANY).select("id", F.concat(F.lit("app"), "id", F.lit(".Node"), "id").alias("model"), F.lit("filter").alias("method"), F.expr(f"concat('link', id, '__f', {_LEAF_SQL.format('id')})").alias("path")), _many(s).fields).select("id", "resolved", "reason", "missing"),
+      f"WITH t AS (SELECT i, i * 7 % {MANY} AS t, {_LEAF_SQL.format('i')} AS k FROM range({MANY}) t(i)), g AS (SELECT *, t // {DEEP} = k // {DEEP} AND k >= 0 AS ok FROM t) SELECT i AS id, ok AS resolved, CASE WHEN ok THEN '' ELSE 'invalid_lookup_operator' END AS reason, CASE WHEN ok THEN '' ELSE 'f' || k END AS missing FROM g")
+query("R10_direct_names", lambda s, d: search.direct_errors(s.range(MANY).select("id", F.concat(F.lit("app"), "id", F.lit(".Node"), "id").alias("model"), F.concat(F.when(F.col("id") % 4 == 3, "from").otherwise("f"), (F.col("id") - F.col("id") % 3).cast("string"), F.when(F.col("id") % 4 == 1, "__gt").otherwise("")).alias("name")), _many(s).fields).select("id"),
+      f"SELECT i AS id FROM range({MANY}) t(i) WHERE i % 4 IN (1, 3) OR i // {DEEP} <> (i - i % 3) // {DEEP}")
+query("O08_most_used", lambda s, d: search.candidates(_table(s, d, "part").select(F.col("p_name").alias("name")).distinct(), "name", "s", _table(s, d, "part").join(_table(s, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("uses"))).select("name", "tier", "uses"),
+      "SELECT p.name, CASE WHEN starts_with(p.name, 's') THEN 0 ELSE 1 END AS tier, coalesce(u.uses, 0) AS uses FROM (SELECT DISTINCT p_name AS name FROM part) p LEFT JOIN (SELECT p_name AS name, count(*) AS uses FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1) u USING (name) WHERE starts_with(lower(p.name), 's')")
+query("O09_runtime_first", lambda s, d: search.relation_targets(_many(s).models, "app1", s.range(0, MANY, 2).select(F.concat(F.lit("app"), "id", F.lit(".Node"), "id").alias("label"))).limit(20).select("label", "is_runtime"),
+      f"SELECT {_LABEL_SQL.format('i')} AS label, i % 2 = 0 AS is_runtime FROM range({MANY}) t(i) WHERE starts_with('app' || i, 'app1') ORDER BY is_runtime DESC, lower(label) LIMIT 20")

@@ -82,10 +82,15 @@ def candidates(items: DataFrame, column: str, text: str, usage: DataFrame | None
     return out.join(usage.withColumnRenamed("name", column), column, "left").withColumn("uses", F.coalesce("uses", F.lit(0))).orderBy("tier", F.desc("uses"), column)
 
 
-def relation_targets(models: DataFrame, prefix: str) -> DataFrame:
-    """Models whose label, name, module or import path begins with prefix, by label."""
+def relation_targets(models: DataFrame, prefix: str, runtime: DataFrame | None = None) -> DataFrame:
+    """Models whose label, name, module or import path begins with prefix, by label; with the labels of a running
+    project (runtime: label) is_runtime is added, and its models go first."""
     hit = F.col("label").startswith(prefix) | F.col("name").startswith(prefix) | F.col("module").startswith(prefix) | F.concat_ws(".", "module", "name").startswith(prefix)
-    return models.where(hit).orderBy(F.lower("label"))
+    found = models.where(hit)
+    if runtime is None:
+        return found.orderBy(F.lower("label"))
+    live = runtime.select("label", F.lit(True).alias("is_runtime")).dropDuplicates(["label"])
+    return found.join(live, "label", "left").withColumn("is_runtime", F.coalesce("is_runtime", F.lit(False))).orderBy(F.desc("is_runtime"), F.lower("label"))
 
 
 def virtual_completions(names: DataFrame, prefix: str) -> DataFrame:
@@ -186,6 +191,13 @@ def validated(usages: DataFrame, fields: DataFrame) -> DataFrame:
     return out.select("id", "path", (F.col("reason") == "").alias("resolved"), "reason", F.coalesce(lost, F.lit("")).alias("missing"), F.coalesce("target", F.lit("")).alias("target"))
 
 
+def direct_errors(usages: DataFrame, fields: DataFrame) -> DataFrame:
+    """id, model, name of usages (id, model, name) that name no field of their own model: create, update, constraints
+    and bulk_update take no traversal, no operator and no reverse relation."""
+    own = fields.where("direction is distinct from 'reverse'").select("model", "name").distinct()
+    return usages.join(own, ["model", "name"], "left_anti").select("id", "model", "name")
+
+
 def _table_of(table: dict[str, tuple[str, ...]]) -> F.Column:
     return F.create_map(*(x for k, ns in table.items() for x in (F.lit(k), F.array(*map(F.lit, ns)))))
 
