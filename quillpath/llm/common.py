@@ -7,16 +7,20 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="quillpath-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -59,11 +63,13 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_00
 # ---- hashes of words and of word shingles, over whole Arrow columns ----------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_STEP_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = _RNG.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
 _SLICE = 1 << 18
+#: Bytes of a range that are hashed with array operations; what follows in a longer one is hashed by itself.
+_LONG = 64
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,19 +90,10 @@ def byte_class(separators: bytes) -> np.ndarray:
 ASCII_SPACE = byte_class(b" \t\n\v\f\r")
 #: Letters, digits and everything outside ASCII.
 ASCII_WORD = byte_class(bytes(b for b in range(128) if not chr(b).isalnum()))
+#: Letters and everything outside ASCII.
+ASCII_LETTER = byte_class(bytes(b for b in range(128) if not chr(b).isalpha()))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_FOLDED = _BYTE[_FOLD]
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        ones = np.full(n, _STEP), np.full(n, _STEP_INVERSE)
-        for x in ones:
-            x[0] = 1
-        _POWERS[:] = [np.cumprod(x, dtype=np.uint64) for x in ones]
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +107,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (ASCII case folded) in order, and for every row the number of the words before it.
-
-    A word's hash is the polynomial of its bytes modulo 2**64, taken from running sums, then mixed.
-    """
+def word_ranges(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where all words start and end, and for every row the number of the words before it."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
     inside = in_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -128,27 +123,75 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> t
     last[:-1] &= ~inside[1:]
     inner = inner[inner > 0] - 1
     last[inner] = inside[inner]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    power, inverse = _powers(n)
-    sums = np.cumsum(_FOLDED[data] * power, dtype=np.uint64)
-    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    return mixed((sums[ends] - before) * inverse[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (ASCII case folded) in order, and for every row the number of the words before it."""
+    starts, ends, counts = word_ranges(data, offsets, in_word)
+    return range_hashes(_FOLD[data], starts, ends), counts
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _FOLD[data]
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from it on as one number, as if zeros followed the last."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes of ascending ranges, by the same polynomial, for about 256 kB at once."""
-    out, a = np.zeros(len(starts), np.uint64), 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _SLICE, "right")))
-        base, length = int(starts[a]), (ends[a:b] - starts[a:b]).astype(np.uint64)
-        power, inverse = _powers(int(ends[b - 1]) - base)
-        sums = np.zeros(len(power) + 1, np.uint64)
-        np.cumsum(_BYTE[data[base : ends[b - 1]]] * power, out=sums[1:])
-        out[a:b] = mixed((sums[ends[a:b] - base] - sums[starts[a:b] - base]) * inverse[starts[a:b] - base] + length)
-        a = b
+    """64-bit hashes of ranges of bytes. The length, then eight bytes at a time are mixed into what came
+    before, so ranges of up to eight bytes and of one length never share a hash. What follows _LONG bytes counts by its XXH3."""
+    size, at = ends - starts, _eights(data)
+    out = mixed(size.astype(np.uint64) * _STEP + _STEP)
+    live, done = np.arange(len(starts)), 0
+    while len(live) and done < _LONG:
+        left = size[live] - done
+        eight = at[starts[live] + done] & _FIRST[np.minimum(left, 8)]
+        out[live] = mixed(out[live] ^ eight)
+        done += 8
+        live = live[left > 8]
+    for i in live.tolist():
+        rest = xxhash.xxh3_64_intdigest(data[starts[i] + done : ends[i]])
+        out[i] = mixed(out[i : i + 1] ^ np.uint64(rest))[0]
     return out
 
 
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each range's bytes among the different ones in order of appearance, and the first range of each.
+    Hashes bring equal ranges together; their bytes are compared, and where any differ, bytes alone decide."""
+    codes, names = pd.factorize(range_hashes(data, starts, ends))
+    first = np.zeros(len(names), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    if not _same_bytes(data, starts, ends, first[codes]):
+        codes, names = pd.factorize(np.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))
+        first = np.zeros(len(names), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, first
+
+
+def _same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each range has the bytes of the range that other names for it."""
+    live = np.flatnonzero(other != np.arange(len(other)))
+    a, b, size = starts[live], starts[other[live]], (ends - starts)[live]
+    if not np.array_equal(size, (ends - starts)[other[live]]):
+        return False
+    at, done = _eights(data), 0
+    while len(a) and done < _LONG:
+        if ((at[a + done] ^ at[b + done]) & _FIRST[np.minimum(size - done, 8)]).any():
+            return False
+        done += 8
+        keep = size > done
+        a, b, size = a[keep], b[keep], size[keep]
+    return all(np.array_equal(data[x : x + n], data[y : y + n]) for x, y, n in zip(a.tolist(), b.tolist(), size.tolist(), strict=True))
+
+
 def row_slices(offsets: np.ndarray, size: int = _SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about size bytes each; a longer row is alone."""
     row, rows = 0, len(offsets) - 1

@@ -2,10 +2,9 @@
 
 A tokenizer that never joins text across a cut gives the same ids for a text as for its pieces one
 after another. Cuts lie before runs of white space, and between an ASCII letter and an ASCII sign
-(no apostrophe, which begins contractions). Pieces are found and named by 64-bit hashes of their bytes
-with array operations; each name is looked up once for a slice of rows, and only pieces not met
-before go to the tokenizer. Two different pieces of a worker's memory share a name with a chance of
-about its size squared over 2**65: under 1e-8. A text with the string of a special token is one piece.
+(no apostrophe, which begins contractions). Equal pieces of a slice of rows are found by hashes with array
+operations and compared byte by byte; each is looked up once by its bytes, and only pieces not met
+before go to the tokenizer. A text with the string of a special token is one piece.
 """
 
 from __future__ import annotations
@@ -19,11 +18,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quillpath.llm.common import ASCII_SPACE, range_hashes, row_slices, utf8
+from quillpath.llm.common import ASCII_SPACE, distinct_ranges, row_slices, utf8
 
 _SPACE = ~ASCII_SPACE
 _LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
@@ -32,7 +30,7 @@ _SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in ra
 _WIDE_SPACE = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 #: A word of Latin letters, perhaps after a space: the tokenizers here do not cut it further.
 _PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
-#: Pieces that a worker remembers (about 200 bytes each), and the longest of them in bytes.
+#: Pieces that a worker remembers (about 250 bytes each), and the longest of them in bytes.
 _REMEMBERED, _LONGEST = 400_000, 48
 #: Bytes of text that are looked up at once.
 _SLICE = 1 << 20
@@ -64,7 +62,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.letters = _byte_letters()
         self.words = self.tokenizer.model
-        self.memory: dict[int, bytes] = {}
+        self.memory: dict[bytes, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,20 +120,17 @@ class Encoder:
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
         starts, ends = self._bounds(data, offsets, whole)
-        codes, names = pd.factorize(range_hashes(data, starts, ends))
-        first = np.zeros(len(names), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        memory, names = self.memory, names.tolist()
+        codes, first = distinct_ranges(data, starts, ends)
+        memory, text = self.memory, data.tobytes()
         if len(memory) > _REMEMBERED:
             memory.clear()
-        new = [k for k, name in enumerate(names) if name not in memory]
-        text, at = data.tobytes(), first[new]
-        low, high = starts[at].tolist(), ends[at].tolist()
-        memory.update(zip([names[k] for k in new], self._learned([text[a:b].decode() for a, b in zip(low, high, strict=True)]), strict=True))
-        found = [memory[name] for name in names]
-        for k, a, b in zip(new, low, high, strict=True):
-            if b - a > _LONGEST:
-                del memory[names[k]]
+        pieces = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = [p for p in pieces if p not in memory]
+        memory.update(zip(new, self._learned([p.decode() for p in new]), strict=True))
+        found = [memory[p] for p in pieces]
+        for p in new:
+            if len(p) > _LONGEST:
+                del memory[p]
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(found), self.dtype)
         each = size[codes]
