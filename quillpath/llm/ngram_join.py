@@ -9,7 +9,7 @@ by the numbers of the bits set, of which one 64-bit name is made.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
@@ -209,6 +209,13 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return map_arrow(sets.select("sid", "shingles"), rows, "sid long, size int, fine binary, sketch binary")
 
 
+def close(threshold: Fraction) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Whether sketches are no further apart than the largest difference of linked sets of their sizes."""
+    share = (1 - threshold) / (1 + threshold)
+    num, den = share.numerator, share.denominator
+    return lambda x, y, total: np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * den <= total * num
+
+
 def _near(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (u, v) whose fine sketches are no further apart than the largest difference of linked sets of their sizes."""
     pairs = written(pairs)
@@ -236,9 +243,9 @@ def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
     return across.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")).distinct()
 
 
-def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (u, v) across components in large buckets whose sketches are no further apart than the
-    largest difference of linked sets of their sizes. The sets outside of a bucket's largest component
+def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pairs (u, v) across components in large buckets whose sketches (sid, sketch) are near: near says so of rows of two arrays
+    of 64-bit words and the sums of their sets' sizes. The sets outside of a bucket's largest component
     (strays) are dealt into blocks, all sets of the bucket into chunks, and each block meets each
     chunk in one group, so that a group is bounded whatever the bucket's size, and few strays cost little."""
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
@@ -248,8 +255,7 @@ def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> Da
     columns = ["key", "chunk", "block", "stray", "sid", "size", "own", "label", "sketch"]
     every = dealt.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).withColumn("block", each("blocks")).withColumn("stray", F.lit(False))
     strays = dealt.where("label <> main").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", each("chunks")).withColumn("stray", F.lit(True))
-    share = (1 - threshold) / (1 + threshold)
-    num, den, t_num, t_den = share.numerator, share.denominator, threshold.numerator, threshold.denominator
+    t_num, t_den = threshold.numerator, threshold.denominator
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
@@ -262,9 +268,8 @@ def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction) -> Da
             fit = np.minimum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_den >= np.maximum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_num
             fit &= (label[i][:, None] != label[b][None, :]) & (own[i][:, None] | own[b][None, :]) & (sid[i][:, None] != sid[b][None, :])
             x, y = np.nonzero(fit)
-            apart = np.bitwise_count(sketch[i[x]] ^ sketch[b[y]]).sum(axis=1, dtype=np.int64)
-            near = apart * den <= total[x, y] * num
-            x, y = i[x[near]], b[y[near]]
+            met = near(sketch[i[x]], sketch[b[y]], total[x, y])
+            x, y = i[x[met]], b[y[met]]
             u.append(np.minimum(sid[x], sid[y]))
             v.append(np.maximum(sid[x], sid[y]))
         none = np.zeros(0, np.int64)
@@ -288,11 +293,16 @@ def _prepared(documents: DataFrame, width: int, threshold: Fraction) -> tuple[Da
     shared = written(_open(_agreeing(written(shared)), "sid"))
     shared = written(_agreeing(shared))
     vertices = shared.select("sid").distinct()
-    chosen = signed.join(vertices, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(only_ids(_sets(only_ids(docs, chosen, "doc_id"), width), vertices, "sid").dropDuplicates(["sid"]))
+    sets = whole_sets(docs, signed, vertices, width)
+    return signed, shared, sets, written(_sketches(sets))
+
 
-    sketches = written(_sketches(sets))
-    return signed, shared, sets, sketches
+def whole_sets(docs: DataFrame, signed: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
+    """sid, shingles of the sets named in vertices, made again from the document with each set's smallest doc_id;
+    sets that only rows without doc_id have come from those rows."""
+    chosen = signed.join(vertices, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    texts = only_ids(docs, chosen, "doc_id").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    return written(only_ids(_sets(texts, width), vertices, "sid").dropDuplicates(["sid"]))
 
 
 def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -303,24 +313,34 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     width has one shingle of all; null and empty texts have none and are alone. Equal sets are one
     vertex. Every set is first held against the one that agrees with others on most pieces (the original
     of a group of near copies) among the sets that it shares buckets with. Where a bucket still has sets of
-    several components, all its pairs across components whose whole sketches are near enough are verified, so that no link that would connect components is left out. Repeated rows each give a row; an empty table gives none.
+    several components, all its pairs across components whose whole sketches are near enough are verified, so that no link that would connect components is left out.
+    Repeated rows each give a row; an empty table gives none. Rows without doc_id link as others do; a component's id is the smallest doc_id that is there, or null.
     """
     signed, shared, sets, sketches = _prepared(documents, width, threshold)
 
-    # each set is held against the one that it meets most often as the best of its buckets
     score = shared.groupBy("sid").agg((F.count("*") / F.max("size")).alias("score"))
+    return classed(signed, shared, score, lambda pairs: _linked(_near(pairs, sketches, threshold), sets, threshold), sketches.select("sid", "sketch"), close(threshold), threshold)
+
+
+def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], threshold: Fraction) -> DataFrame:
+    """doc_id, n_shingles, component_id, component_size from the rows (doc_id, n_shingles, sid), the buckets
+    (key, sid, size, own) in which linked sets meet, a score (sid, score) of how much each set agrees with others, linked, which gives
+    those of the pairs (u, v) that reach the threshold, and sketches that near compares in large buckets.
+
+    Each set is held against the one that it meets most often as the best of its buckets, and then all pairs across
+    the components are tried that are left in a bucket.
+    """
     best = shared.join(score, "sid").groupBy("key").agg(F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.struct("score", -F.col("sid"))).alias("b"))
     met = shared.join(written(best.select("key", "b.*")), "key").where("sid <> v")
     stars = met.where(_near_sizes(threshold, "size", "other")).groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
     stars = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    links = written(_linked(_near(stars.select("u", "v"), sketches, threshold), sets, threshold))
+    links = written(linked(stars.select("u", "v")))
     labels = written(components(links, "u", "v"))
     now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     now = written(_open(written(now), "label"))
     now = now.join(written(now.groupBy("key").agg(F.count("*").alias("rows"))), "key")
-    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold))
-    tried = _near(tried.distinct(), sketches, threshold)
-    labels = written(components(links.unionByName(_linked(tried, sets, threshold)), "u", "v"))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches, threshold, near))
+    labels = written(components(links.unionByName(linked(tried.distinct())), "u", "v"))
 
     classed = signed.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     some = classed.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))
@@ -334,7 +354,7 @@ def _class_links(documents: DataFrame, width: int, threshold: Fraction) -> tuple
     signed, shared, sets, sketches = _prepared(documents, width, threshold)
     sizes = shared.groupBy("key").agg(F.count("*").alias("rows"))
     now = shared.withColumn("label", F.col("sid")).join(written(sizes), "key")
-    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold, close(threshold)))
     return signed, written(_linked(_near(tried.distinct(), sketches, threshold), sets, threshold))
 
 
@@ -363,8 +383,8 @@ def link_counts(documents: DataFrame, width: int = 5, threshold: Fraction = Frac
     return signed.join(each, "sid", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-#: op6 in SQL over all pairs that share a shingle.
-ORACLE_SQL = r"""
+#: op6 in SQL over all pairs that share a shingle, with its threshold in hundredths to be filled in.
+_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (
   select distinct doc_id, s from (
@@ -376,10 +396,15 @@ h as (select doc_id, md5(string_agg(s, chr(10) order by s)) as g from s group by
 r as (select g, min(doc_id) as rep from h group by g),
 rs as (select doc_id, s from s where doc_id in (select rep from r)),
 i as (select a.doc_id as a, b.doc_id as b, count(*) as m from rs a join rs b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * m >= 85 * (na.n + nb.n - m)),
+l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * m >= {hundredths} * (na.n + nb.n - m)),
 e as (select a, b from l union select b, a from l),
 c(v, o) as (select rep, rep from r union select e.b, c.o from c join e on e.a = c.v),
 m as (select v, min(o) as c from c group by v)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.c, d.doc_id) as component_id, case when m.c is null then 1 else count(*) over (partition by m.c) end as component_size
 from d left join n using (doc_id) left join h using (doc_id) left join r using (g) left join m on m.v = r.rep
 """
+
+
+def oracle(hundredths: int) -> str:
+    """SQL of similar for shingles of four words."""
+    return _SQL.replace("{hundredths}", str(hundredths))
