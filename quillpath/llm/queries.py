@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpath.llm import chat, decontam, digests, html, langid, minhash, ngram_join, packing, pii, quality, token_store
+from quillpath.llm import chat, decontam, digests, html, langid, manifest, minhash, ngram_join, packing, pii, quality, token_store
 from quillpath.llm.common import shared_dir
 
 
@@ -76,6 +76,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 2048, end_id=0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"))
+
+
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4, Fraction(80, 100))
 
@@ -85,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.ORACLE_SQL, "op6_ngram_join": ngram_join.oracle(85), "op12_minhash_near_dedup": minhash.ORACLE_SQL}
+    return {"op1_decontamination": decontam.ORACLE_SQL, "op6_ngram_join": ngram_join.oracle(85), "op11_merkle_manifest": manifest.ORACLE_SQL, "op12_minhash_near_dedup": minhash.ORACLE_SQL}
