@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpath.llm import chat, decontam, digests, html, langid, manifest, minhash, ngram_join, packing, pii, quality, token_store
+from quillpath.llm import chat, decontam, digests, divergence, html, langid, manifest, minhash, ngram_join, packing, pii, quality, token_store
 from quillpath.llm.common import shared_dir
 
 
@@ -84,9 +84,13 @@ def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4, Fraction(80, 100))
 
 
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.ORACLE_SQL, "op6_ngram_join": ngram_join.oracle(85), "op11_merkle_manifest": manifest.ORACLE_SQL, "op12_minhash_near_dedup": minhash.ORACLE_SQL}
+    return {"op1_decontamination": decontam.ORACLE_SQL, "op6_ngram_join": ngram_join.oracle(85), "op11_merkle_manifest": manifest.ORACLE_SQL, "op12_minhash_near_dedup": minhash.ORACLE_SQL, "op13_divergence_audit": divergence.ORACLE_SQL}
