@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillpath.llm.common import ASCII_SPACE, map_arrow, mixed, only_ids, written
 from quillpath.llm.decontam import sets_of
-from quillpath.llm.ngram_join import _joined, _linked, classed, oracle, set_ids, whole_sets
+from quillpath.llm.ngram_join import _joined, _linked, _near, _sketches, classed, close, oracle, set_ids, whole_sets
 
 #: Coordinates of a signature, and the chance with which a pair just at the threshold may collide too seldom.
 COORDINATES, MISS = 80, 1e-9
@@ -114,14 +114,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: Fraction =
     few = written(only_ids(signatures, vertices, "sid"))
     sets = whole_sets(docs, signed, vertices, width)
     score = shared.groupBy("sid").agg(F.max("score").alias("score"))
-    # in blocks, a coordinate is known by 16 bits
-    short = F.transform("lists", lambda x: F.right(F.lpad(F.hex(x), 16, F.lit("0")), F.lit(4)))
-    sketches = few.select("sid", F.unhex(F.array_join(short, "")).alias("sketch"))
-
-    def near(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return (np.ascontiguousarray(x).view(np.uint16) == np.ascontiguousarray(y).view(np.uint16)).sum(axis=1) >= matches
-
-    found = classed(signed, shared.select("key", "sid", "size", "own"), score, lambda pairs: _linked(colliding(pairs, few, matches), sets, threshold), sketches, near, threshold)
+    # where many meet, a bound by parities of whole sets comes before collisions are counted
+    sketches = written(_sketches(sets))
+    linked = lambda pairs: _linked(colliding(_near(pairs, sketches, threshold), few, matches), sets, threshold)
+    found = classed(signed, shared.select("key", "sid", "size", "own"), score, linked, sketches.select("sid", "sketch"), close(threshold), threshold)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
