@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,49 +46,59 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, kee
 class _Sums:
     """Lengths that are left, and hash indexes of the sums of two and of three of them.
 
-    The pairs of a sum lie together, the longest first part first. Availability only falls, so a pair that cannot be
-    had is never looked at again, and finding all combinations takes about as long as there are pairs.
+    The pairs of a sum are found when it is first asked for, the longest first part first, and of a sum of three it is kept
+    how far its longest part has been tried. Availability only falls, so what cannot be had is never looked at again.
     """
 
     def __init__(self, left: np.ndarray, capacity: int):
         self.left, self.capacity = left, capacity
-        there = np.flatnonzero(left)
-        first, second = (x.ravel() for x in np.meshgrid(there, there, indexing="ij"))
-        keep = (first >= second) & (first + second <= capacity) & ((first > second) | (left[first] > 1))
-        first, second = first[keep], second[keep]
-        order = np.lexsort((-first, first + second))
-        self.first, self.second = first[order], second[order]
-        bounds = np.searchsorted(self.first + self.second, np.arange(capacity + 2))
-        self.pairs = {s: [int(bounds[s]), int(bounds[s + 1])] for s in range(capacity + 1) if bounds[s] < bounds[s + 1]}
-        self.singles = there[::-1].tolist()
+        self.there = np.flatnonzero(left)
+        self.pairs: dict[int, list] = {}
+        self.triples: dict[int, int] = {}
+        self.singles = self.there[::-1].tolist()
 
     def has(self, *lengths: int) -> bool:
         return all(self.left[x] >= lengths.count(x) for x in lengths)
 
+    def _pairs(self, total: int) -> list:
+        """How many pairs of a sum are used up, and its pairs."""
+        if total not in self.pairs:
+            first = self.there[(2 * self.there >= total) & (self.there < total)][::-1]
+            first = first[(self.left[first] > 0) & (self.left[total - first] > 0)]
+            self.pairs[total] = [0, list(zip(first.tolist(), (total - first).tolist(), strict=True))]
+        return self.pairs[total]
+
     def pair(self, total: int, most: int, *others: int) -> tuple[int, int] | None:
         """Two lengths of the sum total, neither longer than most, that are left beside others."""
-        span = self.pairs.get(total)
-        if not span:
-            return None
-        while span[0] < span[1] and not (self.left[self.first[span[0]]] and self.left[self.second[span[0]]]):
-            span[0] += 1
-        for k in range(*span):
-            a, b = int(self.first[k]), int(self.second[k])
+        index = self._pairs(total)
+        used, pairs = index
+        while used < len(pairs) and not (self.left[pairs[used][0]] and self.left[pairs[used][1]]):
+            used += 1
+        index[0] = used
+        for a, b in itertools.islice(pairs, used, None):
             if a <= most and self.has(*others, a, b):
                 return a, b
         return None
 
+    def triple(self, total: int, *others: int) -> tuple[int, int, int] | None:
+        """Three lengths of the sum total that are left beside others, which are the same whenever this sum is asked for."""
+        for k in range(self.triples.get(total, 0), len(self.singles)):
+            c = self.singles[k]
+            if 3 * c < total:
+                break
+            if c < total and self.left[c] and (found := self.pair(total - c, c, *others, c)):
+                self.triples[total] = k
+                return c, *found
+        self.triples[total] = len(self.singles)
+        return None
+
     def exact(self, length: int) -> tuple[int, ...] | None:
         """length with nothing, one, two or three others that fill a sequence with it."""
         gap = self.capacity - length
         if gap == 0 or self.has(length, gap):
             return (length, gap) if gap else (length,)
-        if found := self.pair(gap, gap, length):
-            return length, *found
-        for c in self.singles:
-            if c < gap and self.left[c] and 3 * c >= gap and (found := self.pair(gap - c, c, length, c)):
-                return length, c, *found
-        return None
+        found = self.pair(gap, gap, length) or self.triple(gap, length)
+        return (length, *found) if found else None
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -120,18 +131,12 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return [g for groups in rooms.values() for g in groups]
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with the number of sequences filled by each.
-
-    From the longest length down: where nothing, a single length, a pair or a triple fills its gap exactly,
-    the combination is consumed as often as all its lengths last. What no combination fills is packed best
-    fit. The work depends on the number of different lengths, not on that of pieces.
-    """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] = n
+def _filled(left: np.ndarray, capacity: int, shortest: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with their numbers: exact combinations of each length down to shortest, from the longest, consumed as often as all
+    their lengths last, then best fit of what is left."""
+    left = left.copy()
     sums, out = _Sums(left, capacity), []
-    for length in range(capacity, 0, -1):
+    for length in range(capacity, shortest - 1, -1):
         while left[length] and (found := sums.exact(length)):
             uses = {x: found.count(x) for x in found}
             times = min(int(left[x]) // k for x, k in uses.items())
@@ -142,6 +147,30 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return out + best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity)
 
 
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths with the number of sequences filled by each.
+
+    From the longest length down: where nothing, a single length, a pair or a triple fills its gap exactly,
+    the combination is consumed as often as all its lengths last. What no combination fills is packed best
+    fit. Combinations of short lengths alone may take what longer ones need later, so they are consumed down to several
+    shortest lengths, over capacity among them, which is best fit alone, and the plan of the fewest sequences is taken.
+    The work depends on the number of different lengths, not on that of pieces.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] = n
+    least = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    best, fewest = [], None
+    for shortest in (1, *(capacity * k // 4 + 1 for k in range(1, 5))):
+        found = _filled(left, capacity, shortest)
+        sequences = sum(times for _, times in found)
+        if fewest is None or sequences < fewest:
+            best, fewest = found, sequences
+        if fewest == least:
+            break
+    return best
+
+
 def pack(pieces_: DataFrame, capacity: int) -> DataFrame:
     """pieces_ with sequence_id and offset: as few sequences of at most capacity ids as the plan over
     the histogram of lengths finds, gapless from 0.
