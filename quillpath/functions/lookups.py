@@ -97,17 +97,6 @@ def transform(name: str, c: Column, kind: str) -> Column:
     }[name](c)
 
 
-def _json(value: Any) -> Any:
-    import json
-
-    return value if isinstance(value, Column) else F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
-
-
-def _flat(c: Column) -> Column:
-    """A JSON object as a map of its members' texts. Members of members are compared as text."""
-    return F.from_json(c, "map<string,string>")
-
-
 def _keys(c: Column, names: list[str]) -> list[Column]:
     return [F.coalesce(F.array_contains(F.json_object_keys(c), n), F.lit(False)) for n in names]
 
@@ -125,9 +114,11 @@ def predicate(name: str, c: Column, value: Any, kind: str) -> Column:
         return custom(c, value)
     lit = value if isinstance(value, Column) or isinstance(value, (list, tuple, set, frozenset, range)) or value is None else F.lit(value)
     if base_kind(kind) == "JSONField" and name in ("contains", "contained_by"):
-        big, small = (_flat(c), _flat(_json(value)))[:: 1 if name == "contains" else -1]
-        held = F.forall(F.map_keys(small), lambda k: F.map_contains_key(big, k) & F.element_at(big, k).eqNullSafe(F.element_at(small, k)))
-        return F.coalesce(held, F.lit(False))
+        from quillpath.functions import json_sets
+
+        if isinstance(value, Column):
+            raise TypeError("JSON containment between columns is a relation: json_sets.contained")
+        return F.coalesce((json_sets.contains if name == "contains" else json_sets.contained_by)(json_sets.parsed(c), value), F.lit(False))
     match name:
         case "exact":
             return c.isNull() if value is None else c == lit

@@ -21,6 +21,7 @@ from quillpath.functions import expressions as E
 from quillpath.functions.lookups import predicate, transform
 from quillpath.plans.catalog import Catalog, Field
 from quillpath.plans.paths import PathError, direct, resolve
+from quillpath.sources.versioned import VersionedTable
 
 
 class DoesNotExist(LookupError):
@@ -39,8 +40,11 @@ class Source:
     catalog: Catalog
     folders: dict[str, str]
     tables: dict[str, DataFrame] = field(default_factory=dict)  # in place of files
+    versioned: dict[str, VersionedTable] = field(default_factory=dict)  # tables that queries write to
 
     def read(self, table: str, alias: str = "default") -> DataFrame:
+        if table in self.versioned:
+            return self.versioned[table].read()
         return self.tables[table] if table in self.tables else self.spark.read.parquet(f"{self.folders[alias]}/{table}.parquet")
 
     def objects(self, model: str, cls: type[QuerySet] | None = None) -> QuerySet:
@@ -665,6 +669,49 @@ class QuerySet:
         hit = self.df.select(F.col(self.model.pk).alias("+hit")).distinct()
         return self._whole().join(hit, F.col(self.model.pk) == F.col("+hit"), "left_anti")
 
+    # ---- writes that are commits: each gives the number of the new version of a table in source.versioned ----
+
+    def _target(self) -> tuple[VersionedTable, dict[str, str]]:
+        """The versioned table of the model, and the columns of its fields."""
+        if self.model.table not in self.source.versioned:
+            raise ValueError(f"{self.model.table} is no versioned table")
+        return self.source.versioned[self.model.table], {f.name: f.column for f in self.model.fields if f.column}
+
+    def _found(self) -> Column | DataFrame:
+        """What tells this query's rows: a condition on single rows, or else their keys."""
+        own = self._own_rows()
+        if own is not None:
+            return own
+        if not self.model.pk:
+            raise ValueError(f"{self.label} has no key to write by")
+        return self.df.select(self.model.pk).distinct()
+
+    def update_rows(self, **values: Any) -> int:
+        """Values in the rows of this query; only files that hold one of them are rewritten."""
+        table, columns = self._target()
+        for name in values:
+            direct(self.source.catalog, self.label, name)
+        q = QuerySet.of(self.source, self.label, self.alias_)
+        return table.update(self._found(), {columns[n]: v.build(q) if isinstance(v, E.Expr) else F.lit(v) for n, v in values.items()}, columns)
+
+    def delete_rows(self) -> int:
+        """Removes the rows of this query; related tables are not touched."""
+        table, columns = self._target()
+        return table.delete(self._found(), columns)
+
+    def create_rows(self, rows: list[dict[str, Any]] | DataFrame, update_fields: tuple[str, ...] = (), ignore_conflicts: bool = False) -> int:
+        """Adds rows. Of rows with equal keys the old stay with ignore_conflicts, or take update_fields from the new."""
+        table, columns = self._target()
+        new = self._rows(rows)
+        if ignore_conflicts:
+            new = new.join(self._whole(), [self.model.pk], "left_anti")
+        if not update_fields:
+            renamed = new.withColumnsRenamed(columns)
+            missing = [f for f in table.version().schema if f.name not in renamed.columns]
+            return table.append(renamed.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}))
+        key = columns[self.model.pk]
+        return table.merge(new, [key], update=[columns[f] for f in update_fields], names=columns)
+
     def _matches(self, lookups: dict[str, Any]) -> int:
         """0 or 1 rows that lookups find; several are an error, as for get."""
         n = self.filter(**lookups).df.limit(2).count()
