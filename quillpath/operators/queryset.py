@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillpath.functions import expressions as E
 from quillpath.functions.lookups import predicate, transform
 from quillpath.plans.catalog import Catalog, Field
+from quillpath.plans.metadata import pages, written_pages
 from quillpath.plans.paths import PathError, direct, resolve
 from quillpath.sources.versioned import VersionedTable
 
@@ -416,24 +417,32 @@ class QuerySet:
                 out.extra_shown = tuple(dict.fromkeys((*out.extra_shown, *names)))
         return out
 
-    def prefetch_related(self, *paths: str | tuple[str, QuerySet]) -> QuerySet:
-        """Adds arrays of related rows' structs, each under its relation's name; (path, query) gives the rows of query."""
+    def prefetch_related(self, *paths: str | tuple[Any, ...]) -> QuerySet:
+        """Adds arrays of related rows' structs, each under its relation's name; (path, query) gives the rows of query, and (path, query,
+        n) the first n of them for each row, in the query's order and then by all fields. What a task has over n of a row is dropped before the shuffle."""
         out = self._copy()
         for p in paths:
-            path, query = p if isinstance(p, tuple) else (p, None)
+            path, query, most = (*p, None, None)[:3] if isinstance(p, tuple) else (p, None, None)
             r = resolve(out.source.catalog, out.label, path, "prefetch_related")
             f = r.fields[0]
             child = query._copy() if query is not None else QuerySet.of(out.source, f.target, out.alias_)
             names = [x.name for x in child.model.fields if x.column]
+            order = [child.order(k) for k in child.sort] + [F.col(n).asc_nulls_last() for n in names] if most is not None else []
             row = F.struct(*names).alias("+row")
             key = f"+p{len(out.df.columns)}"
+
+            def some(df: DataFrame, by: Column, order: list[Column] = order, most: int | None = most) -> DataFrame:
+                if most is None:
+                    return df
+                return df.withColumn("+n", F.row_number().over(SparkWindow.partitionBy(by).orderBy(*order))).where(F.col("+n") <= most)
+
             if f.through[0]:
                 table, to_own, to_target = f.through if not f.reverse_of else (f.through[0], f.through[2], f.through[1])
                 pairs = out.source.read(table, out.alias_).select(F.col(to_own).alias(key), F.col(to_target).alias("+t")).distinct()
-                rows = pairs.join(child.df, F.col("+t") == F.col(child.model.pk)).select(key, row)
+                rows = some(pairs.join(child.df, F.col("+t") == F.col(child.model.pk)), F.col(key)).select(key, row)
                 own = F.col(out.model.pk)
             elif f.reverse_of:
-                rows, own = child.df.select(F.col(f.reverse_of).alias(key), row), F.col(out.model.pk)
+                rows, own = some(child.df, F.col(f.reverse_of)).select(F.col(f.reverse_of).alias(key), row), F.col(out.model.pk)
             else:
                 rows, own = child.df.select(F.col(child.model.pk).alias(key), row), F.col(f.name)
             arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list("+row")).alias(f"{f.name}_rows"))
@@ -545,7 +554,19 @@ class QuerySet:
         return out.df.select(*(F.col(c) for c in out._visible()))
 
     def iterator(self, chunk_size: int | None = None) -> Iterator[Row]:
-        return self.dataframe().toLocalIterator(prefetchPartitions=True)
+        """Rows in order. With chunk_size the driver never holds more than twice as many; without, a partition of the result at a time."""
+        if chunk_size is None:
+            return self.dataframe().toLocalIterator(prefetchPartitions=True)
+        return (row for chunk in self.chunks(chunk_size) for row in chunk)
+
+    def chunks(self, size: int) -> Iterator[list[Row]]:
+        """Lists of `size` rows in order, the last one shorter. The result is sorted and written once, in files of at most size rows to the shared
+        folder; each is read by a job of its own, so neither the driver nor a job depends on how large a partition is."""
+        if size < 1:
+            raise ValueError("a chunk has rows")
+        df = self.dataframe()
+        path = written_pages(df, size)
+        return _chunks(df, path, size)
 
     def __iter__(self) -> Iterator[Row]:
         return self.iterator()
@@ -757,6 +778,17 @@ class QuerySet:
     clean = clean_fields = validate_unique = validate_constraints = full_clean
 
 
+def _chunks(df: DataFrame, path: str, size: int) -> Iterator[list[Row]]:
+    held: list[Row] = []
+    for file in pages(df.sparkSession, path):
+        held += df.sparkSession.read.schema(df.schema).parquet(file).collect()
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
+
+
 def _asynchronous(name: str) -> Callable[..., Any]:
     async def run(self: QuerySet, *args: Any, **kw: Any) -> Any:
         return await asyncio.to_thread(getattr(self, name), *args, **kw)

@@ -46,16 +46,48 @@ def _stored(df: DataFrame) -> tuple[DataFrame, str, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path, rows.get["n"]
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """start and all that step finds from what was new, each combination of keys once and first found first.
-    It ends when a round finds nothing, so step must give finitely many combinations."""
-    new, path, n = _stored(start.dropDuplicates(keys))
-    paths = [path]
+def written_pages(df: DataFrame, size: int) -> str:
+    """The folder in which df lies in files of at most `size` rows each, in its order."""
+    path = f"{shared_folder(df.sparkSession)}/pages/{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", size).parquet(path)
+    return path
+
+
+def pages(spark: SparkSession, path: str) -> list[str]:
+    """Files of written_pages in order: by partition, then by number within it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    place = lambda n: (int(n.split("-")[1]), int(n.rsplit("-c", 1)[1].split(".")[0]))
+    return [f"{path}/{n}" for n in sorted((n for n in names if n.startswith("part-")), key=place)]
+
+
+def _first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of the rows of equal keys the least by the columns of order, and then by all others, so that it is always the same."""
+    rest = [*order, *(c for c in df.columns if c not in keys and c not in order)]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first")).select(*(c if c in keys else F.col("_first")[c].alias(c) for c in df.columns))
+
+
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], order: tuple[str, ...] = (), better: str = "") -> DataFrame:
+    """start and all that step finds from what was new, each combination of keys once: of those found in the round that finds one
+    first, the least by order and then by all columns. With better, the name of a column, a later row of less in that column
+    counts as new too, and the least stays. It ends when a round finds nothing, so step must give finitely many rows."""
+    order = [better, *order] if better else list(order)
+    new, path, n = _stored(_first(start, keys, order))
+    paths, read = [path], start.sparkSession.read.schema(new.schema)
     while n:
-        found = start.sparkSession.read.schema(new.schema).parquet(*paths)
-        new, path, n = _stored(step(new).select(*new.columns).dropDuplicates(keys).join(found.select(*keys), keys, "left_anti").select(*new.columns))
+        found = read.parquet(*paths)
+        made = _first(step(new).select(*new.columns), keys, order)
+        if better:
+            known = found.groupBy(*keys).agg(F.min(better).alias("_least"))
+            made = made.join(known, keys, "left").where(F.col("_least").isNull() | (F.col(better) < F.col("_least"))).select(*new.columns)
+        else:
+            made = made.join(found.select(*keys), keys, "left_anti").select(*new.columns)
+        new, path, n = _stored(made)
         paths.append(path)
-    return start.sparkSession.read.schema(new.schema).parquet(*paths)
+    found = read.parquet(*paths)
+    return _first(found, keys, order) if better else found
 
 
 # ---- exports -------------------------------------------------------------------------------------------
@@ -84,7 +116,7 @@ def exports(modules: DataFrame) -> DataFrame:
         by_star = stars.join(source, "_from").join(listed, "_from").where(fresh & open_).select("module", F.col("_name").alias("symbol"), "origin_module", "origin_symbol", via.alias("via"), (F.lit(1_000_000) - F.col("ordinal")).alias("rank"))
         return by_name.unionByName(by_star)
 
-    found = fixpoint(start, step, ["module", "symbol", "origin_module", "origin_symbol"])
+    found = fixpoint(start, step, ["module", "symbol", "origin_module", "origin_symbol"], ("rank", "via"))
     first = F.row_number().over(Window.partitionBy("module", "symbol").orderBy("rank", F.size("via"), "origin_module", "origin_symbol"))
     return found.withColumn("_n", first).where("_n = 1").drop("_n")
 
@@ -183,15 +215,17 @@ def _targets(relations: DataFrame, modules: DataFrame, exported: DataFrame, mode
 
 
 def ancestors(bases: DataFrame) -> DataFrame:
-    """model, ancestor, depth, way: every model that another descends from; way orders them as a search by base order does."""
+    """model, ancestor, depth, way: every model that another descends from; way is the first path to it in a search by base order, which
+    goes into a base before it goes to the next one. Paths that come round to a model again are not followed."""
     place = F.format_string("%04d", F.col("ordinal"))
-    direct = bases.select("model", F.col("base").alias("ancestor"), F.lit(1).alias("depth"), place.alias("way"))
+    direct = bases.select("model", F.col("base").alias("ancestor"), F.lit(1).alias("depth"), place.alias("way"), F.array("model", "base").alias("_path")).where("model <> ancestor")
     up = bases.select(F.col("model").alias("ancestor"), F.col("base").alias("_next"), place.alias("_place"))
 
     def step(new: DataFrame) -> DataFrame:
-        return new.join(up, "ancestor").where("_next <> model").select("model", F.col("_next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.lit("."), "_place").alias("way"))
+        on = new.join(up, "ancestor").where(~F.array_contains("_path", F.col("_next")))
+        return on.select("model", F.col("_next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.lit("."), "_place").alias("way"), F.array_append("_path", F.col("_next")).alias("_path"))
 
-    return fixpoint(direct, step, ["model", "ancestor"])
+    return fixpoint(direct, step, ["model", "ancestor"], better="way").drop("_path")
 
 
 def inherited(fields: DataFrame, bases: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillpath.functions.lookups import DEFAULT_LOOKUPS, LOOKUPS, TRANSFORMS
@@ -70,6 +70,46 @@ def fuzzy(items: DataFrame, column: str, text: str, most: int = 2) -> DataFrame:
     return items.withColumn("distance", d).where(F.col("distance").between(1, most)).orderBy("distance", column)
 
 
+def shortened(word: Column, most: int) -> Column:
+    """All strings that are left of a word after up to `most` of its characters are deleted, each once."""
+    one = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    now = every = F.array(word)
+    for _ in range(most):
+        now = F.array_distinct(F.flatten(F.transform(now, one)))
+        every = F.concat(every, now)
+    return F.array_distinct(every)
+
+
+def near_pairs(left: DataFrame, right: DataFrame, column: str, most: int = 2) -> DataFrame:
+    """a, b, distance: different words of left and of right that are at most `most` edits apart, without case.
+
+    Words within that distance have a string in common that is left after at most as many deletions from each. Both sides give all such strings of
+    every different word, which are joined for equality by their hashes; what meets is measured. A word of n letters gives n**most / 2 strings.
+    """
+    words = lambda df, name: df.where(F.col(column).isNotNull()).select(F.lower(column).alias(name)).distinct().select(name, F.explode(F.transform(shortened(F.col(name), most), lambda x: F.xxhash64(x))).alias("key"))
+    met = words(left, "a").join(words(right, "b"), "key").where("a <> b").select("a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+
+
+def with_prefixes(items: DataFrame, column: str, prefixes: DataFrame, limit: int = CLASS_LIMIT, fold: bool = False) -> DataFrame:
+    """prefix, `column`, rank: for every row of prefixes (column prefix) the first `limit` different items in order that begin with it.
+
+    Items are cut to each length that a prefix has, and joined with the prefixes for equality; a prefix that most items have keeps its first
+    in every task before any are shuffled. Lengths come to the driver, of which there are as many as the longest prefix has letters.
+    """
+    text = F.lower if fold else F.col
+    asked = prefixes.where("prefix is not null").select("prefix", text("prefix").alias("_key")).distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length("_key")).distinct().collect())
+    if not lengths:
+        return asked.select("prefix", F.lit(None).cast("string").alias(column), F.lit(0).alias("rank"))
+    own = text(column)
+    cuts = F.array(*(F.when(F.length(own) >= n, F.substring(own, 1, n)) for n in lengths))
+    cut = items.where(F.col(column).isNotNull()).select(column).distinct().select(column, F.explode(F.array_compact(cuts)).alias("_key"))
+    met = cut.join(asked, "_key")
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy(column))
+    return met.select("prefix", column, place.alias("rank")).where(F.col("rank") <= limit)
+
+
 def candidates(items: DataFrame, column: str, text: str, usage: DataFrame | None = None) -> DataFrame:
     """Items by prefix without case, or near ones where no item has the prefix; exact beginnings first, then the most used, then by name."""
     low = F.lower(column)

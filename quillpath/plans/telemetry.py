@@ -40,6 +40,21 @@ def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
     return whole.join(found, F.col("_g").eqNullSafe(F.col("_f"))).select(F.col("_g").alias(group), "count", "mean", "p50", "p95", "low", "high")
 
 
+def recent(samples: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """The last `size` rows of each group by the columns of order. Every task keeps its own last ones before any are shuffled, so a group
+    of any number of rows sends a bounded number."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*(F.desc(c) for c in order)))
+    return samples.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
+
+
+def recent_latency(samples: DataFrame, group: str, value: str, order: list[str], size: int = 500) -> DataFrame:
+    """As latency, over a ring buffer: the last `size` samples of each group that have a value."""
+    kept = recent(samples.where(F.col(value).isNotNull()).select(group, value, *order), group, order, size)
+    found = kept.groupBy(group).agg(F.count("*").alias("count"), F.avg(value).alias("mean"), F.sort_array(F.collect_list(value)).alias("_all"))
+    at = lambda p: F.get("_all", F.least(F.floor(F.col("count") * p), F.col("count") - 1).cast("int")).cast("double")
+    return found.select(group, "count", "mean", at(0.5).alias("p50"), at(0.95).alias("p95"), F.array_min("_all").alias("low"), F.array_max("_all").alias("high"))
+
+
 def gauges(events: DataFrame, name: str, time: str, value: str) -> DataFrame:
     """name, total, last: the sum of a counter and the latest value of a gauge."""
     return events.groupBy(name).agg(F.count("*").alias("total"), F.max_by(value, F.struct(time, value)).alias("last"))

@@ -56,6 +56,16 @@ def replaced(old: DataFrame, new: DataFrame, labels: DataFrame, key: str = "mode
     return old.join(names, key, "left_anti").unionByName(new.join(names, key, "left_semi"))
 
 
+def differing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """label: values of key whose rows are not the same in both tables, by one number for the rows of each."""
+    whole = lambda df, name: df.groupBy(F.col(key).alias("label")).agg(F.count("*").alias(f"{name}_n"), *(F.sum(F.xxhash64(F.lit(k), F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")).alias(f"{name}{k}") for k in (0, 1)))
+    both = whole(old, "a").join(whole(new, "b"), "label", "full")
+    same = F.lit(True)
+    for k in ("_n", "0", "1"):
+        same = same & F.col(f"a{k}").eqNullSafe(F.col(f"b{k}"))
+    return both.where(~same).select("label")
+
+
 #: Batches after which an index writes its whole table; between, only what changed.
 WHOLE_EVERY = 16
 
@@ -104,15 +114,14 @@ class Index:
 
     def updated(self, old: metadata.Metadata, before: DataFrame) -> metadata.Metadata:
         """The tables after changes to the modules `before`: where no model part changed, only modules and exports are new;
-        else new models and fields replace those of the affected labels, and the others stay."""
+        else the rows of models that are not as they were are replaced, whatever made them so: their own module, a base, a relation or a re-export."""
         now = self.modules()
         paths = changes_of(model_part(before), model_part(now), "path").select("path")
         if paths.isEmpty():
             return metadata.refreshed(old, now)
         new = metadata.build(now)
-        touched = before.join(paths, "path", "left_semi").select("module").unionByName(now.join(paths, "path", "left_semi").select("module")).distinct()
-        changed = old.models.unionByName(new.models).join(touched, "module", "left_semi").select("label").distinct()
-        labels = metadata.stored(affected(changed, old.bases.unionByName(new.bases), metadata.edges(old.fields).unionByName(metadata.edges(new.fields))))
+        models = differing(old.models, new.models, "label")
+        labels = metadata.stored(models.unionByName(differing(old.fields, new.fields, "model")).distinct())
         return metadata.Metadata(new.modules, new.exports, metadata.stored(replaced(old.models, new.models, labels, "label")), new.bases, metadata.stored(replaced(old.fields, new.fields, labels)))
 
 

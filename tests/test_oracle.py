@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from quillpath.plans import meta_queries, relational
+from quillpath.plans import meta_queries, relational, table_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {**relational.queries(), **meta_queries.queries()}
-SQL = {**relational.oracle_sql(), **meta_queries.oracle_sql()}
+QUERIES = {**relational.queries(), **meta_queries.queries(), **table_queries.queries()}
+SQL = {**relational.oracle_sql(), **meta_queries.oracle_sql(), **table_queries.oracle_sql()}
 
 
 @pytest.fixture(scope="module")
