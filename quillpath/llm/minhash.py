@@ -25,6 +25,8 @@ from quillpath.llm.ngram_join import _joined, _linked, _near, _sketches, classed
 
 #: Coordinates of a signature, and the chance with which a pair just at the threshold may collide too seldom.
 COORDINATES, MISS = 80, 1e-9
+#: Rounds in which sets are held against some of each list's largest component before what is left is tried whole.
+ROUNDS = 2
 _RNG = np.random.Generator(np.random.PCG64(80_1997))
 _ORDERS = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _NAMES = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -97,8 +99,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: Fraction =
 
     Words are runs of anything but ASCII white space, with A-Z folded. A document of fewer words than
     width has one shingle of all; null and empty texts have none and are alone. Equal sets are one
-    vertex. Within a posting list sets are first held against one of it, then across the components that are left (as in
-    the n-gram join), so a group of near copies never gives all its pairs. A link is missed with a chance under MISS.
+    vertex. Within a posting list sets are first held against one of it, then against some of its largest component, then across
+    the components that are left (as in the n-gram join), so a group of near copies never gives all its pairs. A link is missed with a chance under MISS.
     kept is whether doc_id is component_id, and so true of every repeated row of that doc_id. Rows without doc_id link as others do; a component's id is the
     smallest doc_id that is there; where there is none it is null, and such rows are kept. An empty table gives no rows; other columns are left out.
     """
@@ -117,7 +119,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: Fraction =
     # where many meet, a bound by parities of whole sets comes before collisions are counted
     sketches = written(_sketches(sets))
     linked = lambda pairs: _linked(colliding(_near(pairs, sketches, threshold), few, matches), sets, threshold)
-    found = classed(signed, shared.select("key", "sid", "size", "own"), score, linked, sketches.select("sid", "sketch"), close(threshold), threshold)
+    found = classed(signed, shared.select("key", "sid", "size", "own"), score, linked, sketches.select("sid", "sketch"), close(threshold), threshold, ROUNDS)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

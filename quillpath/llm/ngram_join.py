@@ -29,6 +29,8 @@ SPARE = 8
 FEW, BLOCK = 48, 2048
 #: Pairs to verify that may be broadcast (16 bytes each), so that the first sets of the pairs are moved once.
 BROADCAST_PAIRS = 1_000_000
+#: Sets that one outside of its buckets' largest components is held against in a round.
+TRIES = 8
 #: Bits of a whole sketch that is compared in blocks.
 BITS = 2048
 #: Sets of one key in a batch from which on most of them are dealt into PARTS parts.
@@ -322,22 +324,44 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     return classed(signed, shared, score, lambda pairs: _linked(_near(pairs, sketches, threshold), sets, threshold), sketches.select("sid", "sketch"), close(threshold), threshold)
 
 
-def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], threshold: Fraction) -> DataFrame:
+def _left(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of the buckets in which sets of several components meet, with their label."""
+    labels = written(components(links, "u", "v"))
+    now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    return written(_open(written(now), "label"))
+
+
+def _strays(now: DataFrame, threshold: Fraction, number: int) -> DataFrame:
+    """Pairs (u, v) of sets outside of their bucket's largest component with a set of it, others in every round and up to TRIES for each."""
+    by_label = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.xxhash64("sid", "key", F.lit(number))).alias("one"))
+    main = by_label.groupBy("key").agg(F.max_by(F.struct(F.col("label").alias("main"), "one"), F.struct("n", "label")).alias("of")).select("key", "of.main", "of.one.*")
+    met = now.join(written(main), "key").where("label <> main").where(_near_sizes(threshold, "size", "other"))
+    pairs = met.groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), F.xxhash64("u", "v")))
+    return pairs.withColumn("place", place).where(F.col("place") <= TRIES).select("u", "v")
+
+
+def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], threshold: Fraction, rounds: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id, component_size from the rows (doc_id, n_shingles, sid), the buckets
     (key, sid, size, own) in which linked sets meet, a score (sid, score) of how much each set agrees with others, linked, which gives
     those of the pairs (u, v) that reach the threshold, and sketches that near compares in large buckets.
 
-    Each set is held against the one that it meets most often as the best of its buckets, and then all pairs across
-    the components are tried that are left in a bucket.
+    Each set is held against the one that it meets most often as the best of its buckets; in each further round those that are
+    still outside of the largest component of a bucket are held against some sets of it; and then all pairs across
+    the components are tried that are left in a bucket. Rounds only save pairs of the last step, which leaves none out.
     """
     best = shared.join(score, "sid").groupBy("key").agg(F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.struct("score", -F.col("sid"))).alias("b"))
     met = shared.join(written(best.select("key", "b.*")), "key").where("sid <> v")
     stars = met.where(_near_sizes(threshold, "size", "other")).groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
     stars = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     links = written(linked(stars.select("u", "v")))
-    labels = written(components(links, "u", "v"))
-    now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    now = written(_open(written(now), "label"))
+    now = _left(shared, links)
+    for k in range(rounds):
+        more = written(linked(_strays(now, threshold, k)))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        now = _left(shared, links)
     now = now.join(written(now.groupBy("key").agg(F.count("*").alias("rows"))), "key")
     tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches, threshold, near))
     labels = written(components(links.unionByName(linked(tried.distinct())), "u", "v"))
