@@ -16,12 +16,14 @@ from quillpath.llm.common import map_arrow, written
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 # Elements by what becomes of them, and the words that name page furniture.
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object canvas audio video xmp noembed noframes annotation annotation-xml".split())
+#: Of these, those whose text ends with the page where no end tag follows; others are then empty.
+ENDLESS = frozenset("script style title textarea xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics mstyle".split())
 DROPPED = frozenset("head nav footer aside form menu button select dialog fieldset datalist".split())
 NAMED = frozenset("div section ul ol dl p span table aside header article details figure center".split())
 FURNITURE = frozenset(
@@ -31,38 +33,64 @@ FURNITURE = frozenset(
 )
 #: Words beside those in names of furniture. A name that has other words too, as share-price, only suggests furniture.
 NEUTRAL = frozenset("box bar main top bottom left right wrapper wrap container list item items block area link links button buttons inner outer section content global site page post posts article articles stories icon icons form widget widgets js".split())
+#: Words of names for what a page is about. An element that has one of them as a name is furniture by others only perhaps, and a header of it is none.
+CONTENT = frozenset("content main article post entry story body page text".split())
+#: Words of readers' comments, which may well be most of a page.
+COMMENTS = frozenset("comment comments commentlist respond disqus".split())
+#: Share of a page's text from which on an element is not removed by what it is called.
+BULK = 0.75
 #: Elements that hold lines together inside an article or main element.
 BOXES = frozenset("div section ul ol dl table aside details figure center article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-cased name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), value.strip("\"'").lower())
+    return out
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
     """How surely an element is page furniture by its name or by its class, id or role: 2 if it is, 1 if it may be
-    and differencing decides, 0 if nothing says so."""
+    and differencing decides, 0 if nothing says so. And whether it is out whatever it holds: navigation, what is hidden, and readers' comments."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return 2
+        return 2, tag not in ("form", "aside", "header", "fieldset", "dialog")
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return 0
-    sure = 0
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true" and tag not in INLINE):
-            return 2
-        if name == "style" and re.search(r"display\s*:\s*none", value):
-            return 2
-        if name == "role" and value in ROLES:
-            return 2
-        if name in ("class", "id") and tag in NAMED:
-            for one in value.split():
-                words = set(_WORD.findall(one))
-                if words & FURNITURE - ({"header"} if in_article else set()):
-                    sure = max(sure, 1 if words - FURNITURE - NEUTRAL else 2)
-    return sure
+        return 0, False
+    found = _attributes(attributes)
+    if "hidden" in found or (found.get("aria-hidden") == "true" and tag not in INLINE) or re.search(r"display\s*:\s*none", found.get("style", "")):
+        return 2, True
+    if found.get("role") in ROLES:
+        return 2, found["role"] == "navigation"
+    sure, comments = 0, False
+    if tag in NAMED:
+        names = [*found.get("class", "").split(), *found.get("id", "").split()]
+        told = any(n in CONTENT for n in names)
+        for name in names:
+            words = set(_WORD.findall(name))
+            marks = words & FURNITURE - ({"header"} if in_article or words & CONTENT else set())
+            if marks:
+                comments = comments or bool(marks & COMMENTS)
+                sure = max(sure, 1 if told or words - FURNITURE - NEUTRAL - CONTENT else 2)
+    return sure, comments
 
 
 def blocks_of(page: str) -> list[tuple[str | None, str]]:
-    """Text lines (blocks) of the page without structural furniture, each with its box.
+    """Text lines (blocks) of the page without structural furniture, each with its box (see _blocks). What would be removed by what it is called, but
+    holds BULK of the page's text, as a form or a frame around all of it does, is no furniture; differencing decides about its lines."""
+    spared: set[int] = set()
+    while True:
+        blocks, more = _blocks(page, spared)
+        if not more:
+            return blocks
+        spared.add(more)
+
+
+def _blocks(page: str, spared: set[int]) -> tuple[list[tuple[str | None, str]], int]:
+    """Text lines with their boxes, and the number of an element to be spared, if any.
 
     The box is None outside of article and main elements, and in elements that may be furniture by a part of their name. Inside, it is the innermost box element by its
     name and attributes, so that boxes of one make are one; lines of the main element itself, and
@@ -71,6 +99,8 @@ def blocks_of(page: str) -> list[tuple[str | None, str]]:
     blocks: list[tuple[str | None, str]] = []
     stack: list[tuple[str, bool, str, str | None]] = []  # open elements: name, furniture, zone and box inside
     open_, made = Counter(), Counter()
+    inside: Counter[int] = Counter()  # text in furniture by the number of its outermost element, 0 for text outside
+    number, outer, fixed = 0, 0, set()
     parts: list[str] = []
     off, zone, box = 0, "", None
 
@@ -94,8 +124,10 @@ def blocks_of(page: str) -> list[tuple[str | None, str]]:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at and not off:
-            parts.append(page[at:lt])
+        if lt > at:
+            inside[outer if off else 0] += len(page[at:lt].strip())
+            if not off:
+                parts.append(page[at:lt])
         if lt >= n:
             break
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
@@ -121,8 +153,10 @@ def blocks_of(page: str) -> list[tuple[str | None, str]]:
                 close(k)
             continue
         if tag in RAW:
+            if attributes.rstrip().endswith("/") and tag not in ENDLESS:
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if tag in ENDLESS else at
             continue
         if tag == "br":
             if not off:
@@ -138,8 +172,16 @@ def blocks_of(page: str) -> list[tuple[str | None, str]]:
                 if stack[k][0] in CLOSES[tag]:
                     close(k)
                 k -= 1
-        bad = _furniture(tag, attributes, zone == "article")
-        off += bad == 2
+        bad, out = _furniture(tag, attributes, zone == "article")
+        number += 1
+        if number in spared:
+            bad = 1
+        if bad == 2:
+            if not off:
+                outer = number
+                if out:
+                    fixed.add(number)
+            off += 1
         open_[tag] += 1
         if not off and tag in ("article", "main"):
             zone = "article" if tag == "article" or zone == "article" else "main"
@@ -151,7 +193,9 @@ def blocks_of(page: str) -> list[tuple[str | None, str]]:
             box = None
         stack.append((tag, bad == 2, zone, box))
     flush()
-    return [("" if b and b.startswith("article ") and made[b] == 1 else b, t) for b, t in blocks]
+    total = inside.total()
+    more = next((k for k, n in inside.items() if k and k not in fixed and n >= BULK * total), 0) if total else 0
+    return [("" if b and b.startswith("article ") and made[b] == 1 else b, t) for b, t in blocks], more
 
 
 def lines_of(page: str) -> tuple[list[str], bool]:
