@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillpath.plans.catalog import Catalog, Field
-from quillpath.plans.metadata import stored
+from quillpath.plans.metadata import reverse_relations, stored
 
 #: Values of a column's sketch. A column of which one value in a hundred is not in a key passes it with chance 0.3.
 SKETCH = 128
@@ -85,6 +85,26 @@ def references(tables: dict[str, DataFrame]) -> DataFrame:
     return stored(found.where("orphans = 0"))
 
 
+#: Field kinds by column types.
+_FIELD_KINDS = {"bigint": "BigIntegerField", "int": "IntegerField", "smallint": "SmallIntegerField", "string": "CharField", "double": "FloatField", "float": "FloatField", "boolean": "BooleanField", "date": "DateField", "timestamp": "DateTimeField", "timestamp_ntz": "DateTimeField", "binary": "BinaryField"}
+
+
+def fields_of(tables: dict[str, DataFrame], found: DataFrame) -> DataFrame:
+    """The fields of tables as metadata has them, each table a model of its name: plain columns by their stems, references by the name of the
+    table that they lead to (by the column's stem where several lead there), and what those put on their targets."""
+    spark = found.sparkSession
+    columns = [(t, c, stem(c), _FIELD_KINDS.get(kind, "DecimalField" if kind.startswith("decimal") else "unknown")) for t, df in tables.items() for c, kind in df.dtypes]
+    plain = spark.createDataFrame(columns, "model string, column string, stem string, kind string")
+    several = found.groupBy("source_table", "target_table").agg(F.count("*").alias("ways"))
+    to = found.join(several, ["source_table", "target_table"]).select(F.col("source_table").alias("model"), F.col("source_column").alias("column"), F.col("target_table").alias("target"), "ways")
+    both = plain.join(to, ["model", "column"], "left")
+    is_relation = F.col("target").isNotNull()
+    name = F.when(is_relation & (F.col("ways") == 1), F.col("target")).otherwise(F.col("stem"))
+    forward = both.select("model", name.alias("name"), F.when(is_relation, "ForeignKey").otherwise(F.col("kind")).alias("kind"), is_relation.alias("is_relation"), F.when(is_relation, "forward").alias("direction"), "target", F.col("model").alias("declared_on"), F.lit("").alias("related_name"), F.lit("").alias("related_query_name"), F.lit("runtime").alias("provenance"))
+    forward = stored(forward)
+    return stored(forward.unionByName(reverse_relations(forward)))
+
+
 def overlaid(catalog: Catalog, found: DataFrame) -> Catalog:
     """catalog with the references that its models do not declare: the field of the source column becomes a relation to the model of the target
     table, where the target column is that model's key. Declared relations stay as they are. A catalog's models are few, and so are these rows."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillpath.functions import json_sets
 from quillpath.functions.expressions import Exists, F_, Max, OuterRef, Subquery
 from quillpath.operators.queryset import Source
-from quillpath.plans import discovery, search, telemetry
+from quillpath.plans import discovery, metadata, search, telemetry
 from quillpath.plans.catalog import Catalog, Model, shop
 from quillpath.plans.metadata import shared_folder
 from quillpath.plans.relational import plain
@@ -254,8 +254,23 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
 _REFERENCES = (("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"))
 
 
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references between the tables, found once for each folder in a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _KEPT:
+        _KEPT[key] = discovery.references({t: table(spark, sf_dir, t) for t in _TABLES})
+    return _KEPT[key]
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.references({t: table(spark, sf_dir, t) for t in _TABLES}).drop("used")
+    return found(spark, sf_dir).drop("used")
+
+
+def found_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.fields_of({t: table(spark, sf_dir, t) for t in _TABLES}, found(spark, sf_dir))
 
 
 query("S10_found_references", _found, " UNION ALL ".join(f"SELECT '{a}' AS source_table, '{c}' AS source_column, '{b}' AS target_table, '{k}' AS target_column, count(DISTINCT {a}.{c}) AS \"values\", count({a}.{c}) FILTER ({b}.{k} IS NULL) AS orphans FROM {a} LEFT JOIN {b} ON {a}.{c} = {b}.{k}" for a, c, b, k in _REFERENCES))
@@ -280,6 +295,44 @@ def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("J16_found_relations", _overlaid, "SELECT o_orderkey AS orderkey, c_name AS customer__name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
 
+_SQL_REFERENCES = "refs AS (" + " UNION ALL ".join(f"SELECT '{a}' AS source_table, '{c}' AS source_column, '{b}' AS target_table WHERE NOT EXISTS (SELECT 1 FROM {a} x WHERE x.{c} NOT IN (SELECT {k} FROM {b}))" for a, c, b, k in _REFERENCES) + ")"
+
+query("G06_found_reverse", lambda spark, sf_dir: found_fields(spark, sf_dir).where("direction = 'reverse' and provenance <> 'related_query_alias'").select("model", "name", "kind", "target"), f"WITH {_SQL_REFERENCES} SELECT target_table AS model, source_table || '_set' AS name, 'reverse_ForeignKey' AS kind, source_table AS target FROM refs")
+query("A15_found_edges", lambda spark, sf_dir: metadata.edges(found_fields(spark, sf_dir)).select("source", "target", "direction", F.array_join("field_names", ",").alias("names")), f"WITH {_SQL_REFERENCES} SELECT source_table AS source, target_table AS target, 'forward' AS direction, target_table AS names FROM refs UNION ALL SELECT target_table, source_table, 'reverse', source_table || '_set' FROM refs")
+query(
+    "G11_found_reachable", lambda spark, sf_dir: metadata.reachable(metadata.edges(found_fields(spark, sf_dir)), "supplier"),
+    f"WITH RECURSIVE {_SQL_REFERENCES}, e AS (SELECT source_table AS a, target_table AS b FROM refs UNION SELECT target_table, source_table FROM refs), r(node, level) AS (SELECT 'supplier', 0 UNION SELECT e.b, level + 1 FROM r JOIN e ON e.a = r.node WHERE level < 9) SELECT node, min(level) AS level FROM r GROUP BY 1",
+)
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that models declare and those that the tables bear out, by table and column."""
+    declared = [(m.table, f.column, shop().models[f.target].table) for m in shop().models.values() for f in m.fields if f.is_relation and f.column]
+    told = spark.createDataFrame(declared, "source_table string, source_column string, declared string")
+    seen = found(spark, sf_dir).select("source_table", "source_column", F.col("target_table").alias("found"))
+    return told.join(seen, ["source_table", "source_column"], "full")
+
+
+query("J15_declared_and_found", _declared, f"WITH {_SQL_REFERENCES}, d AS (SELECT * FROM (VALUES " + ", ".join(f"('{m.table}', '{f.column}', '{shop().models[f.target].table}')" for m in shop().models.values() for f in m.fields if f.is_relation and f.column) + ") v(source_table, source_column, declared)) SELECT coalesce(d.source_table, refs.source_table) AS source_table, coalesce(d.source_column, refs.source_column) AS source_column, declared, target_table AS found FROM d FULL JOIN refs ON d.source_table = refs.source_table AND d.source_column = refs.source_column")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two fields of the tables as a path, and whether it leads anywhere."""
+    fields = found_fields(spark, sf_dir)
+    names = fields.where("direction is null").select(F.col("name").alias("second")).distinct()
+    used = fields.where("provenance <> 'related_query_alias'").select("model", F.col("name").alias("first")).join(F.broadcast(names)).select("model", F.concat_ws("__", "first", "second").alias("path"), F.lit("values").alias("method"))
+    used = metadata.stored(used.withColumn("id", F.xxhash64("model", "path")))
+    checked = search.validated(used, fields).join(used.select("id", "model"), "id")
+    return checked.groupBy("model", F.when(F.col("reason") == "", "valid").otherwise(F.col("reason")).alias("reason")).agg(F.count("*").alias("paths"))
+
+
+_SQL_STEMS = "cols AS (" + " UNION ALL ".join(f"SELECT '{t}' AS model, column_name AS col FROM (DESCRIBE {t})" for t in _TABLES) + "), plain AS (SELECT cols.model, regexp_replace(col, '^[^_]{1,2}_', '') AS name FROM cols LEFT JOIN refs ON source_table = model AND source_column = col WHERE target_table IS NULL), ways AS (SELECT source_table AS model, target_table AS name, target_table AS target FROM refs UNION ALL SELECT target_table, source_table || '_set', source_table FROM refs)"
+query(
+    "R09_found_paths", _paths,
+    f"WITH {_SQL_REFERENCES}, {_SQL_STEMS}, firsts AS (SELECT model, name, NULL AS target FROM plain UNION ALL SELECT * FROM ways), seconds AS (SELECT DISTINCT name AS second FROM plain) "
+    "SELECT f.model, CASE WHEN f.target IS NULL THEN 'non_relation_intermediate' WHEN p.name IS NULL THEN 'segment_not_found' ELSE 'valid' END AS reason, count(*) AS paths FROM firsts f CROSS JOIN seconds s LEFT JOIN plain p ON p.model = f.target AND p.name = s.second GROUP BY 1, 2",
+)
+
 # ---- search over many texts --------------------------------------------------------------------------------
 
 

@@ -135,3 +135,11 @@ def test_updated_after_a_changed_reexport(spark, tmp_path):
     listed = lambda m: sorted(tuple(str(x) for x in r) for r in m.fields.select(*columns).collect())
     assert listed(got) == listed(want) != listed(old)
     assert {r.target for r in got.fields.where("model = 'store.Shoe' and name = 'h'").collect()} == {"other.Horse"}
+
+
+def test_fields_of_tables(spark):
+    t = {"a": spark.createDataFrame([(1, "x")], "a_key long, a_name string"), "b": spark.createDataFrame([(1, 1, 2.0)], "b_key long, b_from long, b_size double")}
+    found = spark.createDataFrame([("b", "b_key", "a", "a_key"), ("b", "b_from", "a", "a_key")], "source_table string, source_column string, target_table string, target_column string")
+    got = {(r.model, r.name): (r.kind, r.target) for r in discovery.fields_of(t, found).where("provenance <> 'related_query_alias'").collect()}
+    # two references to one table have their columns' names
+    assert got == {("a", "key"): ("BigIntegerField", None), ("a", "name"): ("CharField", None), ("b", "key"): ("ForeignKey", "a"), ("b", "from"): ("ForeignKey", "a"), ("b", "size"): ("FloatField", None), ("a", "b_set"): ("reverse_ForeignKey", "b")}
