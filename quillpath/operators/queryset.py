@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillpath.functions import expressions as E
 from quillpath.functions.lookups import predicate, transform
@@ -733,6 +734,45 @@ class QuerySet:
         key = columns[self.model.pk]
         return table.merge(new, [key], update=[columns[f] for f in update_fields], names=columns)
 
+    def _given(self, row: Row | dict[str, Any]) -> tuple[dict[str, Any], Any]:
+        """The fields that a row has, and its key."""
+        if not self.model.pk or self.model.table not in self.source.versioned:
+            raise NotImplementedError(f"rows of {self.label} are not saved one by one: it needs a key and a versioned table")
+        values = row.asDict() if isinstance(row, Row) else dict(row)
+        for name in values:
+            direct(self.source.catalog, self.label, name)
+        if values.get(self.model.pk) is None:
+            raise ValueError(f"a row of {self.label} needs its key {self.model.pk}")
+        return values, values[self.model.pk]
+
+    def save(self, row: Row | dict[str, Any], force_insert: bool = False, force_update: bool = False, update_fields: tuple[str, ...] | None = None) -> int:
+        """Writes one row by its key, only the fields that it has (or update_fields), as a commit that rewrites the one file that holds it, or
+        adds one. Many rows go better together, by create_rows and update_rows."""
+        values, key = self._given(row)
+        table, columns = self._target()
+        if update_fields is not None:
+            values = {n: v for n, v in values.items() if n in update_fields or n == self.model.pk}
+        there = table.read().where(F.col(columns[self.model.pk]) == F.lit(key)).limit(1).count() == 1
+        if force_insert and there:
+            raise ValueError(f"{self.label} has a row {key}")
+        if (force_update or update_fields is not None) and not there:
+            raise DoesNotExist(f"{self.label} {key}")
+        kinds = {f.name: f.dataType for f in table.version().schema}
+        schema = StructType([StructField(n, kinds[columns[n]]) for n in values])
+        return table.merge(self.source.spark.createDataFrame([tuple(values.values())], schema), [columns[self.model.pk]], names=columns)
+
+    def remove(self, row: Row | dict[str, Any]) -> int:
+        """Removes the row with this row's key."""
+        _, key = self._given(row)
+        table, columns = self._target()
+        return table.delete(F.col(columns[self.model.pk]) == F.lit(key))
+
+    def refresh_from_db(self, row: Row | dict[str, Any], fields: tuple[str, ...] | None = None) -> Row:
+        """The row of the newest version with this row's key; with fields, the row with these alone as they are there."""
+        values, key = self._given(row)
+        now = type(self).of(self.source, self.label, self.alias_).get(**{self.model.pk: key})
+        return now if fields is None else Row(**{**values, **{f: now[f] for f in fields}})
+
     def _matches(self, lookups: dict[str, Any]) -> int:
         """0 or 1 rows that lookups find; several are an error, as for get."""
         n = self.filter(**lookups).df.limit(2).count()
@@ -740,12 +780,6 @@ class QuerySet:
             raise ValueError(f"several rows of {self.label} match")
         return n
 
-    def save(self, *_: Any, **__: Any) -> None:
-        """There is no row to save to: tables change by bulk_create, update and delete, which return the new table."""
-        raise NotImplementedError("rows are not saved one by one; use bulk_create, bulk_update, update or delete")
-
-    refresh_from_db = save
-
     def get_or_create(self, defaults: dict[str, Any] | None = None, **lookups: Any) -> tuple[DataFrame, bool]:
         """The table, and whether a row was added to it."""
         if self._matches(lookups):
@@ -798,5 +832,5 @@ def _asynchronous(name: str) -> Callable[..., Any]:
     return run
 
 
-for _name in ("iterator", "count", "exists", "first", "last", "get", "create", "get_or_create", "update_or_create", "bulk_create", "bulk_update", "update", "delete", "latest", "earliest", "in_bulk", "contains", "aggregate", "clean", "full_clean", "save", "refresh_from_db"):
+for _name in ("iterator", "count", "exists", "first", "last", "get", "create", "get_or_create", "update_or_create", "bulk_create", "bulk_update", "update", "delete", "latest", "earliest", "in_bulk", "contains", "aggregate", "clean", "full_clean", "save", "remove", "refresh_from_db"):
     setattr(QuerySet, f"a{_name}", _asynchronous(_name))

@@ -157,6 +157,44 @@ def _created(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("S16_committed_create", _created, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey < 200 AND o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders UNION ALL SELECT -o_orderkey, o_custkey, 'N', o_totalprice, o_orderdate, 'NEW' FROM orders WHERE o_orderkey < 200 AND o_orderkey % 2 = 1")
 
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest order costs nothing, a new one is made from the dearest, and the row with the highest key goes."""
+    made, source = _orders(spark, sf_dir)
+    orders = source.objects("Order")
+    cheap, dear, last = orders.order_by("totalprice", "orderkey").first(), orders.order_by("-totalprice", "orderkey").first(), orders.order_by("-orderkey").first()
+    orders.save({"orderkey": cheap["orderkey"], "totalprice": 0.0})
+    orders.save({**dear.asDict(), "orderkey": -1, "status": "N"}, force_insert=True)
+    orders.remove(last)
+    now = source.objects("Order").refresh_from_db(cheap)
+    orders.save({"orderkey": -1, "priority": now["status"]}, update_fields=("priority",))
+    return made.read()
+
+
+_CHEAP, _DEAR = ("(SELECT * FROM orders ORDER BY o_totalprice{}, o_orderkey LIMIT 1)".format(x) for x in ("", " DESC"))
+_SAVED = f"SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey = (SELECT o_orderkey FROM {_CHEAP}) THEN 0 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders) UNION ALL SELECT -1, o_custkey, 'N', o_totalprice, o_orderdate, (SELECT o_orderstatus FROM {_CHEAP}) FROM {_DEAR}"
+query("S20_saved_rows", _saved, _SAVED)
+
+
+def _saved_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, source = _orders(spark, sf_dir)
+
+    async def work() -> None:
+        orders = source.objects("Order")
+        cheap, dear, last = await asyncio.gather(orders.order_by("totalprice", "orderkey").afirst(), orders.order_by("-totalprice", "orderkey").afirst(), orders.order_by("-orderkey").afirst())
+        await orders.asave({"orderkey": cheap["orderkey"], "totalprice": 0.0})
+        await orders.asave({**dear.asDict(), "orderkey": -1, "status": "N"}, force_insert=True)
+        await orders.aremove(last)
+        now = await source.objects("Order").arefresh_from_db(cheap)
+        await orders.asave({"orderkey": -1, "priority": now["status"]}, update_fields=("priority",))
+
+    asyncio.run(work())
+    return made.read()
+
+
+query("S25_saved_rows_awaited", _saved_later, _SAVED)
+
 # ---- views, changes and streams ------------------------------------------------------------------------
 
 

@@ -154,3 +154,29 @@ def test_file_stream_survives_a_kill(spark, orders, tmp_path):
     follow_files(spark, folder, df.schema, table, at).awaitTermination()
     assert rows(table.read()) == rows(df) and table.version().number == 4 and table.version().done == {"files": 4}
     assert len(calls) == 6
+
+
+def test_rows_are_saved(spark, orders):
+    _, table = orders
+    source = Source(spark, shop(), {"default": SF}, versioned={"orders": table})
+    q = source.objects("Order")
+    row = q.order_by("orderkey").first()
+    files = set(table.version().files)
+    q.save({"orderkey": row.orderkey, "status": "Z"})
+    assert len(files - set(table.version().files)) == 1
+    fresh = source.objects("Order").refresh_from_db(row)
+    assert fresh.asDict() == {**row.asDict(), "status": "Z"}
+    assert source.objects("Order").refresh_from_db(row, ("priority",)).status == row.status
+    q.save(row, update_fields=("priority",))
+    assert source.objects("Order").get(orderkey=row.orderkey).status == "Z"
+    with pytest.raises(ValueError):
+        q.save(row, force_insert=True)
+    with pytest.raises(LookupError):
+        q.save({"orderkey": -7, "status": "Z"}, force_update=True)
+    with pytest.raises(ValueError):
+        q.save({"status": "Z"})
+    with pytest.raises(NotImplementedError):
+        source.objects("Customer").save({"custkey": 1})
+    q.remove(row)
+    with pytest.raises(LookupError):
+        source.objects("Order").refresh_from_db(row)
