@@ -101,3 +101,26 @@ def chat_digests(conversations: DataFrame) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _escaped_sql(column: str) -> str:
+    for plain, coded in ESCAPES:
+        column = f"replace({column}, '{plain}', '{coded}')"
+    return column
+
+
+#: op8 in SQL: turns with their neighbours, and the lengths of the marks between them.
+ORACLE_SQL = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (select *, row_number() over w as k, lag(role) over w as before, lead(role) over w as after from c window w as (partition by conv_id order by turn nulls first, role, text)),
+m as (
+  select *, length({_escaped_sql('text')}) + case when after is not distinct from role then 0 else {len(END)} end
+    + case when before is not distinct from role then {len(JOINT)} else {len(OPEN) + len(HEAD)} + length({_escaped_sql('role')}) end as chars
+  from o)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+  ({len(BEGIN)} + sum(chars))::bigint as formatted_chars
+from m group by conv_id
+"""

@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.ORACLE_SQL, "op6_ngram_join": ngram_join.oracle(85), "op11_merkle_manifest": manifest.ORACLE_SQL, "op12_minhash_near_dedup": minhash.ORACLE_SQL, "op13_divergence_audit": divergence.ORACLE_SQL}
+    return {"op1_decontamination": decontam.ORACLE_SQL, "op6_ngram_join": ngram_join.oracle(85), "op8_chat_formatting": chat.ORACLE_SQL, "op11_merkle_manifest": manifest.ORACLE_SQL, "op12_minhash_near_dedup": minhash.ORACLE_SQL, "op13_divergence_audit": divergence.ORACLE_SQL}
