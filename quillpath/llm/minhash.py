@@ -26,7 +26,7 @@ from quillpath.llm.ngram_join import _joined, _linked, _near, _sketches, classed
 #: Coordinates of a signature, and the chance with which a pair just at the threshold may collide too seldom.
 COORDINATES, MISS = 80, 1e-9
 #: Rounds in which sets are held against some of each list's largest component before what is left is tried whole.
-ROUNDS = 2
+ROUNDS = 1
 _RNG = np.random.Generator(np.random.PCG64(80_1997))
 _ORDERS = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _NAMES = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
