@@ -51,13 +51,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            about = json.load(f)
-        byte_level = about["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.lower = any(x.get("type") == "Replace" for x in (about.get("normalizer") or {}).get("normalizers", []))
+        # of the file's parts only the small ones are read again: a vocabulary as Python objects would double a worker's memory
+        part = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+        byte_level = part(self.tokenizer.pre_tokenizer) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.lower = any(x.get("type") == "Replace" for x in part(self.tokenizer.normalizer).get("normalizers", []))
         if not byte_level and not self.lower:
             raise ValueError(f"{path}: neither keeps spaces before words nor drops white space")
-        self.special = [t["content"] for t in about["added_tokens"]]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.letters = _byte_letters()
