@@ -7,6 +7,7 @@ small set of made-up spans, whose features the same functions compute, and becom
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,20 +111,57 @@ def _of(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the base patterns that hold, in the order of KINDS and then of start."""
+def base_spans(text: Column) -> list[Column]:
+    """Spans of each kind's base pattern that hold, ascending."""
     empty = F.array().cast(_SPAN)
     found = []
     for kind in KINDS:
         needed = text.contains(NEEDS[kind]) if kind == "email" else text.rlike(NEEDS[kind])
         found.append(F.when(needed, F.filter(_located(text, BASE[kind], kind), _holds(kind))).otherwise(empty))
-    return F.concat(*found)
+    return found
 
 
-def candidates(text: Column) -> Column:
-    """What the generators propose; spans of different generators may overlap."""
+def proposed(text: Column) -> list[Column]:
+    """What each generator proposes, ascending; spans of different generators may overlap."""
     empty = F.array().cast(_SPAN)
-    return F.array_distinct(F.concat(*(F.when(text.rlike(need), _located(text, pattern, kind)).otherwise(empty) for kind, pattern, need in GENERATORS)))
+    return [F.when(text.rlike(need), _located(text, pattern, kind)).otherwise(empty) for kind, pattern, need in GENERATORS]
+
+
+def candidates(text: Column) -> Column:
+    """What the generators propose, once; for short texts, as repeats are looked for among all."""
+    return F.array_distinct(F.concat(*proposed(text)))
+
+
+# ---- runs: ascending spans that do not overlap each other, searched by bisection ------------------
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _below(ascending: Column, x: Column) -> Column:
+    """How many numbers of an ascending array are below x."""
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(ascending, at + step - 1) < x, F.lit(False)), at + step).otherwise(at))
+
+
+def _runs(spans: list[Column]) -> Column:
+    """Starts, ends and the spans themselves of runs, to be bound by _let."""
+    run = lambda a: F.struct(F.transform(a, lambda s: s["start"]).alias("start"), F.transform(a, lambda s: s["end"]).alias("end"), a.alias("spans"))
+    return F.struct(*(run(a).alias(f"run{k}") for k, a in enumerate(spans)))
+
+
+def _end_before(runs: Column, n: int, x: Column) -> Column:
+    """The last end of a span that starts before x in any of n runs; 0 where none does."""
+    last = lambda run: F.coalesce(F.get(run["end"], _below(run["start"], x) - 1), F.lit(0))
+    return F.greatest(*(last(runs[f"run{k}"]) for k in range(n)))
+
+
+def _overlapping(run: Column, s: Column) -> Column:
+    """The spans of a run that overlap s."""
+    first = _below(run["end"], s["start"] + 1)
+    return _let(first, lambda a: F.slice(run["spans"], a + 1, F.greatest(_below(run["start"], s["end"]) - a, F.lit(0))))
 
 
 # ---- features, trees, thresholds -------------------------------------------------------------------
@@ -220,20 +258,21 @@ class Trees:
         self.trees: list = []
         self.base = self.slope = self.shift = 0.0
 
-    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+    def _grow(self, bins: np.ndarray, values: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int):
+        """bins has the place of each number among its feature's values; every place between two is tried as a cut, from sums by place."""
         leaf = float(self.rate * g.sum() / (h.sum() + 1.0))
         best = (1e-6, None)
-        for f in range(x.shape[1]) if depth else ():
-            for cut in np.unique(x[:, f])[:-1]:
-                left = x[:, f] <= cut
-                if self.least <= left.sum() <= len(x) - self.least:
-                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1.0) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1.0)
-                    if gain > best[0]:
-                        best = (gain, (f, float(cut), left))
+        for f in range(bins.shape[1]) if depth else ():
+            n, gs, hs = (np.cumsum(np.bincount(bins[:, f], w, len(values[f]))) for w in (None, g, h))
+            gain = gs**2 / (hs + 1.0) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1.0) - gs[-1] ** 2 / (hs[-1] + 1.0)
+            gain[(n < self.least) | (n > len(g) - self.least)] = 0.0
+            if gain.max() > best[0]:
+                best = (float(gain.max()), (f, int(gain.argmax())))
         if best[1] is None:
             return leaf
-        f, cut, left = best[1]
-        return f, cut, self._grow(x[left], g[left], h[left], depth - 1), self._grow(x[~left], g[~left], h[~left], depth - 1)
+        f, place = best[1]
+        left = bins[:, f] <= place
+        return f, float(values[f][place]), self._grow(bins[left], values, g[left], h[left], depth - 1), self._grow(bins[~left], values, g[~left], h[~left], depth - 1)
 
     def _value(self, tree, x: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -249,9 +288,12 @@ class Trees:
         hold = np.arange(len(x)) % 3 == 2
         xt, yt = x[~hold], y[~hold]
         self.base = float(np.log(yt.mean() / (1 - yt.mean())))
+        values, places = zip(*(np.unique(column, return_inverse=True) for column in xt.T), strict=True)
+        bins, margin = np.stack(places, axis=1), np.full(len(xt), self.base)
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-self.margin(xt)))
-            self.trees.append(self._grow(xt, yt - p, p * (1 - p), 3))
+            p = 1 / (1 + np.exp(-margin))
+            self.trees.append(self._grow(bins, list(values), yt - p, p * (1 - p), 3))
+            margin = margin + self._value(self.trees[-1], xt)
         m, yh = self.margin(x[hold]), y[hold]
         a, b = 1.0, 0.0
         for _ in range(200):
@@ -299,30 +341,42 @@ def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
 
     base has what the base patterns find. more has the generators' candidates whose calibrated
     probability reaches the threshold of their kind, without those that overlap a base span or a
-    likelier one of any kind. Null texts have none; repeated rows stay.
+    likelier one of any kind. Null texts have none; repeated rows stay. Each pattern's matches are a
+    run, so what overlaps a span is found by bisection, and a text's cost grows as n log n with its spans.
     """
     model, cuts = trained(documents.sparkSession)
-    span = "array<struct<kind:string,start:int,end:int>>"
+    slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     t = F.coalesce(F.col(text), F.lit(""))
-    found = documents.withColumn("base", base_spans(t)).withColumn("_proposed", candidates(t))
-    # free of the base spans first, so that most documents have nothing left to score; what is a base span itself goes by hash
-    slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(span)
-    other = F.transform(F.array(F.array_except(slim(F.col("_proposed")), slim(F.col("base")))), lambda o: F.filter("_proposed", lambda c: F.array_contains(o, F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))[0]
-    found = found.withColumn("_proposed", F.when(F.size("_proposed") > 16, other).otherwise(F.col("_proposed")))
-    free = F.filter("_proposed", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = documents.withColumn("base", F.struct(*(a.alias(k) for k, a in zip(KINDS, base_spans(t), strict=True))))
+    found = found.withColumn("_proposed", F.struct(*(a.alias(f"g{g}") for g, a in enumerate(proposed(t)))))
+
+    def free(runs: Column) -> Column:
+        """Proposals that no base span overlaps, with the number of their generator."""
+        own = lambda g: F.filter(F.col("_proposed")[f"g{g}"], lambda c: _end_before(runs, len(KINDS), c["end"]) <= c["start"])
+        named = lambda g: F.transform(own(g), lambda c: F.struct(*(c[n].alias(n) for n in ("kind", "start", "end", "text", "before", "after")), F.lit(g).alias("g")))
+        return F.concat(*(named(g) for g in range(len(GENERATORS))))
 
     size = len(features(F.struct(*(F.lit("").alias(n) for n in ("kind", "text", "before", "after")))))
 
     def score(c: Column) -> Column:
-        x = F.transform(F.array(F.array(*features(c))), lambda v: model.expression([v[i] for i in range(size)]))[0]
-        return F.struct(x.alias("p"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
+        x = _let(F.array(*features(c)), lambda v: model.expression([v[i] for i in range(size)]))
+        return F.struct(x.alias("p"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["g"].alias("g"))
 
     cut = lambda s: F.coalesce(*(F.when(s["kind"] == k, F.lit(v)) for k, v in cuts.items()))
-    likely = F.filter(F.transform(free, score), lambda s: s["p"] >= cut(s))
-    found = found.withColumn("_likely", likely)
-    beats = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & ((a["kind"] < b["kind"]) | ((a["kind"] == b["kind"]) & (a["end"] > b["end"]))))))
-    more = F.filter("_likely", lambda s: ~F.exists("_likely", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & beats(o, s)))
-    return found.withColumn("more", slim(more)).withColumn("base", slim(F.col("base"))).drop("_proposed", "_likely")
+    any_proposed = F.greatest(*(F.size(F.col("_proposed")[f"g{g}"]) for g in range(len(GENERATORS)))) > 0
+    likely = F.filter(F.transform(_let(_runs([F.col("base")[k] for k in KINDS]), free), score), lambda s: s["p"] >= cut(s))
+    found = found.withColumn("_likely", F.when(any_proposed, likely).otherwise(F.array()))
+
+    def order(s: Column) -> Column:
+        """The least of overlapping spans counts: the likelier, then the earlier, the first kind, the longer, the first generator."""
+        return F.struct((-s["p"]).alias("p"), s["start"].alias("start"), s["kind"].alias("kind"), (-s["end"]).alias("end"), s["g"].alias("g"))
+
+    def unbeaten(runs: Column) -> Column:
+        beaten = lambda s, g: F.exists(_overlapping(runs[f"run{g}"], s), lambda o: order(o) < order(s))
+        return F.filter("_likely", lambda s: ~reduce(lambda a, b: a | b, [beaten(s, g) for g in range(len(GENERATORS))]))
+
+    more = F.when(F.size("_likely") > 1, _let(_runs([F.filter("_likely", lambda s, g=g: s["g"] == g) for g in range(len(GENERATORS))]), unbeaten)).otherwise(F.col("_likely"))
+    return found.withColumn("more", slim(more)).withColumn("base", slim(F.concat(*(F.col("base")[k] for k in KINDS)))).drop("_proposed", "_likely")
 
 
 def listed(spans: Column) -> Column:
@@ -340,24 +394,46 @@ def span_digests(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "more")).alias("spans"))
 
 
+#: Code points of a block of a long text, from which pieces are cut.
+CUT = 4096
+
+
+def _without(text: Column, spans: Column, runs: Column, n: int) -> Column:
+    """text with marks for its spans, which ascend by start and falling length; runs are the same spans in n runs."""
+    first = lambda s, i: (_end_before(runs, n, s["start"]) <= s["start"]) & ((i == 0) | (F.get(spans, i - 1)["start"] < s["start"]))
+
+    def pieces(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            low, high = F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")
+            own = F.array_join(F.slice(blocks, low + 1, high - low + 1), "")
+            return F.when(a < b, F.substr(own, a - low * CUT + 1, b - a)).otherwise(F.lit(""))
+
+        marked = lambda s: F.concat(piece(_end_before(runs, n, s["start"]), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        rest = piece(_end_before(runs, n, F.lit(2**31 - 1)), F.length(text))
+        return F.array_join(F.concat(F.transform(F.filter(spans, first), marked), F.array(rest)), "")
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}+"), F.lit(0)), pieces)
+
+
 def redacted(documents: DataFrame) -> DataFrame:
     """documents with every span of text replaced by its kind in brackets, and n_chars after it.
 
     Of overlapping spans the first, or the longer of two with one start, gives the mark, and all that they cover goes.
-    Null texts stay null.
+    Null texts stay null. Columns of any names stay as they are.
     """
-    columns = documents.columns
-    found = with_spans(documents).withColumn("_all", F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind")))))
-
-    def step(a: Column, s: Column) -> Column:
-        end = -s["neg"]
-        new = s["start"] >= a["at"]
-        piece = F.concat(F.substr("text", a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], end).alias("at"), F.when(new, F.array_append(a["parts"], piece)).otherwise(a["parts"]).alias("parts"))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate("_all", none, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr("text", a["at"] + 1)))
-    out = found.withColumn("text", F.when(F.size("_all") > 0, done).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*columns)
+    found = with_spans(documents.select(F.struct(*documents.columns).alias("row"), "text"))
+    sorted_ = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    found = found.withColumn("_all", sorted_(F.concat("base", "more")))
+    # what was added overlaps nothing, so it is a run beside those of the kinds
+    runs = _runs([*(F.filter("base", _of(k)) for k in KINDS), sorted_(F.col("more"))])
+    done = _let(F.col("_all"), lambda spans: _let(runs, lambda r: _without(F.col("text"), spans, r, len(KINDS) + 1)))
+    out = found.select("row", F.when(F.size("_all") > 0, done).otherwise(F.col("text")).alias("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        if name == "n_chars":
+            return F.length("text").cast(documents.schema["n_chars"].dataType).alias("n_chars")
+        return F.col("row")[name].alias(name)
+
+    return out.select(*(column(name) for name in documents.columns))
