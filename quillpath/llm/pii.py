@@ -7,8 +7,6 @@ small set of made-up spans, whose features the same functions compute, and becom
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,65 +44,46 @@ CONTEXT = 24
 BLOCK = 64
 
 
+def _apply(name: str, array: Column, function: str) -> Column:
+    """A higher-order function with its function written in SQL. Expressions of thousands of calls are SQL texts here, as PySpark takes milliseconds for each call."""
+    return F.call_function(name, array, F.expr(function))
+
+
 def _located(text: Column, pattern: str, kind: str) -> Column:
     """All leftmost non-overlapping matches with their places in code points: what lies between them gives the places.
 
     Places add up in blocks of BLOCK matches, so that no long array is copied for each match.
     """
     cut = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    none, blocks = f"cast(array() as {_SPAN})", f"sequence(0, greatest(cast(ceil(size(s.found) / {BLOCK}) as int) - 1, 0))"
+    numbers = f"sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size(s.found)) - 1)"
+    start, m = "a.at + length(get(s.between, i))", "get(s.found, i)"
+    span = f"named_struct('kind', '{kind}', 'start', {start}, 'end', {start} + length({m}), 'text', {m}, 'before', lower(right(get(s.between, i), {CONTEXT})), 'after', left(get(s.between, i + 1), {CONTEXT}))"
+    sums = f"transform({blocks}, b -> aggregate({numbers}, 0, (x, i) -> x + length(get(s.between, i)) + length({m})))"
+    each = f"aggregate({numbers}, named_struct('at', get(first, b), 'spans', {none}), (a, i) -> named_struct('at', {start} + length({m}), 'spans', array_append(a.spans, {span})), a -> a.spans)"
+    first = f"aggregate({sums}, array(0), (x, v) -> array_append(x, element_at(x, -1) + v))"
+    return _apply("transform", F.array(cut), f"s -> if(size(s.found) = 0, {none}, transform(array({first}), first -> flatten(transform({blocks}, b -> {each})))[0])")[0]
 
-    def places(s: Column) -> Column:
-        n = F.size(s["found"])
-        length = lambda i: F.length(F.get(s["between"], i)) + F.length(F.get(s["found"], i))
-        numbers = lambda b: F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, n) - 1)
-
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(s["between"], i))
-            m = F.get(s["found"], i)
-            span = F.struct(
-                F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"),
-                F.lower(F.right(F.get(s["between"], i), F.lit(CONTEXT))).alias("before"), F.left(F.get(s["between"], i + 1), F.lit(CONTEXT)).alias("after"),
-            )
-            return F.struct((start + F.length(m)).alias("at"), F.array_append(a["spans"], span).alias("spans"))
-
-        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(n / BLOCK).cast("int") - 1, F.lit(0)))
-        sums = F.transform(blocks, lambda b: F.aggregate(numbers(b), F.lit(0), lambda x, i: x + length(i)))
-        first = F.aggregate(sums, F.array(F.lit(0)), lambda x, v: F.array_append(x, F.element_at(x, -1) + v))
-        none = F.array().cast(_SPAN)
-        each = F.transform(F.array(first), lambda at: F.flatten(F.transform(blocks, lambda b: F.aggregate(numbers(b), F.struct(F.get(at, b).alias("at"), none.alias("spans")), step, lambda x: x["spans"]))))[0]
-        return F.when(n == 0, none).otherwise(each)
-
-    return F.transform(F.array(cut), places)[0]
 
+def _digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
 
-def digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
 
-
-def luhn(number: Column) -> Column:
+def _luhn(number: str) -> str:
     """Whether a string of digits passes the Luhn check."""
-
-    def step(a: Column, i: Column) -> Column:
-        d = F.substr(number, F.length(number) - i, F.lit(1)).cast("int")
-        doubled = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return a + F.when(i % 2 == 1, doubled).otherwise(d)
-
-    return F.when(F.length(number) > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(number), F.lit(1)) - 1), F.lit(0), step) % 10 == 0).otherwise(False)
+    d = "cast(substr(n, length(n) - i, 1) as int)"
+    doubled = f"if(i % 2 = 1, if({d} > 4, 2 * {d} - 9, 2 * {d}), {d})"
+    return f"transform(array({number}), n -> length(n) > 0 and aggregate(sequence(0, greatest(length(n), 1) - 1), 0, (x, i) -> x + {doubled}) % 10 = 0)[0]"
 
 
-def _valid(kind: str, m: Column) -> Column:
+def _valid(kind: str, m: str) -> str:
     if kind == "email":
-        return F.lit(True)
+        return "true"
     if kind == "ip":
-        return m.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$")
+        return rf"{m} rlike r'^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){{4}}$'"
     if kind == "card":
-        n = digits(m)
-        return F.when(F.length(n).between(16, 19), luhn(n)).otherwise(False)
-    return F.length(digits(m)).between(8, 15)
-
-
-def _holds(kind: str) -> Callable[[Column], Column]:
-    return lambda s: _valid(kind, s["text"])
+        return f"(length({_digits(m)}) between 16 and 19 and {_luhn(_digits(m))})"
+    return f"length({_digits(m)}) between 8 and 15"
 
 
 def _of(kind: str) -> Callable[[Column], Column]:
@@ -117,7 +96,7 @@ def base_spans(text: Column) -> list[Column]:
     found = []
     for kind in KINDS:
         needed = text.contains(NEEDS[kind]) if kind == "email" else text.rlike(NEEDS[kind])
-        found.append(F.when(needed, F.filter(_located(text, BASE[kind], kind), _holds(kind))).otherwise(empty))
+        found.append(F.when(needed, _apply("filter", _located(text, BASE[kind], kind), f"s -> {_valid(kind, 's.text')}")).otherwise(empty))
     return found
 
 
@@ -135,68 +114,63 @@ def candidates(text: Column) -> Column:
 # ---- runs: ascending spans that do not overlap each other, searched by bisection ------------------
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _below(ascending: Column, x: Column) -> Column:
+def _below(ascending: str, x: str) -> str:
     """How many numbers of an ascending array are below x."""
-    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(ascending, at + step - 1) < x, F.lit(False)), at + step).otherwise(at))
+    steps = ", ".join(str(1 << k) for k in range(30, -1, -1))
+    return f"aggregate(array({steps}), 0, (place, step) -> if(coalesce(get({ascending}, place + step - 1) < {x}, false), place + step, place))"
 
 
 def _runs(spans: list[Column]) -> Column:
-    """Starts, ends and the spans themselves of runs, to be bound by _let."""
-    run = lambda a: F.struct(F.transform(a, lambda s: s["start"]).alias("start"), F.transform(a, lambda s: s["end"]).alias("end"), a.alias("spans"))
-    return F.struct(*(run(a).alias(f"run{k}") for k, a in enumerate(spans)))
+    """Starts, ends and the spans themselves of runs, to be bound to a name."""
+    return F.struct(*(F.struct(a["start"].alias("start"), a["end"].alias("end"), a.alias("spans")).alias(f"run{k}") for k, a in enumerate(spans)))
 
 
-def _end_before(runs: Column, n: int, x: Column) -> Column:
+def _end_before(runs: str, n: int, x: str) -> str:
     """The last end of a span that starts before x in any of n runs; 0 where none does."""
-    last = lambda run: F.coalesce(F.get(run["end"], _below(run["start"], x) - 1), F.lit(0))
-    return F.greatest(*(last(runs[f"run{k}"]) for k in range(n)))
+    last = (f"coalesce(get({runs}.run{k}.`end`, {_below(f'{runs}.run{k}.start', x)} - 1), 0)" for k in range(n))
+    return f"greatest({', '.join(last)})"
 
 
-def _overlapping(run: Column, s: Column) -> Column:
+def _overlapping(run: str, s: str) -> str:
     """The spans of a run that overlap s."""
-    first = _below(run["end"], s["start"] + 1)
-    return _let(first, lambda a: F.slice(run["spans"], a + 1, F.greatest(_below(run["start"], s["end"]) - a, F.lit(0))))
+    upto = _below(f"{run}.start", f"{s}.`end`")
+    return f"transform(array({_below(f'{run}.`end`', f'{s}.start + 1')}), low -> slice({run}.spans, low + 1, greatest({upto} - low, 0)))[0]"
 
 
 # ---- features, trees, thresholds -------------------------------------------------------------------
 
 
-def features(c: Column) -> list[Column]:
-    """Numbers about a candidate's format and context."""
-    t, before, after = c["text"], c["before"], c["after"]
-    n = digits(t)
-    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
-    near = lambda words: flag(before.rlike(rf"(?:{words})[^a-z0-9]*(?:[a-z]+[^a-z0-9]*)?$"))
-    return [
-        *(flag(c["kind"] == k) for k in KINDS),
-        F.length(n).cast("double"),
-        F.length(t).cast("double"),
+def features(c: str) -> str:
+    """Numbers about a candidate's format and context, as an array."""
+    t, before, after, n = f"{c}.text", f"{c}.before", f"{c}.after", _digits(f"{c}.text")
+    flag = lambda x: f"cast(coalesce({x}, false) as double)"
+    count = lambda p: f"cast(regexp_count({t}, r'{p}') as double)"
+    like = lambda x, p: f"{x} rlike r'{p}'"
+    near = lambda words: flag(like(before, rf"(?:{words})[^a-z0-9]*(?:[a-z]+[^a-z0-9]*)?$"))
+    numbers = [
+        *(flag(f"{c}.kind = '{k}'") for k in KINDS),
+        f"cast(length({n}) as double)",
+        f"cast(length({t}) as double)",
         count("[ ]"), count("[.]"), count("[-/]"), count("[()\\[\\]{}]"),
-        flag(F.when(F.length(n).between(13, 19), luhn(n))),
-        flag(t.rlike(r"(?i)[(\[{]at[)\]}]")),
-        flag(t.rlike(r"(?i)[(\[{]dot[)\]}]|\.")),
-        flag(t.rlike(r"^(?:[0-9]{4}[ ./-]){3}[0-9]{4}$|^3[47][0-9]{2}[ ./-]?[0-9]{6}[ ./-]?[0-9]{5}$")),
-        flag(t.rlike(r"^\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$")),
-        flag(t.rlike(r"^(?:19|20)[0-9]{2}[./-]|^[0-9]{1,2}[./-][0-9]{1,2}[./-]")),
+        flag(f"length({n}) between 13 and 19 and {_luhn(n)}"),
+        flag(like(t, r"(?i)[(\[{]at[)\]}]")),
+        flag(like(t, r"(?i)[(\[{]dot[)\]}]|\.")),
+        flag(like(t, r"^(?:[0-9]{4}[ ./-]){3}[0-9]{4}$|^3[47][0-9]{2}[ ./-]?[0-9]{6}[ ./-]?[0-9]{5}$")),
+        flag(like(t, r"^\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$")),
+        flag(like(t, r"^(?:19|20)[0-9]{2}[./-]|^[0-9]{1,2}[./-][0-9]{1,2}[./-]")),
         near("tel|phone|call|fax|mobile|cell"),
         near("card|visa|mastercard|amex|credit"),
         near("mail|contact|write to|reach"),
         near("ip|host|addr|address|server"),
         near("order|no|nr|id|isbn|ref|version|token|date"),
-        flag(before.rlike("[a-z0-9]$")),
-        flag(after.rlike("^[0-9A-Za-z]")),
-        flag(before.rlike(r"[0-9][ .,-]*$") | after.rlike(r"^[ .,-]*[0-9]")),
-        count("[:]"), flag(t.contains("::")), flag(t.contains("@")), flag(t.rlike("(?i) at ")), flag(t.contains(". ")),
-        flag(t.rlike(r"(?i)(?:\.|[(\[{]dot[)\]}] ?)[a-z]{2,6}$")),
-        flag(t.rlike(r"^0[1-9]([ ./-])[0-9]{2}(?:\1[0-9]{2}){3}$")),
+        flag(like(before, "[a-z0-9]$")),
+        flag(like(after, "^[0-9A-Za-z]")),
+        flag(f"{like(before, r'[0-9][ .,-]*$')} or {like(after, r'^[ .,-]*[0-9]')}"),
+        count("[:]"), flag(f"contains({t}, '::')"), flag(f"contains({t}, '@')"), flag(like(t, "(?i) at ")), flag(f"contains({t}, '. ')"),
+        flag(like(t, r"(?i)(?:\.|[(\[{]dot[)\]}] ?)[a-z]{2,6}$")),
+        flag(like(t, r"^0[1-9]([ ./-])[0-9]{2}(?:\1[0-9]{2}){3}$")),
     ]
+    return f"array({', '.join(numbers)})"
 
 
 def _examples(seed: int = 3) -> list[tuple[str, int]]:
@@ -305,24 +279,26 @@ class Trees:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.margin(x) + self.shift)))
 
-    def expression(self, x: list[Column]) -> Column:
-        def of(tree) -> Column:
-            return F.lit(tree) if not isinstance(tree, tuple) else F.when(x[tree[0]] <= tree[1], of(tree[2])).otherwise(of(tree[3]))
+    def expression(self, x: str) -> str:
+        def of(tree) -> str:
+            return f"{tree!r}D" if not isinstance(tree, tuple) else f"if({x}[{tree[0]}] <= {tree[1]!r}D, {of(tree[2])}, {of(tree[3])})"
 
-        total = F.lit(self.base)
-        for t in self.trees:
-            total = total + of(t)
-        return 1 / (1 + F.exp(-(F.lit(self.slope) * total + F.lit(self.shift))))
+        total = " + ".join([f"{self.base!r}D", *map(of, self.trees)])
+        return f"1 / (1 + exp(-({self.slope!r}D * ({total}) + {self.shift!r}D)))"
 
 
 #: Share of right ones among the accepted calibration spans that a kind's threshold must reach.
 PRECISION = 0.99
+#: What trained() gave, as it depends on nothing but this module.
+_TRAINED: list[tuple[Trees, dict[str, float]]] = []
 
 
 def trained(spark: SparkSession) -> tuple[Trees, dict[str, float]]:
-    """Trees, and for each kind the least probability from which PRECISION is kept on the calibration rows."""
+    """Trees, and for each kind the least probability from which PRECISION is kept on the calibration rows. Grown once in a process."""
+    if _TRAINED:
+        return _TRAINED[0]
     rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(_examples())], "i int, text string, y int")
-    each = rows.select("i", "y", F.explode(candidates(F.col("text"))).alias("c")).select("i", "y", "c.kind", F.array(*features(F.col("c"))).alias("x"))
+    each = rows.select("i", "y", F.explode(candidates(F.col("text"))).alias("c")).select("i", "y", "c.kind", F.expr(features("c")).alias("x"))
     got = sorted((r["i"], r["kind"], r["y"], r["x"]) for r in each.collect())
     x, y, kind = np.array([r[3] for r in got]), np.array([r[2] for r in got], float), np.array([r[1] for r in got])
     model = Trees().fit(x, y)
@@ -333,6 +309,7 @@ def trained(spark: SparkSession) -> tuple[Trees, dict[str, float]]:
         own = hold & (kind == k)
         steps = [c for c in np.arange(0.5, 1.0, 0.02) if (a := own & (p >= c)).any() and y[a].mean() >= PRECISION]
         cuts[k] = float(min(steps, default=2.0))
+    _TRAINED.append((model, cuts))
     return model, cuts
 
 
@@ -350,32 +327,20 @@ def with_spans(documents: DataFrame, text: str = "text") -> DataFrame:
     found = documents.withColumn("base", F.struct(*(a.alias(k) for k, a in zip(KINDS, base_spans(t), strict=True))))
     found = found.withColumn("_proposed", F.struct(*(a.alias(f"g{g}") for g, a in enumerate(proposed(t)))))
 
-    def free(runs: Column) -> Column:
-        """Proposals that no base span overlaps, with the number of their generator."""
-        own = lambda g: F.filter(F.col("_proposed")[f"g{g}"], lambda c: _end_before(runs, len(KINDS), c["end"]) <= c["start"])
-        named = lambda g: F.transform(own(g), lambda c: F.struct(*(c[n].alias(n) for n in ("kind", "start", "end", "text", "before", "after")), F.lit(g).alias("g")))
-        return F.concat(*(named(g) for g in range(len(GENERATORS))))
-
-    size = len(features(F.struct(*(F.lit("").alias(n) for n in ("kind", "text", "before", "after")))))
-
-    def score(c: Column) -> Column:
-        x = _let(F.array(*features(c)), lambda v: model.expression([v[i] for i in range(size)]))
-        return F.struct(x.alias("p"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["g"].alias("g"))
-
-    cut = lambda s: F.coalesce(*(F.when(s["kind"] == k, F.lit(v)) for k, v in cuts.items()))
+    # proposals that no base span overlaps, with the number of their generator
+    own = lambda g: f"transform(filter(_proposed.g{g}, c -> {_end_before('runs', len(KINDS), 'c.`end`')} <= c.start), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.`end`, 'text', c.text, 'before', c.before, 'after', c.after, 'g', {g}))"
+    free = _apply("transform", F.array(_runs([F.col("base")[k] for k in KINDS])), f"runs -> concat({', '.join(own(g) for g in range(len(GENERATORS)))})")[0]
+    cut = " ".join(f"when '{k}' then {v!r}D" for k, v in cuts.items())
+    score = f"c -> transform(array({features('c')}), v -> named_struct('p', {model.expression('v')}, 'kind', c.kind, 'start', c.start, 'end', c.`end`, 'g', c.g))[0]"
     any_proposed = F.greatest(*(F.size(F.col("_proposed")[f"g{g}"]) for g in range(len(GENERATORS)))) > 0
-    likely = F.filter(F.transform(_let(_runs([F.col("base")[k] for k in KINDS]), free), score), lambda s: s["p"] >= cut(s))
-    found = found.withColumn("_likely", F.when(any_proposed, likely).otherwise(F.array()))
-
-    def order(s: Column) -> Column:
-        """The least of overlapping spans counts: the likelier, then the earlier, the first kind, the longer, the first generator."""
-        return F.struct((-s["p"]).alias("p"), s["start"].alias("start"), s["kind"].alias("kind"), (-s["end"]).alias("end"), s["g"].alias("g"))
-
-    def unbeaten(runs: Column) -> Column:
-        beaten = lambda s, g: F.exists(_overlapping(runs[f"run{g}"], s), lambda o: order(o) < order(s))
-        return F.filter("_likely", lambda s: ~reduce(lambda a, b: a | b, [beaten(s, g) for g in range(len(GENERATORS))]))
-
-    more = F.when(F.size("_likely") > 1, _let(_runs([F.filter("_likely", lambda s, g=g: s["g"] == g) for g in range(len(GENERATORS))]), unbeaten)).otherwise(F.col("_likely"))
+    found = found.withColumn("_likely", F.when(any_proposed, _apply("filter", _apply("transform", free, score), f"s -> s.p >= case s.kind {cut} end")).otherwise(F.array()))
+
+    # of overlapping spans the least counts: the likelier, then the earlier, the first kind, the longer, the first generator
+    order = lambda s: f"named_struct('p', -{s}.p, 'start', {s}.start, 'kind', {s}.kind, 'end', -{s}.`end`, 'g', {s}.g)"
+    beaten = " or ".join(f"exists({_overlapping(f'runs.run{g}', 's')}, o -> {order('o')} < {order('s')})" for g in range(len(GENERATORS)))
+    by_generator = _runs([_apply("filter", F.col("_likely"), f"s -> s.g = {g}") for g in range(len(GENERATORS))])
+    unbeaten = _apply("transform", F.array(by_generator), f"runs -> filter(_likely, s -> not ({beaten}))")[0]
+    more = F.when(F.size("_likely") > 1, unbeaten).otherwise(F.col("_likely"))
     return found.withColumn("more", slim(more)).withColumn("base", slim(F.concat(*(F.col("base")[k] for k in KINDS)))).drop("_proposed", "_likely")
 
 
@@ -398,21 +363,15 @@ def span_digests(documents: DataFrame) -> DataFrame:
 CUT = 4096
 
 
-def _without(text: Column, spans: Column, runs: Column, n: int) -> Column:
-    """text with marks for its spans, which ascend by start and falling length; runs are the same spans in n runs."""
-    first = lambda s, i: (_end_before(runs, n, s["start"]) <= s["start"]) & ((i == 0) | (F.get(spans, i - 1)["start"] < s["start"]))
-
-    def pieces(blocks: Column) -> Column:
-        def piece(a: Column, b: Column) -> Column:
-            low, high = F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")
-            own = F.array_join(F.slice(blocks, low + 1, high - low + 1), "")
-            return F.when(a < b, F.substr(own, a - low * CUT + 1, b - a)).otherwise(F.lit(""))
-
-        marked = lambda s: F.concat(piece(_end_before(runs, n, s["start"]), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        rest = piece(_end_before(runs, n, F.lit(2**31 - 1)), F.length(text))
-        return F.array_join(F.concat(F.transform(F.filter(spans, first), marked), F.array(rest)), "")
-
-    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}+"), F.lit(0)), pieces)
+def _without(n: int) -> str:
+    """A text with marks for its spans, from x.spans, which ascend by start and falling length, x.runs, the same in n runs, and x.blocks of CUT code points."""
+    first = f"(s, i) -> {_end_before('x.runs', n, 's.start')} <= s.start and (i = 0 or get(x.spans, i - 1).start < s.start)"
+    low, high = f"cast(floor(e.a / {CUT}) as int)", f"cast(floor((e.b - 1) / {CUT}) as int)"
+    own = f"array_join(slice(x.blocks, {low} + 1, {high} - {low} + 1), '')"
+    piece = lambda a, b: f"transform(array(named_struct('a', {a}, 'b', {b})), e -> if(e.a < e.b, substr({own}, e.a - {low} * {CUT} + 1, e.b - e.a), ''))[0]"
+    marked = f"s -> concat({piece(_end_before('x.runs', n, 's.start'), 's.start')}, '[', upper(s.kind), ']')"
+    rest = piece(_end_before("x.runs", n, "2147483647"), "x.length")
+    return f"x -> array_join(concat(transform(filter(x.spans, {first}), {marked}), array({rest})), '')"
 
 
 def redacted(documents: DataFrame) -> DataFrame:
@@ -426,7 +385,9 @@ def redacted(documents: DataFrame) -> DataFrame:
     found = found.withColumn("_all", sorted_(F.concat("base", "more")))
     # what was added overlaps nothing, so it is a run beside those of the kinds
     runs = _runs([*(F.filter("base", _of(k)) for k in KINDS), sorted_(F.col("more"))])
-    done = _let(F.col("_all"), lambda spans: _let(runs, lambda r: _without(F.col("text"), spans, r, len(KINDS) + 1)))
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}+"), F.lit(0))
+    given = F.struct(F.col("_all").alias("spans"), runs.alias("runs"), blocks.alias("blocks"), F.length("text").alias("length"))
+    done = _apply("transform", F.array(given), _without(len(KINDS) + 1))[0]
     out = found.select("row", F.when(F.size("_all") > 0, done).otherwise(F.col("text")).alias("text"))
 
     def column(name: str) -> Column:
