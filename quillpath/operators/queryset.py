@@ -21,7 +21,7 @@ from pyspark.sql.types import StructField, StructType
 from quillpath.functions import expressions as E
 from quillpath.functions.lookups import predicate, transform
 from quillpath.plans.catalog import Catalog, Field
-from quillpath.plans.metadata import pages, written_pages
+from quillpath.plans.metadata import NUMBER, READ_BYTES, Numbered, numbered
 from quillpath.plans.paths import PathError, direct, resolve
 from quillpath.sources.versioned import VersionedTable
 
@@ -555,19 +555,24 @@ class QuerySet:
         return out.df.select(*(F.col(c) for c in out._visible()))
 
     def iterator(self, chunk_size: int | None = None) -> Iterator[Row]:
-        """Rows in order. With chunk_size the driver never holds more than twice as many; without, a partition of the result at a time."""
+        """Rows in order. With chunk_size the driver holds a few chunks at a time, see chunks; without, a partition of the result."""
         if chunk_size is None:
             return self.dataframe().toLocalIterator(prefetchPartitions=True)
         return (row for chunk in self.chunks(chunk_size) for row in chunk)
 
     def chunks(self, size: int) -> Iterator[list[Row]]:
-        """Lists of `size` rows in order, the last one shorter. The result is sorted and written once, in files of at most size rows to the shared
-        folder; each is read by a job of its own, so neither the driver nor a job depends on how large a partition is."""
+        """Lists of `size` rows in order, the last one shorter. The result is sorted and written once with row numbers; a job reads a chunk by them,
+        or as many whole ones as READ_BYTES of the files hold, so neither the driver nor a job depends on how large a partition is."""
         if size < 1:
             raise ValueError("a chunk has rows")
-        df = self.dataframe()
-        path = written_pages(df, size)
-        return _chunks(df, path, size)
+        return _chunks(numbered(self.dataframe()), size)
+
+    def paged(self, size: int) -> DataFrame:
+        """The rows with page, the number of the chunk of `size` rows that each is in, and number, its own among all, both from 0 in the query's order.
+        Rows and pages stay in Spark."""
+        if size < 1:
+            raise ValueError("a page has rows")
+        return numbered(self.dataframe()).rows().withColumns({"page": F.expr(f"`{NUMBER}` div {size}"), "number": F.col(NUMBER)}).drop(NUMBER)
 
     def __iter__(self) -> Iterator[Row]:
         return self.iterator()
@@ -812,15 +817,11 @@ class QuerySet:
     clean = clean_fields = validate_unique = validate_constraints = full_clean
 
 
-def _chunks(df: DataFrame, path: str, size: int) -> Iterator[list[Row]]:
-    held: list[Row] = []
-    for file in pages(df.sparkSession, path):
-        held += df.sparkSession.read.schema(df.schema).parquet(file).collect()
-        while len(held) >= size:
-            yield held[:size]
-            held = held[size:]
-    if held:
-        yield held
+def _chunks(made: Numbered, size: int) -> Iterator[list[Row]]:
+    step = size * max(1, int(READ_BYTES / (size * made.width))) if made.count else size
+    for low in range(0, made.count, step):
+        rows = made.between(low, low + step).collect()
+        yield from (rows[i : i + size] for i in range(0, len(rows), size))
 
 
 def _asynchronous(name: str) -> Callable[..., Any]:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillpath.functions.lookups import LOOKUPS
 from quillpath.plans.catalog import RELATIONS, Catalog
@@ -46,19 +47,62 @@ def _stored(df: DataFrame) -> tuple[DataFrame, str, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path, rows.get["n"]
 
 
-def written_pages(df: DataFrame, size: int) -> str:
-    """The folder in which df lies in files of at most `size` rows each, in its order."""
-    path = f"{shared_folder(df.sparkSession)}/pages/{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", size).parquet(path)
-    return path
+#: The column of row numbers, and bytes of files that a driver reads in one job where they hold more than one page.
+NUMBER, READ_BYTES = "+number", 4 << 20
 
 
-def pages(spark: SparkSession, path: str) -> list[str]:
-    """Files of written_pages in order: by partition, then by number within it."""
+@dataclass
+class Numbered:
+    """Rows written once in their order, with what the driver knows of each partition: number, rows before it, its rows, its bytes and files."""
+
+    made: DataFrame  # the rows, whose NUMBER is as each task counted
+    parts: list[tuple[int, int, int, int, list[str]]]
+
+    @property
+    def count(self) -> int:
+        return sum(n for _, _, n, _, _ in self.parts)
+
+    @property
+    def width(self) -> float:
+        """Bytes of a row in the files, in the partition of the widest."""
+        return max((size / n for _, _, n, size, _ in self.parts), default=0.0)
+
+    def rows(self) -> DataFrame:
+        """All rows, with their numbers from 0 in NUMBER."""
+        before = self.made.sparkSession.createDataFrame([(p, first - (p << 33)) for p, first, *_ in self.parts], "_part long, _shift long")
+        shifted = self.made.join(F.broadcast(before), F.shiftright(NUMBER, 33) == F.col("_part"))
+        return shifted.withColumn(NUMBER, F.col(NUMBER) + F.col("_shift")).drop("_part", "_shift")
+
+    def between(self, low: int, high: int) -> DataFrame:
+        """The rows with numbers from low on and below high in order, from the files alone that hold them."""
+        out = self.made.sparkSession.read.schema(self.made.schema)
+        some, here = [], F.lit(False)
+        for p, first, n, _, files in self.parts:
+            a, b = max(low, first), min(high, first + n)
+            if a < b:
+                some += files
+                here = here | F.col(NUMBER).between((p << 33) + a - first, (p << 33) + b - first - 1)
+        return out.parquet(*some).where(here).coalesce(1).sortWithinPartitions(NUMBER).drop(NUMBER)
+
+
+def numbered(df: DataFrame) -> Numbered:
+    """df in its order with numbers: each task counts its own rows as it writes them, and the driver gets one count of each partition."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/pages/{uuid.uuid4().hex}"
+    df.withColumn(NUMBER, F.monotonically_increasing_id()).write.parquet(path)
+    schema = StructType([*df.schema.fields, StructField(NUMBER, LongType())])
+    made = spark.read.schema(schema).parquet(path)
+    counts = dict(made.groupBy(F.shiftright(NUMBER, 33)).count().collect())
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    names = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
-    place = lambda n: (int(n.split("-")[1]), int(n.rsplit("-c", 1)[1].split(".")[0]))
-    return [f"{path}/{n}" for n in sorted((n for n in names if n.startswith("part-")), key=place)]
+    files: dict[int, list[tuple[str, int]]] = {}
+    for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            files.setdefault(int(name.split("-")[1]), []).append((f"{path}/{name}", f.getLen()))
+    parts, first = [], 0
+    for p, n in sorted(counts.items()):
+        parts.append((p, first, n, sum(size for _, size in files[p]), [name for name, _ in files[p]]))
+        first += n
+    return Numbered(made, parts)
 
 
 def _first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -110,6 +110,25 @@ def test_chunks(spark):
         q.chunks(0)
 
 
+def test_pages_and_chunks_take_few_jobs(spark):
+    objects = Source(spark, shop(), {"default": SF}).objects
+    q = objects("Order").order_by("-totalprice", "orderkey").values("orderkey")
+    want = [r.orderkey for r in q.dataframe().collect()]
+    spark.sparkContext.setJobGroup("pages", "pages")
+    try:
+        paged = sorted((r.number, r.page, r.orderkey) for r in q.paged(3).collect())
+        chunks = list(q.chunks(3))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("pages"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert paged == [(i, i // 3, k) for i, k in enumerate(want)]
+    assert [[r.orderkey for r in c] for c in chunks] == [want[i : i + 3] for i in range(0, len(want), 3)]
+    assert jobs < 30 < len(chunks)  # not one for each chunk
+    assert q.filter(orderkey__lt=0).paged(5).count() == 0
+    with pytest.raises(ValueError):
+        q.paged(0)
+
+
 def test_first_path_to_an_ancestor_is_always_the_same(spark):
     bases = [("D", "A", 0), ("D", "B", 1), ("A", "Base", 0), ("B", "Base", 0), ("D", "Base", 2), ("Base", "Top", 0), ("x", "y", 0), ("y", "x", 0), ("E", "B", 0), ("E", "D", 1)]
     r = random.Random(1)
