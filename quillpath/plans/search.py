@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,25 +72,73 @@ def fuzzy(items: DataFrame, column: str, text: str, most: int = 2) -> DataFrame:
     return items.withColumn("distance", d).where(F.col("distance").between(1, most)).orderBy("distance", column)
 
 
-def shortened(word: Column, most: int) -> Column:
-    """All strings that are left of a word after up to `most` of its characters are deleted, each once."""
-    one = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
-    now = every = F.array(word)
-    for _ in range(most):
-        now = F.array_distinct(F.flatten(F.transform(now, one)))
-        every = F.concat(every, now)
-    return F.array_distinct(every)
+def _edited(word: Column, deleted: int, replaced: int) -> Column:
+    """Structs of key, places and chars for every way to delete so many characters of a word and then to replace so many: key is what is left,
+    places and chars the replaced characters in order. Of deletions that leave the same only one is given."""
+    none = F.lit("")
+
+    def cut(s: Column, i: Column) -> tuple[Column, Column, Column]:
+        """What is before character i, the character, and what is after it."""
+        return F.substring(s["key"], F.lit(1), i - 1), F.substring(s["key"], i, F.lit(1)), F.substring(s["key"], i + 1, F.length(s["key"]))
+
+    def without(s: Column, i: Column) -> Column:
+        before, _, after = cut(s, i)
+        return F.struct(F.concat(before, after).alias("key"), none.alias("places"), none.alias("chars"), F.lit(0).alias("at"))
+
+    def masked(s: Column, i: Column) -> Column:
+        before, char, after = cut(s, i)
+        return F.struct(F.concat(before, F.lit("*"), after).alias("key"), F.concat_ws(",", s["places"], i).alias("places"), F.concat(s["chars"], char).alias("chars"), i.alias("at"))
+
+    def each(s: Column, make: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.length(s["key"])), lambda i: i > s["at"]), lambda i: make(s, i))
+
+    now = F.array(F.struct(word.alias("key"), none.alias("places"), none.alias("chars"), F.lit(0).alias("at")))
+    for _ in range(deleted):
+        now = F.array_distinct(F.flatten(F.transform(now, lambda s: each(s, without))))
+    for _ in range(replaced):
+        now = F.flatten(F.transform(now, lambda s: each(s, masked)))
+    return now
 
 
 def near_pairs(left: DataFrame, right: DataFrame, column: str, most: int = 2) -> DataFrame:
     """a, b, distance: different words of left and of right that are at most `most` edits apart, without case.
 
-    Words within that distance have a string in common that is left after at most as many deletions from each. Both sides give all such strings of
-    every different word, which are joined for equality by their hashes; what meets is measured. A word of n letters gives n**most / 2 strings.
+    Deletions of d characters of a, of e of b, and replacements of r in the same places of what is left lead words within that distance to the same
+    string, with d + e + r up to most. All such strings are joined for equality by their hashes, by shuffles whatever their sizes look like, as a word
+    has about n**r / 2 of them; replaced characters must differ. So what meets is a pair: those without deletions once, the others, and of these only
+    words of one length that differ in more than most places, maybe in several strings. Only strings that a partner's length allows are made;
+    lengths of words come to the driver. There are as many rows as near pairs, which for names that end in running numbers are hundreds a word.
     """
-    words = lambda df, name: df.where(F.col(column).isNotNull()).select(F.lower(column).alias(name)).distinct().select(name, F.explode(F.transform(shortened(F.col(name), most), lambda x: F.xxhash64(x))).alias("key"))
-    met = words(left, "a").join(words(right, "b"), "key").where("a <> b").select("a", "b").distinct()
-    return met.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+    # few words make many strings, and these many pairs, so a count of partitions is given, which adaptive execution does not lower by their size
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    words = [stored(df.where(F.col(column).isNotNull()).select(F.lower(column).alias(x)).distinct().repartition(parts, x)) for df, x in ((left, "a"), (right, "b"))]
+    lengths = [{r[0] for r in df.select(F.length(x)).distinct().collect()} for df, x in zip(words, "ab", strict=True)]
+
+    def given(side: int, name: str, d: int, e: int, r: int) -> DataFrame | None:
+        fits = sorted(n for n in lengths[side] if n - d >= r and n - d + e in lengths[1 - side])
+        if not fits:
+            return None
+        rows = words[side].where(F.length(name).isin(fits)).select(name, F.explode(_edited(F.col(name), d, r)).alias("_e"))
+        return rows.select(name, F.xxhash64("_e.key", "_e.places").alias("key"), F.col("_e.chars").alias(f"_{name}")).repartition(parts, "key")
+
+    once = again = words[0].select("a", F.col("a").alias("b")).limit(0)
+    other = lambda i: F.substring("_a", i, 1) != F.substring("_b", i, 1)
+    apart = F.size(F.filter(F.sequence(F.lit(1), F.length("a")), lambda i: F.substring(F.col("a"), i, F.lit(1)) != F.substring(F.col("b"), i, F.lit(1)))) > most
+    for d in range(most + 1):
+        for e in range(most + 1 - d):
+            for r in range(0 if d + e else 1, most + 1 - d - e):
+                a, b = given(0, "a", d, e, r), given(1, "b", e, d, r)
+                if a is None or b is None:
+                    continue
+                met = a.join(b.hint("merge"), "key").where("a <> b")
+                for i in range(1, r + 1):
+                    met = met.where(other(i))
+                if d + e == 0:
+                    once = once.unionByName(met.select("a", "b"))
+                else:
+                    again = again.unionByName((met.where(apart) if d == e else met).select("a", "b"))
+    return once.unionByName(again.distinct()).withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
 
 
 def with_prefixes(items: DataFrame, column: str, prefixes: DataFrame, limit: int = CLASS_LIMIT, fold: bool = False) -> DataFrame:

@@ -60,6 +60,15 @@ def test_near_pairs(spark, most):
     assert search.near_pairs(df(left).limit(0), df(right), "w", most).count() == 0
 
 
+def test_near_pairs_of_numbers_are_not_broadcast(spark):
+    words = [f"n#{i:04d}" for i in range(0, 1300, 7)] + ["n#12", "\U0001f600b", "\U0001f601c", "b\U0001f600", "*a", "b*", "x*", "*"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    found = search.near_pairs(df, df, "w")
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, distance(a, b)) for a in words for b in words if a != b and distance(a, b) <= 2)
+    # a side of many strings looks small before it is made; sent whole to the driver it does not fit
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_prefixes(spark):
     r = random.Random(3)
     items = ["".join(r.choice("aAb%_") for _ in range(r.randint(0, 6))) for _ in range(200)] + [None]
