@@ -31,6 +31,8 @@ FEW, BLOCK = 48, 2048
 BROADCAST_PAIRS = 1_000_000
 #: Sets that one outside of its buckets' largest components is held against in a round.
 TRIES = 8
+#: By how much more pairs of a large bucket are tried in each round.
+FORESTS = 8
 #: Bits of a whole sketch that is compared in blocks.
 BITS = 2048
 #: Sets of one key in a batch from which on most of them are dealt into PARTS parts.
@@ -245,8 +247,35 @@ def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
     return across.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")).distinct()
 
 
-def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Pairs (u, v) across components in large buckets whose sketches (sid, sketch) are near: near says so of rows of two arrays
+def _forests(codes: np.ndarray, met: Iterator[tuple[int, np.ndarray]], forests: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows (x, y), and whether there are more, out of those met (x and all its y): the edges of so many spanning forests over the rows'
+    components (codes from 0), one after another from what the ones before left. So they are at most `forests` for each component."""
+    trees = [np.arange(codes.max(initial=-1) + 1)]
+    u, v, more = [], [], False
+    for x, y in met:
+        for k in range(forests):
+            if not len(y):
+                break
+            if k == len(trees):
+                trees.append(np.arange(len(trees[0])))
+            tree = trees[k]
+            own, other = tree[codes[x]], tree[codes[y]]
+            across = np.flatnonzero(other != own)
+            joined, first = np.unique(other[across], return_index=True)
+            if len(joined):
+                taken = across[first]
+                u.append(np.full(len(taken), x))
+                v.append(y[taken])
+                tree[np.isin(tree, joined)] = own
+                y = np.delete(y, taken)
+        more |= len(y) > 0
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *u]), np.concatenate([none, *v]), bool(more)
+
+
+def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], forests: int | None = None) -> DataFrame:
+    """Pairs (key, u, v, more) across components in large buckets whose sketches (sid, sketch) are near; with forests, of a group's pairs those that
+    connect its components so many times over, and more is whether the group has others. near says so of rows of two arrays
     of 64-bit words and the sums of their sets' sizes. The sets outside of a bucket's largest component
     (strays) are dealt into blocks, all sets of the bucket into chunks, and each block meets each
     chunk in one group, so that a group is bounded whatever the bucket's size, and few strays cost little."""
@@ -263,21 +292,26 @@ def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near:
         sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
         sid, size, own, label, stray = (g[c].to_numpy() for c in ("sid", "size", "own", "label", "stray"))
         a, b = np.flatnonzero(stray), np.flatnonzero(~stray)
-        u, v = [], []
-        for at in range(0, len(a), 32):
-            i = a[at : at + 32]
-            total = size[i][:, None].astype(np.int64) + size[b][None, :]
-            fit = np.minimum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_den >= np.maximum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_num
-            fit &= (label[i][:, None] != label[b][None, :]) & (own[i][:, None] | own[b][None, :]) & (sid[i][:, None] != sid[b][None, :])
-            x, y = np.nonzero(fit)
-            met = near(sketch[i[x]], sketch[b[y]], total[x, y])
-            x, y = i[x[met]], b[y[met]]
-            u.append(np.minimum(sid[x], sid[y]))
-            v.append(np.maximum(sid[x], sid[y]))
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
-
-    return every.select(*columns).unionByName(strays.select(*columns)).groupBy("key", "chunk", "block").applyInPandas(compare, "u long, v long").distinct()
+
+        def met() -> Iterator[tuple[int, np.ndarray]]:
+            for at in range(0, len(a), 32):
+                i = a[at : at + 32]
+                total = size[i][:, None].astype(np.int64) + size[b][None, :]
+                fit = np.minimum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_den >= np.maximum(size[i][:, None], size[b][None, :]).astype(np.int64) * t_num
+                fit &= (label[i][:, None] != label[b][None, :]) & (own[i][:, None] | own[b][None, :]) & (sid[i][:, None] != sid[b][None, :])
+                x, y = np.nonzero(fit)
+                hit = near(sketch[i[x]], sketch[b[y]], total[x, y])
+                x, y = x[hit], b[y[hit]]
+                yield from zip(i.tolist(), np.split(y, np.searchsorted(x, np.arange(1, len(i)))), strict=True)
+
+        if forests is None:
+            found = list(met())
+            x, y, more = np.repeat(np.array([i for i, _ in found], np.int64), [len(j) for _, j in found]), np.concatenate([np.zeros(0, np.int64), *(j for _, j in found)]), False
+        else:
+            x, y, more = _forests(np.unique(label, return_inverse=True)[1], met(), forests)
+        return pd.DataFrame({"key": np.full(len(x), g["key"].iloc[0]), "u": np.minimum(sid[x], sid[y]), "v": np.maximum(sid[x], sid[y]), "more": np.full(len(x), more)})
+
+    return every.select(*columns).unionByName(strays.select(*columns)).groupBy("key", "chunk", "block").applyInPandas(compare, "key long, u long, v long, more boolean")
 
 
 def _prepared(documents: DataFrame, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -347,8 +381,9 @@ def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Call
     those of the pairs (u, v) that reach the threshold, and sketches that near compares in large buckets.
 
     Each set is held against the one that it meets most often as the best of its buckets; in each further round those that are
-    still outside of the largest component of a bucket are held against some sets of it; and then all pairs across
-    the components are tried that are left in a bucket. Rounds only save pairs of the last step, which leaves none out.
+    still outside of the largest component of a bucket are held against some sets of it; and then pairs across the components
+    that are left in a bucket are tried. In large buckets these are at first as many as connect its components once; where there are
+    more and not all components became one, FORESTS times as many, and so on until a bucket has no others. No pair that would connect components is left out.
     """
     best = shared.join(score, "sid").groupBy("key").agg(F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.struct("score", -F.col("sid"))).alias("b"))
     met = shared.join(written(best.select("key", "b.*")), "key").where("sid <> v")
@@ -363,8 +398,18 @@ def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Call
         links = links.unionByName(more)
         now = _left(shared, links)
     now = now.join(written(now.groupBy("key").agg(F.count("*").alias("rows"))), "key")
-    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches, threshold, near))
-    labels = written(components(links.unionByName(linked(tried.distinct())), "u", "v"))
+    tried, many, forests = _few_pairs(now.where(F.col("rows") <= FEW), threshold), now.where(F.col("rows") > FEW), 1
+    while True:
+        pairs = written(_many_pairs(many, sketches, threshold, near, forests))
+        links = links.unionByName(written(linked(tried.unionByName(pairs.select("u", "v")).distinct())))
+        again = pairs.where("more").select("key").distinct()
+        if again.isEmpty():
+            break
+        many = _left(shared.join(written(again), "key", "left_semi"), links)
+        if many.isEmpty():
+            break
+        tried, forests = tried.limit(0), forests * FORESTS
+    labels = written(components(links, "u", "v"))
 
     classed = signed.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     some = classed.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))
@@ -378,7 +423,7 @@ def _class_links(documents: DataFrame, width: int, threshold: Fraction) -> tuple
     signed, shared, sets, sketches = _prepared(documents, width, threshold)
     sizes = shared.groupBy("key").agg(F.count("*").alias("rows"))
     now = shared.withColumn("label", F.col("sid")).join(written(sizes), "key")
-    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold, close(threshold)))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold, close(threshold)).select("u", "v"))
     return signed, written(_linked(_near(tried.distinct(), sketches, threshold), sets, threshold))
 
 

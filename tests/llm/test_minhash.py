@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 from math import comb
 
+import numpy as np
 import pytest
 
 from quillpath.llm import minhash, ngram_join
@@ -70,3 +71,27 @@ def test_a_shared_passage_links_nothing(spark):
     docs += [(1000 + i, t.replace(" ", "  ", 3) + " end") for i, t in docs[:30]]
     found = got(spark.createDataFrame(docs, "doc_id long, text string"))
     assert found == {d: (len(shingles(t, 4)), d % 1000 if d >= 1000 else d) for d, t in docs}
+
+
+def test_pairs_of_a_large_bucket_grow_with_its_sets():
+    from quillpath.llm.ngram_join import _forests
+
+    rng = np.random.default_rng(3)
+    for codes, forests in ((np.arange(200), 1), (rng.integers(0, 5, 200), 1), (rng.integers(0, 40, 200), 3)):
+        y = np.arange(200)
+        met = [(x, y[(codes != codes[x]) & (y < 100) & ((y + x) % 3 == 0)]) for x in range(100, 200)]
+        u, v, more = _forests(codes, iter(met), forests)
+        every = {(x, int(j)) for x, js in met for j in js}
+        assert set(zip(u.tolist(), v.tolist(), strict=True)) <= every and len(u) <= forests * len(set(codes.tolist())) and more
+
+        def parts(pairs):
+            low = {c: c for c in codes.tolist()}
+            for _ in low:
+                for a, b in pairs:
+                    a, b = int(codes[a]), int(codes[b])
+                    low[a] = low[b] = min(low[a], low[b])
+            return low
+
+        assert parts(every) == parts(list(zip(u.tolist(), v.tolist(), strict=True)))
+        u, v, more = _forests(codes, iter(met), 10_000)
+        assert set(zip(u.tolist(), v.tolist(), strict=True)) == every and len(u) == len(every) and not more
