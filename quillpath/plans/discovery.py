@@ -1,8 +1,8 @@
 """Keys and references found in the tables themselves.
 
 A column without nulls and repeats is a key. A column refers to a key if all its values are among the key's. Values alone say too much of
-small numbers, so a reference must also have the key's name without its table's prefix. Profiles, then sketches of the least hashes, leave
-few pairs of columns to be joined whole.
+small numbers, so a reference must also have the key's name without its table's prefix. Names, then profiles leave few columns, whose values
+are grouped once for all pairs.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from quillpath.plans.catalog import Catalog, Field
 from quillpath.plans.metadata import reverse_relations, stored
 
-#: Values of a column's sketch. A column of which one value in a hundred is not in a key passes it with chance 0.3.
-SKETCH = 128
 _KINDS = {"bigint": "number", "int": "number", "smallint": "number", "tinyint": "number", "string": "text"}
 
 
@@ -26,12 +24,13 @@ def stem(column: str) -> str:
     return tail if mark and len(head) <= 2 and tail else column
 
 
-def profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, column, kind, rows, present, about, low, high of every column of whole numbers or text: one pass for each table. about is the number
+def profile(tables: dict[str, DataFrame], only: set[tuple[str, str]] | None = None) -> DataFrame:
+    """table, column, kind, rows, present, about, low, high of every column of whole numbers or text (with only, of those tables and columns): one pass
+    for each table. about is the number
     of different values, within some hundredths; low and high are texts."""
     parts = []
     for name, df in tables.items():
-        columns = [c for c, t in df.dtypes if t in _KINDS]
+        columns = [c for c, t in df.dtypes if t in _KINDS and (only is None or (name, c) in only)]
         if not columns:
             continue
         each = [F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(_KINDS[dict(df.dtypes)[c]]).alias("kind"), F.count(F.lit(1)).alias("rows"), F.count(f"`{c}`").alias("present"), F.approx_count_distinct(f"`{c}`", 0.02).alias("about"), F.min(f"`{c}`").cast("string").alias("low"), F.max(f"`{c}`").cast("string").alias("high")) for c in columns]
@@ -42,26 +41,23 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _least(df: DataFrame, column: str) -> DataFrame:
-    """The values of a column with the least hashes, SKETCH of them."""
-    values = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").cast("string").alias("value")).distinct()
-    return values.orderBy(F.xxhash64("value"), "value").limit(SKETCH)
-
-
 def references(tables: dict[str, DataFrame]) -> DataFrame:
     """source_table, source_column, target_table, target_column, values (different ones of the source), orphans (rows of the source whose
     value the target has not, 0 in all) and used (the share of the target's values that the source has).
 
-    Profiles come to the driver, one row for each column; sketches and values stay in Spark. Where each of two keys holds the other, the
+    Profiles come to the driver, one row for each column whose name another table has; values stay in Spark. Each value is counted in all columns of
+    a name at once, by one shuffle of numbers and one of texts, which tells of every pair how many are missing and of every key whether it repeats. Where each of two keys holds the other, the
     table with the shorter name of its own key (its stem begins the table's name) is the target, else both are given.
     """
     spark = next(iter(tables.values())).sparkSession
-    about = {(r["table"], r["column"]): r for r in profile(tables).collect()}
-    keys = []
-    for (table, column), r in about.items():
-        if r["rows"] and r["present"] == r["rows"] and r["about"] >= 0.9 * r["rows"]:
-            if tables[table].groupBy(f"`{column}`").count().where("count > 1").limit(1).isEmpty():
-                keys.append((table, column))
+    named: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for t, df in tables.items():
+        for c, kind in df.dtypes:
+            if kind in _KINDS:
+                named.setdefault((_KINDS[kind], stem(c)), []).append((t, c))
+    shared = {at for ats in named.values() if len({t for t, _ in ats}) > 1 for at in ats}
+    about = {(r["table"], r["column"]): r for r in profile(tables, shared).collect()} if shared else {}
+    keys = [at for at, r in about.items() if r["rows"] and r["present"] == r["rows"] and r["about"] >= 0.9 * r["rows"]]
     order = lambda r, v: int(v) if r["kind"] == "number" else v
     pairs = []
     for source, s in about.items():
@@ -73,18 +69,34 @@ def references(tables: dict[str, DataFrame]) -> DataFrame:
                 pairs.append((source, target))
     schema = "source_table string, source_column string, target_table string, target_column string, values long, orphans long, used double"
     found = spark.createDataFrame([], schema)
-    for source, target in pairs:
-        text = lambda at: tables[at[0]].select(F.col(f"`{at[1]}`").cast("string").alias("value"))
-        missing = F.broadcast(_least(tables[source[0]], source[1])).join(text(target).distinct(), "value", "left_anti")
-        if not missing.isEmpty():
-            continue
-        counts = text(source).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-        met = counts.join(text(target).withColumn("there", F.lit(True)), "value", "left")
-        row = met.agg(F.count("*").alias("values"), F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("n"))), F.lit(0)).alias("orphans"), (F.count("there") / F.lit(about[target]["rows"])).alias("used"))
-        found = found.unionByName(row.select(F.lit(source[0]).alias("source_table"), F.lit(source[1]).alias("source_column"), F.lit(target[0]).alias("target_table"), F.lit(target[1]).alias("target_column"), "values", "orphans", "used"))
+    for kind, type_ in (("number", "long"), ("text", "string")):
+        of_kind = [p for p in pairs if about[p[0]]["kind"] == kind]
+        if of_kind:
+            found = found.unionByName(_counted(tables, of_kind, type_, {at: r["rows"] for at, r in about.items()}))
     return stored(found.where("orphans = 0"))
 
 
+def _counted(tables: dict[str, DataFrame], pairs: list[tuple[tuple[str, str], tuple[str, str]]], type_: str, rows: dict[tuple[str, str], int]) -> DataFrame:
+    """The rows of references for pairs of columns (source, target) whose target repeats no value, orphans or not."""
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for at in dict.fromkeys(at for p in pairs for at in p):
+        groups.setdefault(stem(at[1]), []).append(at)
+    place = {at: (g, i) for g, ats in groups.items() for i, at in enumerate(ats)}
+    every = None
+    for (t, c), (g, i) in place.items():
+        part = tables[t].select(F.lit(g).alias("g"), F.col(f"`{c}`").cast(type_).alias("value"), F.lit(i).alias("i")).where("value is not null")
+        every = part if every is None else every.unionByName(part)
+    counts = every.groupBy("g", "value").agg(*(F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(max(map(len, groups.values())))))
+    each = []
+    for source, target in pairs:
+        (g, i), (_, j) = place[source], place[target]
+        here, s, t = F.col("g") == g, F.col(f"n{i}"), F.col(f"n{j}")
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        names = (F.lit(x).alias(n) for x, n in zip((*source, *target), ("source_table", "source_column", "target_table", "target_column"), strict=True))
+        each.append(F.struct(*names, F.count_if(here & (s > 0)).alias("values"), total(F.when(here & (t == 0), s)).alias("orphans"), (F.count_if(here & (s > 0) & (t > 0)) / F.lit(rows[target])).alias("used"), F.max(F.when(here, t)).alias("most")))
+    return counts.agg(F.array(*each).alias("each")).select(F.inline("each")).where("most <= 1").drop("most")
+
+
 #: Field kinds by column types.
 _FIELD_KINDS = {"bigint": "BigIntegerField", "int": "IntegerField", "smallint": "SmallIntegerField", "string": "CharField", "double": "FloatField", "float": "FloatField", "boolean": "BooleanField", "date": "DateField", "timestamp": "DateTimeField", "timestamp_ntz": "DateTimeField", "binary": "BinaryField"}
 

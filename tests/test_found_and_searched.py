@@ -37,6 +37,21 @@ def test_one_orphan_is_enough(spark):
     assert discovery.references(t).count() == 0
 
 
+def test_references_take_few_jobs(spark):
+    names = [f"c{i}" for i in range(8)]
+    t = {"a": spark.range(50).select(*(F.col("id").alias(f"a_{n}") for n in names)), "b": spark.range(40).select(*((F.col("id") + 1).cast("int").alias(f"b_{n}") for n in names))}
+    t["b"] = t["b"].unionByName(t["b"])
+    t["d"] = spark.range(60).select(F.least("id", F.lit(58)).alias("d_c0"))  # repeats one value, so it is no key
+    spark.sparkContext.setJobGroup("found", "found")
+    try:
+        found = discovery.references(t)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("found"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in found.collect()} == {("b", f"b_{n}", "a", f"a_{n}", 40, 0, 0.8) for n in names}
+    assert jobs < 12  # not some for each pair
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
