@@ -3,11 +3,13 @@
 An object is contained in another that has all its members, each containing the member's value; an array in one
 that has, for each of its elements, an element that contains it, in any order and number; scalars in equal ones, numbers by
 value. At the top an array also contains its elements themselves. With a literal on one side this is a predicate over VARIANT
-values; between two columns it is a relation, made from the top down and answered from the leaves up.
+values; between two columns it is a relation: rows whose values do not go on below some depth are answered by a predicate, and
+the others from the top down and then from the leaves up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal, localcontext
 from typing import Any
 
@@ -18,6 +20,9 @@ from quillpath.plans.metadata import stored
 
 _EXACT = "decimal(38,9)"
 
+#: Containers in each other down to which rows are answered by an expression, which grows with the power of two of it.
+DEPTH = 3
+
 
 def parsed(c: Column) -> Column:
     """JSON text as VARIANT; null where it is none."""
@@ -116,31 +121,73 @@ def _same(a: Column, b: Column) -> Column:
     return _true(F.is_variant_null(a) & F.is_variant_null(b)) | _true(numbers) | _true(texts)
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once for a row, however often f's lambdas use it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _listed(b: Column, s: Column, top: bool) -> Column:
+    """The elements that b must have if s is to be in it as an array."""
+    return F.coalesce(_array(s), F.when(_object(s).isNull() & _array(b).isNotNull(), F.array(s))) if top else _array(s)
+
+
+def _decided(b: Column, s: Column, top: bool) -> Column:
+    """Whether b contains s where that takes no look into members or elements, else null."""
+    listed = _listed(b, s, top)
+    return (
+        F.when(b.isNull() | s.isNull(), False)
+        .when(_object(s).isNotNull(), F.when(_object(b).isNull(), False).when(F.size(_object(s)) == 0, True))
+        .when(listed.isNotNull(), F.when(_array(b).isNull(), False).when(F.size(listed) == 0, True))
+        .otherwise(_same(b, s))
+    )
+
+
+def _holds(b: Column, s: Column, depth: int, top: bool = True) -> Column:
+    """Whether the VARIANT b contains the VARIANT s; null where it takes a look at more than depth containers in each other."""
+    if not depth:
+        return _decided(b, s, top)
+    members = _with(_object(b), lambda m: F.forall(F.map_entries(_object(s)), lambda e: _holds(F.try_element_at(m, e["key"]), e["value"], depth - 1, False)))
+    elements = _with(_array(b), lambda m: F.forall(_listed(b, s, top), lambda x: F.exists(m, lambda y: _holds(y, x, depth - 1, False))))
+    return (
+        F.when(b.isNull() | s.isNull(), False)
+        .when(_object(s).isNotNull(), F.when(_object(b).isNull(), False).otherwise(members))
+        .when(_listed(b, s, top).isNotNull(), F.when(_array(b).isNull(), False).otherwise(elements))
+        .otherwise(_same(b, s))
+    )
+
+
 def contained(df: DataFrame, key: str, big: str, small: str) -> DataFrame:
     """key and contained: whether the JSON text big contains the JSON text small, for rows of different, non-null keys. Text that is no JSON
     or null contains nothing and is contained in nothing.
 
+    One pass answers the rows that DEPTH containers in each other answer, and writes the others' texts, which go on level by level.
+    """
+    texts = df.select(F.col(key).alias("key"), F.col(big).alias("big"), F.col(small).alias("small"))
+    pairs = texts.withColumns({"b": parsed(F.col("big")), "s": parsed(F.col("small"))}).withColumn("holds", _holds(F.col("b"), F.col("s"), DEPTH))
+    once = stored(pairs.select("key", "holds", *(F.when(F.col("holds").isNull(), F.col(c)).alias(c) for c in ("big", "small"))))
+    result, deep = once.where("holds is not null").select("key", "holds"), once.where("holds is null")
+    if not deep.isEmpty():
+        result = result.unionByName(_by_levels(deep))
+    return result.select(F.col("key").alias(key), F.col("holds").alias("contained"))
+
+
+def _by_levels(df: DataFrame) -> DataFrame:
+    """key and holds of the rows (key, big, small).
+
     Every level of nesting is a table of pairs still to be compared: a member with the other side's member, an
     element with each element of the other side. A pair holds if each of its slots (members, elements of small) has a pair that
     holds. Levels are joined with their parents' results from the deepest up; nothing depends on how deep values are.
     """
-    now = df.select(F.col(key).alias("key"), F.lit("").alias("node"), F.lit("").alias("parent"), F.lit(0).alias("slot"), parsed(F.col(big)).alias("b"), parsed(F.col(small)).alias("s"))
+    now = df.select("key", F.lit("").alias("node"), F.lit("").alias("parent"), F.lit(0).alias("slot"), parsed(F.col("big")).alias("b"), parsed(F.col("small")).alias("s"))
     levels: list[DataFrame] = []
     top = True
     while True:
         b, s = F.col("b"), F.col("s")
-        listed = _array(s) if not top else F.coalesce(_array(s), F.when(_object(s).isNull() & _array(b).isNotNull(), F.array(s)))
-        done = (
-            F.when(b.isNull() | s.isNull(), False)
-            .when(_object(s).isNotNull(), F.when(_object(b).isNull(), False).when(F.size(_object(s)) == 0, True))
-            .when(listed.isNotNull(), F.when(_array(b).isNull(), False).when(F.size(listed) == 0, True))
-            .otherwise(_same(b, s))
-        )
-        levels.append(stored(now.withColumn("done", done)))
+        levels.append(stored(now.withColumn("done", _decided(b, s, top))))
         open_ = levels[-1].where("done is null")
         if open_.isEmpty():
             break
-        both = open_.withColumn("listed", listed)
+        both = open_.withColumn("listed", _listed(b, s, top))
         members = both.where(_object(s).isNotNull()).select("key", F.col("node").alias("parent"), _object(b).alias("bs"), F.posexplode(F.map_entries(_object(s))).alias("slot", "e"))
         members = members.select("key", "parent", "slot", F.lit(0).alias("place"), F.try_element_at("bs", F.col("e.key")).alias("b"), F.col("e.value").alias("s"))
         elements = both.where("listed is not null").select("key", F.col("node").alias("parent"), _array(b).alias("bs"), F.posexplode("listed").alias("slot", "s"))
@@ -152,4 +199,4 @@ def contained(df: DataFrame, key: str, big: str, small: str) -> DataFrame:
         slots = result.groupBy("key", "parent", "slot").agg(F.max("holds").alias("holds"))
         above = slots.groupBy("key", F.col("parent").alias("node")).agg(F.min("holds").alias("_held"))
         result = level.join(above, ["key", "node"], "left").select("key", "node", "parent", "slot", F.coalesce("done", "_held").alias("holds"))
-    return result.select(F.col("key").alias(key), F.col("holds").alias("contained"))
+    return result.select("key", "holds")

@@ -68,3 +68,20 @@ def test_columns(spark):
     assert len(set(got.values())) == 2
     none = spark.createDataFrame([], "k int, big string, small string")
     assert json_sets.contained(none, "k", "big", "small").count() == 0
+
+
+def test_columns_of_shallow_values_take_one_pass(spark, monkeypatch):
+    r = random.Random(4)
+    deep = {"a": [{"a": [[{"a": [1, [2, {"a": 3}]]}]]}]}
+    pairs = [(BIG[k], part(r, BIG[k]) if k % 2 else BIG[(k * 7 + 1) % 60]) for k in range(60)] + [(deep, deep), (deep, {"a": [{"a": [[{"a": [[{"a": 4}]]}]]}]}), ({"a": [deep, deep]}, {"a": [{"x": 1}, deep]})]
+    df = spark.createDataFrame([(k, json.dumps(b), json.dumps(s)) for k, (b, s) in enumerate(pairs)], "k int, big string, small string")
+    by_levels, seen = json_sets._by_levels, []
+    monkeypatch.setattr(json_sets, "_by_levels", lambda rows: seen.append(sorted(x.key for x in rows.select("key").collect())) or by_levels(rows))
+    found = lambda rows: {x.k: x.contained for x in json_sets.contained(rows, "k", "big", "small").collect()}
+    want = {k: holds(b, s) for k, (b, s) in enumerate(pairs)}
+    assert found(df) == want and {60, 61} <= set(seen[0])
+    monkeypatch.setattr(json_sets, "DEPTH", 1)
+    assert found(df) == want and len(seen[1]) > len(seen[0])
+    shallow = df.where("k < 60 and length(big) < 30")
+    monkeypatch.setattr(json_sets, "DEPTH", 4)
+    assert found(shallow) == {x.k: want[x.k] for x in shallow.collect()} and len(seen) == 2
