@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,12 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """written(df), and the number of its rows, by one job."""
+    rows = Observation()
+    return written(df.observe(rows, F.count(F.lit(1)).alias("n"))), rows.get["n"]
+
+
 #: Bytes of an Arrow batch, about, where the session says nothing: Spark's own 64 MB are held several times over by JVM and Python.
 BATCH_BYTES = "4MB"
 
@@ -55,9 +61,12 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is in ids, or is not with how="left_anti". The ids are broadcast if there are
     at most broadcast_rows of them (16 MB); beyond that both sides are shuffled on the key."""
-    ids = written(ids.select(key).distinct())
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
+    return among(df, *counted(ids.select(key).distinct()), key, broadcast_rows, how)
+
+
+def among(df: DataFrame, ids: DataFrame, n: int, key: str, broadcast_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
+    """only_ids where the n different ids are a written table of that one column."""
+    return df.join(F.broadcast(ids) if n <= broadcast_rows else ids.hint("merge"), key, how)
 
 
 # ---- hashes of words and of word shingles, over whole Arrow columns ----------------------------
@@ -249,26 +258,79 @@ def row_sets(hashes: np.ndarray, of: np.ndarray, rows: int) -> tuple[np.ndarray,
     return hashes, np.searchsorted(of, np.arange(rows + 1))
 
 
+#: Edges that a task brings together at once: those that a batch of BATCH_BYTES holds.
+TREE_EDGES = 1 << 18
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vertex of the edges (u, v), and the smallest that they reach from it."""
+    names, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = codes[: len(u)], codes[len(u) :]
+    least = np.arange(len(names))
+    while len(a):
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(least, up := least[least]):
+            least = up
+        a, b = least[a], least[b]
+        a, b = a[a != b], b[a != b]
+    return names, names[least]
+
+
+def _trees(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) between the same vertices and components: of each partition, or TREE_EDGES of one at a time, those from every vertex to
+    the smallest that they reach, itself included."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return least_reached(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held, strict=True) if held else ((), ()))))
+
+        def batch_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            held.append((batch["u"].to_numpy(), batch["v"].to_numpy()))
+            rows += batch.num_rows
+            if rows >= TREE_EDGES:
+                held = [joined()]
+                rows = len(held[0][0])
+                if rows > TREE_EDGES // 2:
+                    yield batch_of(*held[0])
+                    held, rows = [], 0
+        yield batch_of(*joined())
+
+    return map_arrow(edges, grow, "u long, v long")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps, every round written to
-    the shared folder: (vertex, label), where label is the smallest vertex that links reach."""
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    if now.isEmpty():
-        return now.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
-    last = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: neighbours above u link to the smallest neighbour of u, or to u
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its neighbours below link to the smallest of those
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = written(small)
-        sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if sums == last:
+    """Connected components: (vertex, label), where label is the smallest vertex that links reach. Every round is written to the shared folder.
+
+    Every task grows the trees of the edges that it reads. These are edges again, and as few; once they are no more than one task
+    brings together at once, it does, and until then a large-star and a small-star step bring edges of different tasks together.
+    """
+    now, n = counted(_trees(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")))
+    while n > TREE_EDGES:
+        each = now.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("high"))
+        vertices, loose = each.agg(F.count("*"), F.count_if(F.expr("v <> high"))).first()
+        if not loose:
+            now = now if n == vertices else written(each)
             break
-        last = sums
-    label = now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "vertex")
-    return label.unionByName(label.select(F.col("label").alias("vertex"), "label").distinct())
+        now, n = counted(_trees(_stepped(now)))
+    else:
+        now = written(_trees(now.coalesce(1)))
+    return now.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
+
+
+def _stepped(now: DataFrame) -> DataFrame:
+    """The edges after a large-star and a small-star step."""
+    both = now.where("u <> v")
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # large star: neighbours above u link to the smallest neighbour of u, or to u
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # small star: u and its neighbours below link to the smallest of those
+    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    return down.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

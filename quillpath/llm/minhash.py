@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import ASCII_SPACE, map_arrow, mixed, only_ids, written
+from quillpath.llm.common import ASCII_SPACE, among, counted, map_arrow, mixed, written
 from quillpath.llm.decontam import sets_of
-from quillpath.llm.ngram_join import _joined, _linked, _near, _sketches, classed, close, oracle, set_ids, whole_sets
+from quillpath.llm.ngram_join import BROADCAST_KEYS, _linked, _near, _sketches, classed, close, oracle, set_ids, whole_sets
 
 #: Coordinates of a signature, and the chance with which a pair just at the threshold may collide too seldom.
 COORDINATES, MISS = 80, 1e-9
-#: Rounds in which sets are held against some of each list's largest component before what is left is tried whole.
-ROUNDS = 1
 _RNG = np.random.Generator(np.random.PCG64(80_1997))
 _ORDERS = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _NAMES = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -85,21 +83,13 @@ def posted(signatures: DataFrame, matches: int) -> DataFrame:
     return enough.select("sid", "size", "score", F.explode(F.transform(prefix, lambda x: x["key"])).alias("key"))
 
 
-def colliding(pairs: DataFrame, signatures: DataFrame, matches: int) -> DataFrame:
-    """The pairs (u, v) that collide in `matches` lists or more."""
-    pairs = written(pairs)
-    u = _joined(signatures.select(F.col("sid").alias("u"), F.col("lists").alias("a")), pairs, "u")
-    both = u.join(only_ids(signatures.select(F.col("sid").alias("v"), F.col("lists").alias("b")), pairs, "v"), "v")
-    return both.where(F.size(F.array_intersect("a", "b")) >= matches).select("u", "v")
-
-
 def near_duplicates(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id, component_size, kept: classes of documents that links of at least
     `threshold` Jaccard similarity of their distinct shingles of `width` words connect.
 
     Words are runs of anything but ASCII white space, with A-Z folded. A document of fewer words than
     width has one shingle of all; null and empty texts have none and are alone. Equal sets are one
-    vertex. Within a posting list sets are first held against one of it, then against some of its largest component, then across
+    vertex. Within a posting list sets are first held against one of it, then across
     the components that are left (as in the n-gram join), so a group of near copies never gives all its pairs. A link is missed with a chance under MISS.
     kept is whether doc_id is component_id, and so true of every repeated row of that doc_id. Rows without doc_id link as others do; a component's id is the
     smallest doc_id that is there; where there is none it is null, and such rows are kept. An empty table gives no rows; other columns are left out.
@@ -110,16 +100,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: Fraction =
     signed = rows.select("doc_id", "n_shingles", "sid")
     signatures = written(rows.where("lists is not null").select("sid", F.col("n_shingles").cast("int").alias("size"), "lists").dropDuplicates(["sid"]))
     posts = written(posted(signatures, matches))
-    keys = written(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    shared = written(posts.join(keys, "key", "left_semi").withColumn("own", F.lit(True)))
-    vertices = shared.select("sid").distinct()
-    few = written(only_ids(signatures, vertices, "sid"))
-    sets = whole_sets(docs, signed, vertices, width)
+    keys = counted(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    shared = written(among(posts, *keys, "key", BROADCAST_KEYS).withColumn("own", F.lit(True)))
+    sets = whole_sets(docs, signed, shared.select("sid").distinct(), width)
     score = shared.groupBy("sid").agg(F.max("score").alias("score"))
-    # where many meet, a bound by parities of whole sets comes before collisions are counted
-    sketches = written(_sketches(sets))
-    linked = lambda pairs: _linked(colliding(_near(pairs, sketches, threshold), few, matches), sets, threshold)
-    found = classed(signed, shared.select("key", "sid", "size", "own"), score, linked, sketches.select("sid", "sketch"), close(threshold), threshold, ROUNDS)
+    # a bound by parities of whole sets, collisions in whole signatures, whole sets
+    sketches = written(_sketches(sets, signature))
+    linked = lambda pairs: _linked(_near(pairs, sketches, threshold, matches), sets, threshold)
+    found = classed(signed, shared.select("key", "sid", "size", "own"), score, linked, sketches.select("sid", "sketch"), close(threshold), threshold)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import ASCII_SPACE, components, map_arrow, mixed, only_ids, written
+from quillpath.llm.common import ASCII_SPACE, among, components, counted, map_arrow, mixed, only_ids, written
 from quillpath.llm.decontam import sets_of
 
 #: Pieces beyond the largest difference, at least. Linked sets agree on as many as there are beyond it: a set that
@@ -29,10 +29,10 @@ SPARE = 8
 FEW, BLOCK = 48, 2048
 #: Pairs to verify that may be broadcast (16 bytes each), so that the first sets of the pairs are moved once.
 BROADCAST_PAIRS = 1_000_000
-#: Sets that one outside of its buckets' largest components is held against in a round.
-TRIES = 8
+#: Keys of buckets that are broadcast (8 bytes each).
+BROADCAST_KEYS = 100_000
 #: By how much more pairs of a large bucket are tried in each round.
-FORESTS = 8
+FORESTS = 64
 #: Bits of a whole sketch that is compared in blocks.
 BITS = 2048
 #: Sets of one key in a batch from which on most of them are dealt into PARTS parts.
@@ -155,26 +155,29 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
     return map_arrow(documents.select("text"), rows, "sid long, shingles array<long>")
 
 
-def _joined(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Rows of something kept by the first set of a pair, with their pairs: few pairs are broadcast, else both sides are shuffled."""
-    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    return rows.join(F.broadcast(pairs) if few else pairs.hint("merge"), key)
+def _both(rows: DataFrame, pairs: DataFrame, n: int, left: dict[str, str], right: dict[str, str]) -> DataFrame:
+    """The n pairs (u, v), as written, with the columns `left` of rows (by sid) for u and `right` for v, under new names. Few pairs are broadcast, so
+    that only what they name is moved; else rows are shuffled."""
+    hinted = F.broadcast if n <= BROADCAST_PAIRS else lambda df: df.hint("merge")
+    u = rows.select(F.col("sid").alias("u"), *(F.col(c).alias(new) for c, new in left.items())).join(hinted(pairs), "u")
+    v = rows.select(F.col("sid").alias("v"), *(F.col(c).alias(new) for c, new in right.items())).join(hinted(pairs.select("v")), "v", "left_semi")
+    return u.join(v, "v")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (u, v) that reach the threshold, by their whole sets."""
-    pairs = written(pairs)
-    a = _joined(sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a")), pairs, "u")
-    b = only_ids(sets.select(F.col("sid").alias("v"), F.col("shingles").alias("b")), pairs, "v")
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> tuple[DataFrame, int]:
+    """The pairs (u, v) that reach the threshold, by their whole sets, written, and their number."""
+    pairs, n = counted(pairs)
+    if not n:
+        return pairs, 0
     both = F.size(F.array_intersect("a", "b"))
-    met = a.join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("either"))
-    return met.where(F.col("both").cast("long") * threshold.denominator >= F.col("either").cast("long") * threshold.numerator).select("u", "v")
+    met = _both(sets, pairs, n, {"shingles": "a"}, {"shingles": "b"}).select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("either"))
+    return counted(met.where(F.col("both").cast("long") * threshold.denominator >= F.col("either").cast("long") * threshold.numerator).select("u", "v"))
 
 
 def _open(rows: DataFrame, by: str) -> DataFrame:
     """Rows of the buckets that have rows of several values of `by`, one of them in its own band."""
     keys = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.max("own").alias("owned")).where("low <> high and owned")
-    return rows.join(written(keys.select("key")), "key", "left_semi")
+    return among(rows, *counted(keys.select("key")), "key", BROADCAST_KEYS)
 
 
 def _agreeing(rows: DataFrame) -> DataFrame:
@@ -194,23 +197,27 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """sid, size, fine, sketch: each shingle flips one bit of fine, which has the power of two of bits from
+def _sketches(sets: DataFrame, signature: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """sid, size, fine, sketch, and lists, the signature's numbers where one is given: each shingle flips one bit of fine, which has the power of two of bits from
     the set's size on, BITS at least and 2**24 at most, so that large sets tell apart too; sketch is folded to BITS."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine, out, sizes = [], [], []
+            fine, out, sizes, lists = [], [], [], []
             for shingles in batch["shingles"]:
-                hashes = mixed(shingles.values.to_numpy().view(np.uint64)) >> np.uint64(40)
+                whole = shingles.values.to_numpy().view(np.uint64)
+                if signature:
+                    lists.append(signature(whole, np.array([0, len(whole)]))[0].view(np.int64))
+                hashes = mixed(whole) >> np.uint64(40)
                 bits = min(2**24, max(BITS, 1 << (len(hashes) - 1).bit_length()))
                 packed = np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
                 fine.append(packed.tobytes())
                 out.append(_folded(packed, BITS // 64).tobytes())
                 sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sizes, pa.int32()), pa.array(fine, pa.binary()), pa.array(out, pa.binary())], ["sid", "size", "fine", "sketch"])
+            columns = [batch["sid"], pa.array(sizes, pa.int32()), pa.array(fine, pa.binary()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, pa.list_(pa.int64()))] if signature else columns, ["sid", "size", "fine", "sketch", "lists"][: 4 + bool(signature)])
 
-    return map_arrow(sets.select("sid", "shingles"), rows, "sid long, size int, fine binary, sketch binary")
+    return map_arrow(sets.select("sid", "shingles"), rows, "sid long, size int, fine binary, sketch binary" + ", lists array<long>" * bool(signature))
 
 
 def close(threshold: Fraction) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
@@ -220,9 +227,12 @@ def close(threshold: Fraction) -> Callable[[np.ndarray, np.ndarray, np.ndarray],
     return lambda x, y, total: np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * den <= total * num
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (u, v) whose fine sketches are no further apart than the largest difference of linked sets of their sizes."""
-    pairs = written(pairs)
+def _near(pairs: DataFrame, sketches: DataFrame, threshold: Fraction, matches: int = 0) -> DataFrame:
+    """The pairs (u, v) whose fine sketches are no further apart than the largest difference of linked sets of their sizes, and which collide in
+    `matches` of their lists or more where that is not 0."""
+    pairs, n_pairs = counted(pairs)
+    if not n_pairs:
+        return pairs
     num, den = (1 - threshold).numerator * (1 + threshold).denominator, (1 - threshold).denominator * (1 + threshold).numerator
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +243,12 @@ def _near(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFra
                 words = min(len(x), len(y))
                 apart = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64))
                 keep.append(apart * den <= n * num)
+            if matches:
+                keep = [k and np.count_nonzero(a.values.to_numpy() == b.values.to_numpy()) >= matches for k, a, b in zip(keep, batch["a"], batch["b"], strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    x = _joined(sketches.select(F.col("sid").alias("u"), F.col("size").alias("n"), F.col("fine").alias("x")), pairs, "u")
-    y = sketches.select(F.col("sid").alias("v"), F.col("size").alias("m"), F.col("fine").alias("y"))
-    return map_arrow(x.join(y, "v").select("u", "v", (F.col("n").cast("long") + F.col("m")).alias("total"), "x", "y"), near, "u long, v long")
+    met = _both(sketches, pairs, n_pairs, {"size": "n", "fine": "x"} | ({"lists": "a"} if matches else {}), {"size": "m", "fine": "y"} | ({"lists": "b"} if matches else {}))
+    return map_arrow(met.select("u", "v", (F.col("n").cast("long") + F.col("m")).alias("total"), "x", "y", *(["a", "b"] if matches else [])), near, "u long, v long")
 
 
 def _few_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
@@ -302,6 +313,10 @@ def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near:
                 x, y = np.nonzero(fit)
                 hit = near(sketch[i[x]], sketch[b[y]], total[x, y])
                 x, y = x[hit], b[y[hit]]
+                # the nearest first, as they are the likeliest to be linked
+                apart = np.bitwise_count(sketch[i[x]] ^ sketch[y]).sum(axis=1, dtype=np.int64) / (size[i[x]].astype(np.int64) + size[y])
+                order = np.lexsort((apart, x))
+                x, y = x[order], y[order]
                 yield from zip(i.tolist(), np.split(y, np.searchsorted(x, np.arange(1, len(i)))), strict=True)
 
         if forests is None:
@@ -334,11 +349,12 @@ def _prepared(documents: DataFrame, width: int, threshold: Fraction) -> tuple[Da
 
 
 def whole_sets(docs: DataFrame, signed: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
-    """sid, shingles of the sets named in vertices, made again from the document with each set's smallest doc_id;
+    """sid, shingles of the sets named in vertices, which are different sids, made again from the document with each set's smallest doc_id;
     sets that only rows without doc_id have come from those rows."""
-    chosen = signed.join(vertices, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    vertices, n = counted(vertices)
+    chosen = among(signed, vertices, n, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     texts = only_ids(docs, chosen, "doc_id").select("text").unionByName(docs.where("doc_id is null").select("text"))
-    return written(only_ids(_sets(texts, width), vertices, "sid").dropDuplicates(["sid"]))
+    return written(among(_sets(texts, width), vertices, n, "sid").dropDuplicates(["sid"]))
 
 
 def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -358,30 +374,23 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     return classed(signed, shared, score, lambda pairs: _linked(_near(pairs, sketches, threshold), sets, threshold), sketches.select("sid", "sketch"), close(threshold), threshold)
 
 
-def _left(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of the buckets in which sets of several components meet, with their label."""
-    labels = written(components(links, "u", "v"))
+def _left(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of the buckets in which sets of several components meet, with their label, written, and their number."""
     now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    return written(_open(written(now), "label"))
+    return counted(_open(written(now), "label"))
 
 
-def _strays(now: DataFrame, threshold: Fraction, number: int) -> DataFrame:
-    """Pairs (u, v) of sets outside of their bucket's largest component with a set of it, others in every round and up to TRIES for each."""
-    by_label = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.xxhash64("sid", "key", F.lit(number))).alias("one"))
-    main = by_label.groupBy("key").agg(F.max_by(F.struct(F.col("label").alias("main"), "one"), F.struct("n", "label")).alias("of")).select("key", "of.main", "of.one.*")
-    met = now.join(written(main), "key").where("label <> main").where(_near_sizes(threshold, "size", "other"))
-    pairs = met.groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), F.xxhash64("u", "v")))
-    return pairs.withColumn("place", place).where(F.col("place") <= TRIES).select("u", "v")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (vertex, label) that hold after more links (u, v)."""
+    return components(labels.select(F.col("vertex").alias("u"), F.col("label").alias("v")).unionByName(links), "u", "v")
 
 
-def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], threshold: Fraction, rounds: int = 0) -> DataFrame:
+def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Callable[[DataFrame], tuple[DataFrame, int]], sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], threshold: Fraction) -> DataFrame:
     """doc_id, n_shingles, component_id, component_size from the rows (doc_id, n_shingles, sid), the buckets
     (key, sid, size, own) in which linked sets meet, a score (sid, score) of how much each set agrees with others, linked, which gives
-    those of the pairs (u, v) that reach the threshold, and sketches that near compares in large buckets.
+    those of the pairs (u, v) that reach the threshold, written, and their number, and sketches that near compares in large buckets.
 
-    Each set is held against the one that it meets most often as the best of its buckets; in each further round those that are
-    still outside of the largest component of a bucket are held against some sets of it; and then pairs across the components
+    Each set is held against the one that it meets most often as the best of its buckets; then pairs across the components
     that are left in a bucket are tried. In large buckets these are at first as many as connect its components once; where there are
     more and not all components became one, FORESTS times as many, and so on until a bucket has no others. No pair that would connect components is left out.
     """
@@ -389,27 +398,22 @@ def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Call
     met = shared.join(written(best.select("key", "b.*")), "key").where("sid <> v")
     stars = met.where(_near_sizes(threshold, "size", "other")).groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
     stars = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    links = written(linked(stars.select("u", "v")))
-    now = _left(shared, links)
-    for k in range(rounds):
-        more = written(linked(_strays(now, threshold, k)))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        now = _left(shared, links)
-    now = now.join(written(now.groupBy("key").agg(F.count("*").alias("rows"))), "key")
-    tried, many, forests = _few_pairs(now.where(F.col("rows") <= FEW), threshold), now.where(F.col("rows") > FEW), 1
-    while True:
-        pairs = written(_many_pairs(many, sketches, threshold, near, forests))
-        links = links.unionByName(written(linked(tried.unionByName(pairs.select("u", "v")).distinct())))
-        again = pairs.where("more").select("key").distinct()
-        if again.isEmpty():
-            break
-        many = _left(shared.join(written(again), "key", "left_semi"), links)
-        if many.isEmpty():
-            break
-        tried, forests = tried.limit(0), forests * FORESTS
-    labels = written(components(links, "u", "v"))
+    links, _ = linked(stars.select("u", "v"))
+    labels = components(links, "u", "v")
+    now, rows = _left(shared, labels)
+    if rows:
+        sizes = written(now.groupBy("key").agg(F.count("*").alias("rows")))
+        now, large, forests = now.join(sizes, "key"), not sizes.where(F.col("rows") > FEW).isEmpty(), 1
+        tried, many = _few_pairs(now.where(F.col("rows") <= FEW), threshold), now.where(F.col("rows") > FEW)
+        while large:
+            pairs = written(_many_pairs(many, sketches, threshold, near, forests))
+            found = pairs.select("u", "v")
+            labels = _merged(labels, linked((found if tried is None else tried.unionByName(found)).distinct())[0])
+            again, n = counted(pairs.where("more").select("key").distinct())
+            many, rows = _left(shared.join(again, "key", "left_semi"), labels) if n else (many, 0)
+            tried, forests, large = None, forests * FORESTS, rows > 0
+        if tried is not None:
+            labels = _merged(labels, linked(tried)[0])
 
     classed = signed.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     some = classed.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))
@@ -424,7 +428,7 @@ def _class_links(documents: DataFrame, width: int, threshold: Fraction) -> tuple
     sizes = shared.groupBy("key").agg(F.count("*").alias("rows"))
     now = shared.withColumn("label", F.col("sid")).join(written(sizes), "key")
     tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold, close(threshold)).select("u", "v"))
-    return signed, written(_linked(_near(tried.distinct(), sketches, threshold), sets, threshold))
+    return signed, _linked(_near(tried.distinct(), sketches, threshold), sets, threshold)[0]
 
 
 def _classes(signed: DataFrame) -> DataFrame:
