@@ -203,19 +203,19 @@ def _sketches(sets: DataFrame, signature: Callable[[np.ndarray, np.ndarray], np.
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine, out, sizes, lists = [], [], [], []
+            fine, out, sizes = [], [], []
             for shingles in batch["shingles"]:
-                whole = shingles.values.to_numpy().view(np.uint64)
-                if signature:
-                    lists.append(signature(whole, np.array([0, len(whole)]))[0].view(np.int64))
-                hashes = mixed(whole) >> np.uint64(40)
+                hashes = mixed(shingles.values.to_numpy().view(np.uint64)) >> np.uint64(40)
                 bits = min(2**24, max(BITS, 1 << (len(hashes) - 1).bit_length()))
                 packed = np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
                 fine.append(packed.tobytes())
                 out.append(_folded(packed, BITS // 64).tobytes())
                 sizes.append(len(hashes))
             columns = [batch["sid"], pa.array(sizes, pa.int32()), pa.array(fine, pa.binary()), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, pa.list_(pa.int64()))] if signature else columns, ["sid", "size", "fine", "sketch", "lists"][: 4 + bool(signature)])
+            if signature:
+                lists = signature(batch["shingles"].flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * lists.shape[1]), pa.array(lists.ravel().view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "size", "fine", "sketch", "lists"][: len(columns)])
 
     return map_arrow(sets.select("sid", "shingles"), rows, "sid long, size int, fine binary, sketch binary" + ", lists array<long>" * bool(signature))
 
