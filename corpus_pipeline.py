@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from quillpath.llm import decontam, ngram_join, packing, pii, quality
-from quillpath.llm.common import only_ids, written
+from quillpath.llm.common import among, counted, only_ids, written
 from quillpath.llm.queries import table, tokenizer
 
 
@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of documents linked by a Jaccard similarity of 0.8 or more of their shingles of
     five words, the one with the smallest doc_id. Rows that share a doc_id stay or go together."""
     classes = ngram_join.similar(docs, 5, Fraction(4, 5))
-    return only_ids(docs, classes.where("doc_id <> component_id"), "doc_id", how="left_anti").select(*docs.columns)
+    return among(docs, *counted(classes.where("doc_id <> component_id").select("doc_id")), "doc_id", how="left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,12 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """written(df), and the number of its rows, by one job."""
+def counted(df: DataFrame, *where: Column) -> tuple:
+    """written(df), the number of its rows, and of those for which each of the conditions holds, by one job."""
     rows = Observation()
-    return written(df.observe(rows, F.count(F.lit(1)).alias("n"))), rows.get["n"]
+    each = [F.count(F.lit(1)), *(F.count(F.when(c, 1)) for c in where)]
+    out = written(df.observe(rows, *(n.alias(f"n{k}") for k, n in enumerate(each))))
+    return out, *(rows.get[f"n{k}"] for k in range(len(each)))
 
 
 #: Bytes of an Arrow batch, about, where the session says nothing: Spark's own 64 MB are held several times over by JVM and Python.
@@ -65,7 +67,7 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_00
 
 
 def among(df: DataFrame, ids: DataFrame, n: int, key: str, broadcast_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
-    """only_ids where the n different ids are a written table of that one column."""
+    """only_ids where the n ids are a written table; how="inner" adds its other columns."""
     return df.join(F.broadcast(ids) if n <= broadcast_rows else ids.hint("merge"), key, how)
 
 

@@ -103,11 +103,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, threshold: Fraction =
     keys = counted(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     shared = written(among(posts, *keys, "key", BROADCAST_KEYS).withColumn("own", F.lit(True)))
     sets = whole_sets(docs, signed, shared.select("sid").distinct(), width)
-    score = shared.groupBy("sid").agg(F.max("score").alias("score"))
     # a bound by parities of whole sets, collisions in whole signatures, whole sets
     sketches = written(_sketches(sets, signature))
     linked = lambda pairs: _linked(_near(pairs, sketches, threshold, matches), sets, threshold)
-    found = classed(signed, shared.select("key", "sid", "size", "own"), score, linked, sketches.select("sid", "sketch"), close(threshold), threshold)
+    found = classed(signed, shared, linked, linked, sketches.select("sid", "sketch"), close(threshold), threshold)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

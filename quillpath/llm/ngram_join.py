@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpath.llm.common import ASCII_SPACE, among, components, counted, map_arrow, mixed, only_ids, written
+from quillpath.llm.common import ASCII_SPACE, among, components, counted, map_arrow, mixed, written
 from quillpath.llm.decontam import sets_of
 
 #: Pieces beyond the largest difference, at least. Linked sets agree on as many as there are beyond it: a set that
@@ -175,15 +175,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> tuple[Dat
 
 
 def _open(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of the buckets that have rows of several values of `by`, one of them in its own band."""
-    keys = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.max("own").alias("owned")).where("low <> high and owned")
-    return among(rows, *counted(keys.select("key")), "key", BROADCAST_KEYS)
+    """Rows of the buckets that have rows of several values of `by`, one of them in its own band, and rows, the number of those in the bucket."""
+    keys = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.max("own").alias("owned"), F.count("*").alias("rows")).where("low <> high and owned")
+    return among(rows, *counted(keys.select("key", "rows")), "key", BROADCAST_KEYS, "inner")
 
 
 def _agreeing(rows: DataFrame) -> DataFrame:
-    """Rows of the sets that agree with others on as many pieces of a band as they need to be linked."""
-    enough = rows.groupBy("sid", "own").agg(F.count("*").alias("n"), F.max("need").alias("least")).where("n >= least")
-    return rows.join(enough.select("sid", "own"), ["sid", "own"], "left_semi")
+    """Rows of the sets that agree with others on as many pieces of a band as they need to be linked. A set has no more rows than shingles."""
+    of = Window.partitionBy("sid", "own")
+    return rows.withColumns({"n": F.count("*").over(of), "least": F.max("need").over(of)}).where("n >= least").drop("n", "least")
 
 
 def _near_sizes(threshold: Fraction, a: str, b: str) -> F.Column:
@@ -341,7 +341,7 @@ def _prepared(documents: DataFrame, width: int, threshold: Fraction) -> tuple[Da
         .where("(part > 0 or (low <> high and owned)) and not again")
         .select("key", "sid", "size", "need", "own")
     )
-    shared = written(_open(_agreeing(written(shared)), "sid"))
+    shared = written(_open(_agreeing(written(shared)), "sid").drop("rows"))
     shared = written(_agreeing(shared))
     vertices = shared.select("sid").distinct()
     sets = whole_sets(docs, signed, vertices, width)
@@ -353,7 +353,7 @@ def whole_sets(docs: DataFrame, signed: DataFrame, vertices: DataFrame, width: i
     sets that only rows without doc_id have come from those rows."""
     vertices, n = counted(vertices)
     chosen = among(signed, vertices, n, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    texts = only_ids(docs, chosen, "doc_id").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    texts = among(docs, *counted(chosen.select("doc_id")), "doc_id").select("text").unionByName(docs.where("doc_id is null").select("text"))
     return written(among(_sets(texts, width), vertices, n, "sid").dropDuplicates(["sid"]))
 
 
@@ -370,14 +370,16 @@ def similar(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction
     """
     signed, shared, sets, sketches = _prepared(documents, width, threshold)
 
-    score = shared.groupBy("sid").agg((F.count("*") / F.max("size")).alias("score"))
-    return classed(signed, shared, score, lambda pairs: _linked(_near(pairs, sketches, threshold), sets, threshold), sketches.select("sid", "sketch"), close(threshold), threshold)
+    scored = shared.withColumn("score", F.count("*").over(Window.partitionBy("sid")) / F.col("size"))
+    verified = lambda pairs: _linked(pairs, sets, threshold)
+    return classed(signed, scored, verified, lambda pairs: verified(_near(pairs, sketches, threshold)), sketches.select("sid", "sketch"), close(threshold), threshold)
 
 
-def _left(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of the buckets in which sets of several components meet, with their label, written, and their number."""
+def _left(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows of the buckets in which sets of several components meet, with their label and the rows of their bucket, written, their number, and
+    that of rows in large buckets."""
     now = shared.join(labels.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    return counted(_open(written(now), "label"))
+    return counted(_open(written(now), "label"), F.col("rows") > FEW)
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -385,32 +387,32 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels.select(F.col("vertex").alias("u"), F.col("label").alias("v")).unionByName(links), "u", "v")
 
 
-def classed(signed: DataFrame, shared: DataFrame, score: DataFrame, linked: Callable[[DataFrame], tuple[DataFrame, int]], sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], threshold: Fraction) -> DataFrame:
+def classed(signed: DataFrame, scored: DataFrame, verified: Callable[[DataFrame], tuple[DataFrame, int]], linked: Callable[[DataFrame], tuple[DataFrame, int]], sketches: DataFrame, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], threshold: Fraction) -> DataFrame:
     """doc_id, n_shingles, component_id, component_size from the rows (doc_id, n_shingles, sid), the buckets
-    (key, sid, size, own) in which linked sets meet, a score (sid, score) of how much each set agrees with others, linked, which gives
-    those of the pairs (u, v) that reach the threshold, written, and their number, and sketches that near compares in large buckets.
+    (key, sid, size, own, score) in which linked sets meet, with a score of how much each set agrees with others, verified and linked, which give
+    those of the pairs (u, v) that reach the threshold, written, and their number, where most do and where few do, and sketches that near compares in large buckets.
 
     Each set is held against the one that it meets most often as the best of its buckets; then pairs across the components
     that are left in a bucket are tried. In large buckets these are at first as many as connect its components once; where there are
     more and not all components became one, FORESTS times as many, and so on until a bucket has no others. No pair that would connect components is left out.
     """
-    best = shared.join(score, "sid").groupBy("key").agg(F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.struct("score", -F.col("sid"))).alias("b"))
+    shared = scored.select("key", "sid", "size", "own")
+    best = scored.groupBy("key").agg(F.max_by(F.struct(F.col("sid").alias("v"), F.col("size").alias("other")), F.struct("score", -F.col("sid"))).alias("b"))
     met = shared.join(written(best.select("key", "b.*")), "key").where("sid <> v")
     stars = met.where(_near_sizes(threshold, "size", "other")).groupBy(F.col("sid").alias("u"), "v").agg(F.count("*").alias("n"))
     stars = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    links, _ = linked(stars.select("u", "v"))
+    links, _ = verified(stars.select("u", "v"))
     labels = components(links, "u", "v")
-    now, rows = _left(shared, labels)
+    now, rows, crowded = _left(shared, labels)
     if rows:
-        sizes = written(now.groupBy("key").agg(F.count("*").alias("rows")))
-        now, large, forests = now.join(sizes, "key"), not sizes.where(F.col("rows") > FEW).isEmpty(), 1
+        large, forests = crowded > 0, 1
         tried, many = _few_pairs(now.where(F.col("rows") <= FEW), threshold), now.where(F.col("rows") > FEW)
         while large:
             pairs = written(_many_pairs(many, sketches, threshold, near, forests))
             found = pairs.select("u", "v")
             labels = _merged(labels, linked((found if tried is None else tried.unionByName(found)).distinct())[0])
             again, n = counted(pairs.where("more").select("key").distinct())
-            many, rows = _left(shared.join(again, "key", "left_semi"), labels) if n else (many, 0)
+            many, rows, _ = _left(shared.join(again, "key", "left_semi"), labels) if n else (many, 0, 0)
             tried, forests, large = None, forests * FORESTS, rows > 0
         if tried is not None:
             labels = _merged(labels, linked(tried)[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,15 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(row: np.ndarray) -> bytes:
+    """A row of counts as half floats, deflated, as most are 0: the driver gets all labelled rows at once."""
+    return zlib.compress(row.astype(np.float16).tobytes(), 1)
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(row), np.float16)
+
+
 def _counted(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     data, offsets = utf8(column)
     for a, b in row_slices(offsets):
@@ -113,15 +123,20 @@ def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> di
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, counts in _counted(batch["text"]):
-                half = [row.astype(np.float16).tobytes() for row in counts]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(half)), batch["quality"].slice(a, len(half)), pa.array(half, pa.binary())], ["doc_id", "quality", "counts"])
+                small = [packed(row) for row in counts]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(small)), batch["quality"].slice(a, len(small)), pa.array(small, pa.binary())], ["doc_id", "quality", "counts"])
 
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = map_arrow(rows, count, "doc_id long, quality int, counts binary").toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return {"idf": np.zeros(FEATURES, np.float32), "axes": np.zeros((FEATURES, DIMENSIONS), np.float32), "labels": np.zeros(0, np.float32), "prior": np.float32(0.5), "vectors": np.zeros((0, DIMENSIONS), np.float32)}
-    counts = np.stack([np.frombuffer(r.as_buffer(), np.float16) for r in rows["counts"]])
-    return fit(counts, rows["quality"].to_numpy())
+    counts = np.empty((rows.num_rows, FEATURES), np.float16)
+    for row, r in zip(counts, rows["counts"], strict=True):
+        row[:] = unpacked(r.as_py())
+    known_labels = rows["quality"].to_numpy().copy()
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit(counts, known_labels)
 
 
 def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
