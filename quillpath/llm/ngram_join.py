@@ -284,19 +284,41 @@ def _forests(codes: np.ndarray, met: Iterator[tuple[int, np.ndarray]], forests:
     return np.concatenate([none, *u]), np.concatenate([none, *v]), bool(more)
 
 
-def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], forests: int | None = None) -> DataFrame:
+def _crowds(rows: DataFrame) -> DataFrame:
+    """key, sid, size, own, label of large buckets (key, sid, size, own, rows, label), as written, where buckets of much the same sets are one crowd:
+    near copies meet in most of their buckets, and in their crowd but once. All pairs of a bucket are pairs of its crowd.
+
+    A bucket follows the largest bucket of most of its sets. Those that follow the same one are a crowd if that has no more pairs than
+    they have together (its sets counted about), so that buckets which share few sets stay apart.
+    """
+    largest = F.max(F.struct("rows", "key")).over(Window.partitionBy("sid"))["key"]
+    led = rows.select("key", "rows", largest.alias("lead")).groupBy("key", "rows", "lead").agg(F.count("*").alias("n"))
+    follows = written(led.groupBy("key", "rows").agg(F.max_by("lead", F.struct("n", "lead")).alias("crowd")))
+    apart = follows.groupBy("crowd").agg(F.sum(F.col("rows") * F.col("rows")).alias("apart"))
+    together = rows.select("key", "sid").join(follows.select("key", "crowd"), "key").groupBy("crowd").agg(F.approx_count_distinct("sid").alias("n"))
+    fit = together.join(apart, "crowd").where("n * n <= apart").select("crowd", F.xxhash64("crowd").alias("home"))
+    homes = written(follows.join(fit, "crowd", "left").select("key", F.coalesce("home", "key").alias("home")))
+    return rows.join(homes, "key").groupBy(F.col("home").alias("key"), "sid").agg(*(F.max(c).alias(c) for c in ("size", "own", "label")))
+
+
+def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], forests: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (key, u, v, more) across components in large buckets whose sketches (sid, sketch) are near; with forests, of a group's pairs those that
     connect its components so many times over, and more is whether the group has others. near says so of rows of two arrays
     of 64-bit words and the sums of their sets' sizes. The sets outside of a bucket's largest component
     (strays) are dealt into blocks, all sets of the bucket into chunks, and each block meets each
-    chunk in one group, so that a group is bounded whatever the bucket's size, and few strays cost little."""
+    chunk in one group, so that a group is bounded whatever the bucket's size, and few strays cost little.
+
+    With one forest, a bucket of several blocks gives the pairs inside of its chunks only, which mostly connect what there is, so that few strays are left for
+    the pairs between chunks. Second, the keys of such buckets."""
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
     deals = by_label.select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("chunks"), F.greatest(F.ceil((F.col("all") - F.col("most")) / BLOCK), F.lit(1)).cast("int").alias("blocks"))
-    dealt = written(rows.select("key", "sid", "size", "own", "label").join(written(deals), "key")).join(sketches, "sid")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deals = written(deals.withColumn("inside", (F.col("blocks") > 1) & F.lit(forests == 1)))
+    dealt = written(rows.select("key", "sid", "size", "own", "label").join(deals, "key")).join(sketches, "sid")
+    place = lambda n, *seed: F.pmod(F.xxhash64("sid", *seed), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.when(F.col("inside"), F.array(place("chunks"))).otherwise(F.sequence(F.lit(0), F.col(n) - 1)))
     columns = ["key", "chunk", "block", "stray", "sid", "size", "own", "label", "sketch"]
-    every = dealt.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).withColumn("block", each("blocks")).withColumn("stray", F.lit(False))
-    strays = dealt.where("label <> main").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", each("chunks")).withColumn("stray", F.lit(True))
+    every = dealt.withColumn("chunk", place("chunks")).withColumn("block", each("blocks")).withColumn("stray", F.lit(False))
+    strays = dealt.where("label <> main").withColumn("block", F.when(F.col("inside"), place("chunks")).otherwise(place("blocks", F.lit(1)))).withColumn("chunk", each("chunks")).withColumn("stray", F.lit(True))
     t_num, t_den = threshold.numerator, threshold.denominator
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +348,8 @@ def _many_pairs(rows: DataFrame, sketches: DataFrame, threshold: Fraction, near:
             x, y, more = _forests(np.unique(label, return_inverse=True)[1], met(), forests)
         return pd.DataFrame({"key": np.full(len(x), g["key"].iloc[0]), "u": np.minimum(sid[x], sid[y]), "v": np.maximum(sid[x], sid[y]), "more": np.full(len(x), more)})
 
-    return every.select(*columns).unionByName(strays.select(*columns)).groupBy("key", "chunk", "block").applyInPandas(compare, "key long, u long, v long, more boolean")
+    met = every.select(*columns).unionByName(strays.select(*columns)).groupBy("key", "chunk", "block")
+    return met.applyInPandas(compare, "key long, u long, v long, more boolean"), deals.where("inside").select("key")
 
 
 def _prepared(documents: DataFrame, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -407,12 +430,15 @@ def classed(signed: DataFrame, scored: DataFrame, verified: Callable[[DataFrame]
     if rows:
         large, forests = crowded > 0, 1
         tried, many = _few_pairs(now.where(F.col("rows") <= FEW), threshold), now.where(F.col("rows") > FEW)
+        if large:
+            many = crowds = written(_crowds(many))
         while large:
-            pairs = written(_many_pairs(many, sketches, threshold, near, forests))
+            pairs, parts = _many_pairs(many, sketches, threshold, near, forests)
+            pairs = written(pairs)
             found = pairs.select("u", "v")
             labels = _merged(labels, linked((found if tried is None else tried.unionByName(found)).distinct())[0])
-            again, n = counted(pairs.where("more").select("key").distinct())
-            many, rows, _ = _left(shared.join(again, "key", "left_semi"), labels) if n else (many, 0, 0)
+            again, n = counted(pairs.where("more").select("key").unionByName(parts).distinct())
+            many, rows, _ = _left(crowds.drop("label").join(again, "key", "left_semi"), labels) if n else (many, 0, 0)
             tried, forests, large = None, forests * FORESTS, rows > 0
         if tried is not None:
             labels = _merged(labels, linked(tried)[0])
@@ -429,7 +455,8 @@ def _class_links(documents: DataFrame, width: int, threshold: Fraction) -> tuple
     signed, shared, sets, sketches = _prepared(documents, width, threshold)
     sizes = shared.groupBy("key").agg(F.count("*").alias("rows"))
     now = shared.withColumn("label", F.col("sid")).join(written(sizes), "key")
-    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(_many_pairs(now.where(F.col("rows") > FEW), sketches.select("sid", "sketch"), threshold, close(threshold)).select("u", "v"))
+    many, _ = _many_pairs(written(_crowds(written(now.where(F.col("rows") > FEW)))), sketches.select("sid", "sketch"), threshold, close(threshold))
+    tried = _few_pairs(now.where(F.col("rows") <= FEW), threshold).unionByName(many.select("u", "v"))
     return signed, _linked(_near(tried.distinct(), sketches, threshold), sets, threshold)[0]
 
 
