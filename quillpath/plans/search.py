@@ -100,45 +100,158 @@ def _edited(word: Column, deleted: int, replaced: int) -> Column:
     return now
 
 
-def near_pairs(left: DataFrame, right: DataFrame, column: str, most: int = 2) -> DataFrame:
-    """a, b, distance: different words of left and of right that are at most `most` edits apart, without case.
-
-    Deletions of d characters of a, of e of b, and replacements of r in the same places of what is left lead words within that distance to the same
-    string, with d + e + r up to most. All such strings are joined for equality by their hashes, by shuffles whatever their sizes look like, as a word
-    has about n**r / 2 of them; replaced characters must differ. So what meets is a pair: those without deletions once, the others, and of these only
-    words of one length that differ in more than most places, maybe in several strings. Only strings that a partner's length allows are made;
-    lengths of words come to the driver. There are as many rows as near pairs, which for names that end in running numbers are hundreds a word.
+def _spread(sides: list[DataFrame]) -> tuple[list[set[int]], dict[int, list[int]]]:
+    """The lengths of each side's words, and of each length the places, from 1, at which the words of all sides differ at all: what equal-length words replace lies there."""
+    sided = [df.select("w", F.lit(i).alias("side")) for i, df in enumerate(sides)]
+    words = sided[0] if len(sided) == 1 else sided[0].unionByName(sided[1])
+    chars = words.select("w", "side", F.length("w").alias("n"), F.explode(F.sequence(F.lit(0), F.length("w"))).alias("p"))
+    code = F.when(F.col("p") > 0, F.ascii(F.substring("w", F.col("p"), F.lit(1)))).otherwise(0)
+    lengths: list[set[int]] = [set() for _ in sides]
+    free: dict[int, list[int]] = {}
+    for n, at, first, last, differ in chars.groupBy("n", "p").agg(F.min("side"), F.max("side"), (F.min(code) != F.max(code))).orderBy("n", "p").collect():
+        lengths[first].add(n)
+        lengths[last].add(n)
+        if differ:
+            free.setdefault(n, []).append(at)
+    return lengths, free
+
+
+def _places(free: dict[int, list[int]]) -> Column:
+    """The free places of a word w, null without any."""
+    return F.expr("element_at(map(" + ",".join(f"{n},array({','.join(map(str, at))})" for n, at in free.items()) + "), length(w))")
+
+
+def _char(at: Column | str) -> Column:
+    return F.substring("w", F.col(at) if isinstance(at, str) else at, F.lit(1))
+
+
+def _without(*at: str) -> Column:
+    """w without the characters at ascending places."""
+    first, last = F.substring("w", F.lit(1), F.col(at[0]) - 1), F.substring("w", F.col(at[-1]) + 1, F.length("w"))
+    return F.concat(first, *(F.substring("w", F.col(p) + 1, F.col(q) - F.col(p) - 1) for p, q in zip(at, at[1:])), last)
+
+
+def _grouped(sides: list[DataFrame], parts: int) -> DataFrame:
+    """Rows of text, w and more by equal texts: for each side, arrays of the other columns, named by them and _a or _b. Of one side both names are its."""
+    rows = [df.withColumn("side", F.lit(i)) for i, df in enumerate(sides)]
+    rows = (rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])).withColumn("key", F.xxhash64("text")).repartition(parts, "key", "text")
+    rest = sides[0].columns[1:]
+    lists = [F.collect_list(F.when(F.col("side") == i, F.struct(*rest))).alias(f"l{i}") for i in range(len(sides))]
+    return rows.groupBy("key", "text").agg(*lists).select(*(F.col(f"l{min(i, len(sides) - 1)}.{c}").alias(f"{c}_{x}") for i, x in enumerate("ab") for c in rest))
+
+
+def _each_with_each(groups: DataFrame, code: str, hit: str, *more: str) -> DataFrame:
+    """a, b, x, y, and `more` by name and _a or _b: of the arrays of groups, elements that meet by their codes x and y. Only those that hit are looked up."""
+    columns = [f"{c}_{x}" for x in "ab" for c in ("w", *more)]
+    pairs = groups.select(*columns, f"{code}_b", F.posexplode(f"{code}_a").alias("i", "x"))
+    if hit == "x = y":
+        pairs = pairs.select(*columns, "i", "x", (F.array_position(f"{code}_b", F.col("x")) - 1).cast("int").alias("j"), F.col("x").alias("y")).where("j >= 0")
+    else:
+        pairs = pairs.select(*columns, "i", "x", F.posexplode(f"{code}_b").alias("j", "y")).where(hit)
+    return pairs.select("x", "y", *(F.get(f"{c}_{x}", F.col(k)).alias(x if c == "w" else f"{c}_{x}") for x, k in (("a", "i"), ("b", "j")) for c in ("w", *more)))
+
+
+def _open(words: DataFrame, free: dict[int, list[int]]) -> DataFrame:
+    """text, w, c: each word without the character at its last free place, and the character's code. Words of one text differ there only."""
+    rows = words.select("w", F.element_at(_places(free), -1).alias("p")).where("p is not null")
+    return rows.select(_without("p").alias("text"), "w", F.ascii(_char("p")).alias("c"))
+
+
+def _replaced(groups: DataFrame, side: str, free: dict[int, list[int]], r: int) -> DataFrame:
+    """key, text, w_, c_ with side, and c1_ to cr_: groups without the characters at every r free places before the last, and these characters' codes."""
+    at, lists = [f"p{i}" for i in range(1, r + 1)], [f"w_{side}", f"c_{side}"]
+    rows = groups.where(F.size(lists[0]) > 0).select(*lists, F.get(lists[0], F.lit(0)).alias("w")).withColumn("left", _places(free))
+    rows = rows.select(*lists, "w", F.element_at("left", -1).alias("last"), F.slice("left", F.lit(1), F.size("left") - 1).alias("left"))
+    for k in range(r):
+        rows = rows.select(*lists, "w", "last", *at[:k], "left", F.posexplode("left").alias("i", at[k]))
+        rows = rows.withColumn("left", F.slice("left", F.col("i") + 2, F.size("left")))
+    codes = (F.ascii(_char(p)).alias(f"c{i}_{side}") for i, p in enumerate(at, 1))
+    return rows.select(F.concat_ws(",", *at, _without(*at, "last")).alias("text"), *lists, *codes).select(F.xxhash64("text").alias("key"), "*")
+
+
+def _shortened(words: DataFrame, free: dict[int, list[int]]) -> DataFrame:
+    """text, w, first, twin, span: each word without one character of each of its runs of equal ones that begins or ends at a free place.
+
+    first is the run's first place; twin its last if the next but one has the same character, else 0; span holds the place where, of what is left, the next
+    characters end to be equal, and in its lower half the place before the run.
+    """
+    n, p = F.length("w"), F.col("p")
+    rows = words.select("w", _places(free).alias("free")).select("w", "free", F.explode("free").alias("p"))
+    ends, begins = (p == n) | (_char(p) != _char(p + 1)), (p == 1) | (_char(p) != _char(F.greatest(p - 1, F.lit(1))))
+    first = F.when(ends, F.length(F.rtrim(F.substring("w", F.lit(1), p), _char(p))) + 1).otherwise(p)
+    last = F.when(ends, p).otherwise(n - F.length(F.ltrim(F.substring("w", p, n), _char(p))))
+    rows = rows.select("w", "free", ends.alias("ends"), begins.alias("begins"), first.alias("first"), last.alias("last")).where("ends or begins and not array_contains(free, last)")
+    last = F.col("last")
+    level = F.when(last == n, F.lit(2**30)).otherwise(n - 1 - F.length(F.ltrim(F.substring("w", last + 1, n), _char(last + 1))))
+    span = F.shiftleft(level.cast("long"), 32) + F.col("first") - 1
+    return rows.select(_without("first").alias("text"), "w", "first", F.when(_char(last) == _char(last + 2), last).otherwise(0).alias("twin"), span.alias("span"))
+
+
+#: Which of two shortened words lost the earlier character, by their spans, so that more than two places differ.
+_EARLIER = "shiftright({0}, 32) < ({1} & 4294967295)"
+#: That this way of two words counts: it is their only one, or its first word the smaller.
+_ONLY = "({0} < {1} or twin_{0} = 0 or substring({0}, twin_{0}, first_{1} - twin_{0}) <> substring({1}, twin_{0} + 1, first_{1} - twin_{0}))"
+
+
+def near_pairs(left: DataFrame, right: DataFrame, column: str, most: int = 2, once: bool = False) -> DataFrame:
+    """a, b, distance: different words of left and of right that are at most `most` edits apart, without case; with once only those whose a is before b.
+
+    Words of one length that differ in r places meet by what is left of them without the characters there, all of which must differ, so what meets is a
+    pair, met once, and up to two places are its distance. Only places are taken at which the words of that length differ at all: names with running
+    numbers have few. Words that differ in the last of these places at most are one row, and meet those of another row all at once.
+    Words of one length that a deletion and an insertion make equal meet by what is left without one character, one for each run of equal ones. If a's
+    is before b's, the characters between them are shifted, and each change among these is a place where a and b differ; those that differ in two places
+    only were met before. Two words can meet so in two ways, if they alternate between two characters there; then the way counts whose first is the smaller.
+    In other cases deletions of d characters of a, of e of b, and replacements of r in the same places of what is left lead words within that distance to the
+    same string, with d + e + r up to most; only strings that a partner's length allows are made, and pairs are made single and compared.
+
+    All is joined for equality by shuffles whatever the sizes look like, as a word has about n**r / 2 such strings. Lengths of words and their free places
+    come to the driver. There are as many rows as near pairs, which for names that end in running numbers are hundreds or thousands a word.
     """
     # few words make many strings, and these many pairs, so a count of partitions is given, which adaptive execution does not lower by their size
     spark = left.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    words = [stored(df.where(F.col(column).isNotNull()).select(F.lower(column).alias(x)).distinct().repartition(parts, x)) for df, x in ((left, "a"), (right, "b"))]
-    lengths = [{r[0] for r in df.select(F.length(x)).distinct().collect()} for df, x in zip(words, "ab", strict=True)]
+    kept = [stored(df.where(F.col(column).isNotNull()).select(F.lower(column).alias("w")).distinct().repartition(parts, "w")) for df in ((left,) if left is right else (left, right))]
+    words = [kept[0].toDF("a"), kept[-1].toDF("b")]
+    lengths, free = _spread(kept)
 
     def given(side: int, name: str, d: int, e: int, r: int) -> DataFrame | None:
-        fits = sorted(n for n in lengths[side] if n - d >= r and n - d + e in lengths[1 - side])
+        fits = sorted(n for n in lengths[-side] if n - d >= r and n - d + e in lengths[side - 1])
         if not fits:
             return None
         rows = words[side].where(F.length(name).isin(fits)).select(name, F.explode(_edited(F.col(name), d, r)).alias("_e"))
         return rows.select(name, F.xxhash64("_e.key", "_e.places").alias("key"), F.col("_e.chars").alias(f"_{name}")).repartition(parts, "key")
 
-    once = again = words[0].select("a", F.col("a").alias("b")).limit(0)
+    far = F.levenshtein("a", "b", most)
+    none = words[0].select("a", F.col("a").alias("b")).limit(0)
+    out, again = none.withColumn("distance", F.lit(0)), none
+    if free and most:
+        met = groups = stored(_grouped([_open(df, free) for df in kept], parts))
+        for r in range(most + 1 if max(map(len, free.values())) > 1 else 1):
+            hit = "x < y" if once else "x <> y"
+            if r:
+                a, b = (_replaced(groups, x, free, r).repartition(parts, "key", "text") for x in "ab")
+                met = a.join(b.hint("merge"), ["key", "text"]).where(" and ".join(f"c{i}_a {'<' if once and i == 1 else '<>'} c{i}_b" for i in range(1, r + 1)))
+                hit = "x = y" if r == most else "true"
+            found = _each_with_each(met, "c", hit)
+            out = out.unionByName(found.select("a", "b", (F.when(F.col("x") == F.col("y"), r).otherwise(r + 1) if r + (r < most) < 3 else far).alias("distance")))
+    if free and most == 2:
+        found = _each_with_each(_grouped([_shortened(df, free) for df in kept], parts), "span", f"{_EARLIER.format('x', 'y')} or {_EARLIER.format('y', 'x')}", "first", "twin")
+        found = found.where("a < b" if once else "true").where(" or ".join(f"{_EARLIER.format(*xy)} and {_ONLY.format(*ab)}" for xy, ab in (("xy", "ab"), ("yx", "ba"))))
+        out = out.unionByName(found.select("a", "b", F.lit(2).alias("distance")))
     other = lambda i: F.substring("_a", i, 1) != F.substring("_b", i, 1)
     apart = F.size(F.filter(F.sequence(F.lit(1), F.length("a")), lambda i: F.substring(F.col("a"), i, F.lit(1)) != F.substring(F.col("b"), i, F.lit(1)))) > most
     for d in range(most + 1):
         for e in range(most + 1 - d):
-            for r in range(0 if d + e else 1, most + 1 - d - e):
+            for r in range(most + 1 - d - e) if d != e or d and most > 2 else ():
                 a, b = given(0, "a", d, e, r), given(1, "b", e, d, r)
                 if a is None or b is None:
                     continue
-                met = a.join(b.hint("merge"), "key").where("a <> b")
+                pairs = a.join(b.hint("merge"), "key").where("a < b" if once else "a <> b")
                 for i in range(1, r + 1):
-                    met = met.where(other(i))
-                if d + e == 0:
-                    once = once.unionByName(met.select("a", "b"))
-                else:
-                    again = again.unionByName((met.where(apart) if d == e else met).select("a", "b"))
-    return once.unionByName(again.distinct()).withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+                    pairs = pairs.where(other(i))
+                again = again.unionByName((pairs.where(apart) if d == e else pairs).select("a", "b"))
+    return out.unionByName(again.distinct().withColumn("distance", far)).where("distance >= 0")
 
 
 def with_prefixes(items: DataFrame, column: str, prefixes: DataFrame, limit: int = CLASS_LIMIT, fold: bool = False) -> DataFrame:

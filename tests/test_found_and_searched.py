@@ -1,5 +1,6 @@
 """References found in tables, search over many texts, bounded groups, and pages of results, with edge cases."""
 
+import itertools
 import random
 
 import pytest
@@ -84,6 +85,29 @@ def test_near_pairs_of_numbers_are_not_broadcast(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_near_pairs_are_whole_and_single(spark, most):
+    # all words of two letters, where a pair can shift both ways, with others of their lengths
+    words = ["".join(w) for n in range(7 if most == 2 else 5) for w in itertools.product("ab", repeat=n)] + ["\U0001f600bab", "b\U0001f600ba", "\uff5ebab", "aab\U0001f601", "cccc", "aa\x00", "1,a"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    want = sorted((a, b, distance(a, b)) for a in words for b in words if a != b and distance(a, b) <= most)
+    if most == 2:
+        assert sorted(map(tuple, search.near_pairs(df, df, "w", most).collect())) == want
+        some = df.where("w < 'b'")
+        assert sorted(map(tuple, search.near_pairs(some, df, "w", most).collect())) == [x for x in want if x[0] < "b"]
+        assert sorted(map(tuple, search.near_pairs(some, df, "w", most, once=True).collect())) == [x for x in want if x[0] < "b" and x[0].encode() < x[1].encode()]
+    assert sorted(map(tuple, search.near_pairs(df, df, "w", most, once=True).collect())) == [x for x in want if x[0].encode() < x[1].encode()]
+
+
+def test_near_pairs_of_many_numbers_are_not_shuffled(spark):
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in (lambda es: [es.apply(i) for i in range(es.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    df = spark.range(3000).select(F.format_string("customer#%09d", "id").alias("w"))
+    before = shuffled()
+    assert search.near_pairs(df, df, "w").where("a < b").count() == 520_908
+    # strings that no two words share are not made, and pairs are made where they meet: less than two bytes for each
+    assert shuffled() - before < 1_000_000
+
+
 def test_many_prefixes(spark):
     r = random.Random(3)
     items = ["".join(r.choice("aAb%_") for _ in range(r.randint(0, 6))) for _ in range(200)] + [None]
