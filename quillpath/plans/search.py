@@ -132,12 +132,17 @@ def _without(*at: str) -> Column:
 
 
 def _grouped(sides: list[DataFrame], parts: int) -> DataFrame:
-    """Rows of text, w and more by equal texts: for each side, arrays of the other columns, named by them and _a or _b. Of one side both names are its."""
+    """Rows of text, w and more by equal texts: for each side, arrays of the other columns, named by them and the side's number."""
     rows = [df.withColumn("side", F.lit(i)) for i, df in enumerate(sides)]
     rows = (rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])).withColumn("key", F.xxhash64("text")).repartition(parts, "key", "text")
     rest = sides[0].columns[1:]
     lists = [F.collect_list(F.when(F.col("side") == i, F.struct(*rest))).alias(f"l{i}") for i in range(len(sides))]
-    return rows.groupBy("key", "text").agg(*lists).select(*(F.col(f"l{min(i, len(sides) - 1)}.{c}").alias(f"{c}_{x}") for i, x in enumerate("ab") for c in rest))
+    return rows.groupBy("key", "text").agg(*lists).select(*(F.col(f"l{i}.{c}").alias(f"{c}_{i}") for i in range(len(sides)) for c in rest))
+
+
+def _both(groups: DataFrame, sides: int) -> DataFrame:
+    """groups with the first side's arrays named _a, and the last's, which may be the same, _b."""
+    return groups.select(*(F.col(c).alias(f"{c[:-2]}_{x}") for x, i in (("a", 0), ("b", sides - 1)) for c in groups.columns if c.endswith(f"_{i}")))
 
 
 def _each_with_each(groups: DataFrame, code: str, hit: str, *more: str) -> DataFrame:
@@ -157,16 +162,16 @@ def _open(words: DataFrame, free: dict[int, list[int]]) -> DataFrame:
     return rows.select(_without("p").alias("text"), "w", F.ascii(_char("p")).alias("c"))
 
 
-def _replaced(groups: DataFrame, side: str, free: dict[int, list[int]], r: int) -> DataFrame:
-    """key, text, w_, c_ with side, and c1_ to cr_: groups without the characters at every r free places before the last, and these characters' codes."""
-    at, lists = [f"p{i}" for i in range(1, r + 1)], [f"w_{side}", f"c_{side}"]
-    rows = groups.where(F.size(lists[0]) > 0).select(*lists, F.get(lists[0], F.lit(0)).alias("w")).withColumn("left", _places(free))
-    rows = rows.select(*lists, "w", F.element_at("left", -1).alias("last"), F.slice("left", F.lit(1), F.size("left") - 1).alias("left"))
+def _replaced(groups: DataFrame, side: int, free: dict[int, list[int]], r: int) -> DataFrame:
+    """key, text, w, c, c1 to cr: a side's groups without the characters at every r free places before the last, and these characters' codes."""
+    at = [f"p{i}" for i in range(1, r + 1)]
+    rows = groups.select(F.col(f"w_{side}").alias("ws"), F.col(f"c_{side}").alias("c")).where("size(ws) > 0").withColumn("w", F.get("ws", F.lit(0))).withColumn("left", _places(free))
+    rows = rows.select("ws", "c", "w", F.element_at("left", -1).alias("last"), F.slice("left", F.lit(1), F.size("left") - 1).alias("left"))
     for k in range(r):
-        rows = rows.select(*lists, "w", "last", *at[:k], "left", F.posexplode("left").alias("i", at[k]))
+        rows = rows.select("ws", "c", "w", "last", *at[:k], "left", F.posexplode("left").alias("i", at[k]))
         rows = rows.withColumn("left", F.slice("left", F.col("i") + 2, F.size("left")))
-    codes = (F.ascii(_char(p)).alias(f"c{i}_{side}") for i, p in enumerate(at, 1))
-    return rows.select(F.concat_ws(",", *at, _without(*at, "last")).alias("text"), *lists, *codes).select(F.xxhash64("text").alias("key"), "*")
+    codes = (F.ascii(_char(p)).alias(f"c{i}") for i, p in enumerate(at, 1))
+    return rows.select(F.concat_ws(",", *at, _without(*at, "last")).alias("text"), F.col("ws").alias("w"), "c", *codes).select(F.xxhash64("text").alias("key"), "*")
 
 
 def _shortened(words: DataFrame, free: dict[int, list[int]]) -> DataFrame:
@@ -222,21 +227,24 @@ def near_pairs(left: DataFrame, right: DataFrame, column: str, most: int = 2, on
         rows = words[side].where(F.length(name).isin(fits)).select(name, F.explode(_edited(F.col(name), d, r)).alias("_e"))
         return rows.select(name, F.xxhash64("_e.key", "_e.places").alias("key"), F.col("_e.chars").alias(f"_{name}")).repartition(parts, "key")
 
+    named = lambda df, x: df.select("key", "text", *(F.col(c).alias(f"{c}_{x}") for c in df.columns[2:]))
     far = F.levenshtein("a", "b", most)
     none = words[0].select("a", F.col("a").alias("b")).limit(0)
     out, again = none.withColumn("distance", F.lit(0)), none
     if free and most:
-        met = groups = stored(_grouped([_open(df, free) for df in kept], parts))
+        groups = stored(_grouped([_open(df, free) for df in kept], parts))
+        met = _both(groups, len(kept))
         for r in range(most + 1 if max(map(len, free.values())) > 1 else 1):
             hit = "x < y" if once else "x <> y"
             if r:
-                a, b = (_replaced(groups, x, free, r).repartition(parts, "key", "text") for x in "ab")
+                a, b = (named(_replaced(groups, i, free, r).repartition(parts, "key", "text"), x) for i, x in ((0, "a"), (len(kept) - 1, "b")))
                 met = a.join(b.hint("merge"), ["key", "text"]).where(" and ".join(f"c{i}_a {'<' if once and i == 1 else '<>'} c{i}_b" for i in range(1, r + 1)))
                 hit = "x = y" if r == most else "true"
             found = _each_with_each(met, "c", hit)
             out = out.unionByName(found.select("a", "b", (F.when(F.col("x") == F.col("y"), r).otherwise(r + 1) if r + (r < most) < 3 else far).alias("distance")))
     if free and most == 2:
-        found = _each_with_each(_grouped([_shortened(df, free) for df in kept], parts), "span", f"{_EARLIER.format('x', 'y')} or {_EARLIER.format('y', 'x')}", "first", "twin")
+        met = _both(_grouped([_shortened(df, free) for df in kept], parts), len(kept))
+        found = _each_with_each(met, "span", f"{_EARLIER.format('x', 'y')} or {_EARLIER.format('y', 'x')}", "first", "twin")
         found = found.where("a < b" if once else "true").where(" or ".join(f"{_EARLIER.format(*xy)} and {_ONLY.format(*ab)}" for xy, ab in (("xy", "ab"), ("yx", "ba"))))
         out = out.unionByName(found.select("a", "b", F.lit(2).alias("distance")))
     other = lambda i: F.substring("_a", i, 1) != F.substring("_b", i, 1)
